@@ -46,6 +46,19 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir), _tokenizer("word_bpe_49k.json")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    return top_k(tables_dir_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes of each page, read as 8-bit PCM, stand in for recordings, which the tables lack."""
+    from .media import match
+
+    return match(tables_dir_table(spark, sf_dir, "pages"), "page_id", "html").withColumnRenamed("id", "page_id")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import LangId
 
@@ -84,10 +97,27 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_packing": op4_packing,
+    "op5_topk": op5_topk,
+    "op6_media": op6_media,
     "op7_language_id": op7_language_id,
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_TOPK_SQL = """
+WITH x AS (
+  SELECT vec_id, i AS k, CAST(floor(64 * CAST(embedding[i] AS DOUBLE)) AS BIGINT) AS v
+  FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(sum(q.v * c.v) AS BIGINT) AS score
+  FROM x q JOIN x c ON q.k = c.k AND q.vec_id <> c.vec_id
+  WHERE q.vec_id % 20 = 0
+  GROUP BY q.vec_id, c.vec_id
+), r AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_topk": _TOPK_SQL}
