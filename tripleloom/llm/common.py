@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHUNK_BYTES = 4 << 20
 #: Distinct words that a task keeps before it starts a new table.
-VOCAB_LIMIT = 200_000
+VOCAB_LIMIT = 400_000
 
 
 def ship(spark: SparkSession) -> None:

@@ -17,48 +17,87 @@ document ids are separate documents; pieces of equal length go in the order of
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import VOCAB_LIMIT, Scratch, Vocab, doc_words, ragged, ship, text_chunks
+from .common import CHUNK_BYTES, VOCAB_LIMIT, Scratch, ragged, ship, text_chunks
 
 LENGTH, END_ID, GROUP, SEED = 2048, 1, 16384, 17
-#: White space to both Python and the tokenizer's normaliser; other kinds stay inside a word and are left to the tokenizer.
-_SPLIT = re.compile(r"[^ \t\n\r\f\v]+").findall
-#: A word of ASCII letters and a run of closing marks: the tokenizer cuts there, so both halves can be looked up alone.
-_TAIL = re.compile(r"([A-Za-z]+)([.,;:!?#$%&*|)]+)")
+#: Letters whose lower case, normal form and class are beyond doubt, and a run of closing marks: the tokenizer cuts between the two.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e"
+_STEM = re.compile(rf"([{_LETTERS}]+)([.,;:!?#$%&*|)]*)").fullmatch
 
 
 class WordIds:
-    """Token ids of words, each encoded by the tokenizers library the first time it is seen."""
+    """word -> its token ids; the tokenizers library encodes a word the first time a worker sees it.
+
+    A word of plain letters is one pre-token, and goes to the library's merge model at once,
+    in lower case and in the byte alphabet of its pre-tokenizer; all else takes the whole way.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tok = Tokenizer.from_file(path)
-        self.known: dict[str, list[int]] = {}
-
-    def _learn(self, words) -> None:
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False) if new else ()):
-            self.known[w] = e.ids
-
-    def __call__(self, words: list[str]) -> list[list[int]]:
-        parts = []
-        for w in words:
-            w = w.lower() if w.isascii() and "<" not in w else w
-            m = _TAIL.fullmatch(w)
-            parts.append(m.groups() if m else (w,))
-        if len(self.known) > 2 * VOCAB_LIMIT:
-            self.known = {}
-        self._learn(x for p in parts for x in p)
-        known = self.known
-        return [known[p[0]] if len(p) == 1 else known[p[0]] + known[p[1]] for p in parts]
+        self.model = self.tok.model
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.alphabet = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0x61, 0x180)}
+        self.known: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+
+    def _whole(self, w: str) -> bytes:
+        return array("I", self.tok.encode(w, add_special_tokens=False).ids).tobytes()
+
+    def word(self, w: str) -> bytes:
+        """Token ids of a word without ASCII white space, as little-endian bytes."""
+        m = _STEM(w)
+        if not m:
+            return self._whole(w)
+        stem, marks = m.groups()
+        stem = stem.lower()
+        got = self.known.get(stem)
+        if got is None:
+            ids = [t.id for t in self.model.tokenize(stem if stem.isascii() else stem.translate(self.alphabet))]
+            got = array("I", ids).tobytes()
+            if len(self.known) < VOCAB_LIMIT:  # early words are the frequent ones; later ones are encoded again
+                self.known[stem] = got
+        if marks:
+            if marks not in self.marks and len(self.marks) < VOCAB_LIMIT:
+                self.marks[marks] = self._whole(marks)
+            got += self.marks.get(marks) or self._whole(marks)
+        return got
+
+    def streams(self, texts: pa.Array):
+        """(ids of all texts in one array, offsets): each distinct word of the array is looked up once."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        flat = lists.flatten()
+        coded = flat.dictionary_encode()
+        which = coded.indices.to_numpy()
+        raw = [self.word(w) if w else b"" for w in coded.dictionary.to_pylist()]
+        n = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        ids = np.frombuffer(b"".join(raw), "<u4")
+        start = np.cumsum(n) - n
+        size = n[which]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        return ids[ragged(start[which], size)], ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+
+
+_workers: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """The word table of this worker process; what a word encodes to never changes."""
+    if path not in _workers:
+        _workers[path] = WordIds(path)
+    return _workers[path]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID, text: str = "text", with_ids: bool = False) -> DataFrame:
@@ -68,34 +107,24 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id:
     ddl = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
 
     def run(batches):
-        words_of = WordIds(tokenizer)
-        vocab, flat, at, ln, known = Vocab(), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-        for b in text_chunks(batches, "__text"):
-            if len(vocab) > VOCAB_LIMIT:
-                vocab, flat, at, ln, known = Vocab(), flat[:0], at[:0], ln[:0], 0
-            texts = b.column("__text").to_pylist()
-            ids, off = doc_words(texts, _SPLIT, vocab)
-            fresh = words_of(list(vocab)[known:])
-            if fresh:
-                n = np.fromiter(map(len, fresh), np.int64, len(fresh))
-                at = np.concatenate([at, len(flat) + np.cumsum(n) - n])
-                ln = np.concatenate([ln, n])
-                flat = np.concatenate([flat, np.array([x for f in fresh for x in f], np.uint32)])
-                known = len(vocab)
-            stream = flat[ragged(at[ids], ln[ids])]
-            ends = np.concatenate([[0], np.cumsum(ln[ids])])[off]
+        words = word_ids(tokenizer)
+        for b in text_chunks(batches, "__text", 2 * CHUNK_BYTES):
+            gc.disable()  # the word table has no cycles, and scanning it again and again costs more than all merges
+            stream, ends = words.streams(b.column("__text"))
             docs_, start, size, crc, total, all_ids = [], [], [], [], [], []
             for i, doc in enumerate(b.column("doc_id").to_pylist()):
                 mine = np.append(stream[ends[i] : ends[i + 1]], np.uint32(end_id)).astype("<u4")
-                for s in range(0, len(mine), length):
+                n = len(mine)
+                for s in range(0, n, length):
                     part = mine[s : s + length]
                     docs_.append(doc)
                     start.append(s)
                     size.append(len(part))
-                    crc.append(zlib.crc32(part.tobytes()))
-                    total.append(len(mine))
+                    crc.append(zlib.crc32(part))
+                    total.append(n)
                     if with_ids:
                         all_ids.append(part.astype(np.int32))
+            gc.enable()
             cols = [pa.array(x, pa.int64()) for x in (docs_, start, size, crc, total)] + [pa.array(all_ids, pa.list_(pa.int32()))] * with_ids
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids])
 
