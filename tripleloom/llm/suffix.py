@@ -12,7 +12,7 @@ A byte goes when a ``WINDOW``-byte string that covers it starts anywhere else to
    bytes aligned to the anchor; a suffix array over the cells of a block of anchors is
    built by :func:`suffix_array`, and suffixes that share the cells any window must have
    are neighbours in it. Among such neighbours the windows themselves are compared.
-4. An anchor with over ``BLOCK`` different regions (a passage in a large part of all texts,
+4. An anchor with over ``BLOCK`` different regions (about 10 MB; a passage in a large part of a corpus,
    each time in other surroundings) does not go to one task: its windows are compared by
    digest in a distributed aggregation, exact and linear.
 
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import Scratch, ragged, ship, text_chunks
 from .minhash import mix
 
-WINDOW, GRAM, CELL, BLOCK = 200, 64, 16, 256
+WINDOW, GRAM, CELL, BLOCK = 200, 64, 16, 32768
 SEGMENT = 1 << 20
 #: Bytes of regions that one suffix array covers (more only if one anchor has more).
 ARRAY_BYTES = 1 << 16
