@@ -1 +1 @@
-""""""
+"""Relational operators over triples: joins, sets, statistics, fixpoints."""

@@ -1,10 +1,931 @@
-"""Queries of the core engine and their SQL equivalents."""
+"""Queries of the core engine over triples of the relational tables, and their SQL equivalents."""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from .functions import iri as iris, lang as tags, terms, unicode as uni
+from .operators import relational as rel, stats
+from .operators.fixpoint import closure
+from .plans import placement, programs
+from .plans.ast import And, Atom, Const, Equal, External, Frame, ListTerm, Not, Var, conjuncts
+from .plans.compile import Compiler, head, scan
+from .plans.parser import PREFIXES, parse
+from .sources import convert, dictionary, ntriples
+from .sources.tables import BASE, MAPPING, iri, name, triples, triples_sql
+
+RDF_TYPE = f"<{PREFIXES['rdf']}type>"
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def entry(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(*predicates: str) -> str:
+    """``WITH t AS (...)`` of the wanted predicates."""
+    return f"WITH t AS ({triples_sql(predicates or None)})\n"
+
+
+def V(n: str) -> Var:
+    return Var(n)
+
+
+def P(p: str) -> Const:
+    return Const(name(p))
+
+
+def fr(s, p, o) -> Frame:
+    return Frame(s, ((p, o),))
+
+
+def find(graph: DataFrame, *parts, out: tuple, relations: dict | None = None) -> DataFrame:
+    """Bindings of a condition over ``graph``, the wanted variables as columns."""
+    got = Compiler(lambda n, arity, k, p: graph if n == "T" else relations[n]).condition(And(tuple(parts)))
+    return got.select(*[F.col(f"v_{v}").alias(v) for v in out])
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _constant_graph(spark: SparkSession, rows) -> DataFrame:
+    return spark.createDataFrame([tuple(r) for r in rows], "s string, p string, o string")
+
+
+# --- scans -----------------------------------------------------------------------------------
+
+
+@query(_t("inNation") + f"SELECT s AS x, o AS y FROM t WHERE p = '{name('inNation')}'")
+def scan_triple_pattern_p(spark, sf_dir):
+    return find(triples(spark, sf_dir, ["inNation"]), fr(V("x"), P("inNation"), V("y")), out=("x", "y"))
+
+
+@query(_t("inNation") + f"SELECT o AS y FROM t WHERE p = '{name('inNation')}' AND s = '<{BASE}cust/7>'")
+def scan_triple_pattern_sp(spark, sf_dir):
+    return find(triples(spark, sf_dir, ["inNation"]), fr(Const(f"<{BASE}cust/7>"), P("inNation"), V("y")), out=("y",))
+
+
+@query(_t("inNation") + f"SELECT s AS x FROM t WHERE p = '{name('inNation')}' AND o = '<{BASE}nation/3>'")
+def scan_triple_pattern_po(spark, sf_dir):
+    return find(triples(spark, sf_dir, ["inNation"]), fr(V("x"), P("inNation"), Const(f"<{BASE}nation/3>")), out=("x",))
+
+
+@query(_t() + f"SELECT s AS x, p AS q FROM t WHERE o = '<{BASE}nation/3>'")
+def scan_triple_pattern_o(spark, sf_dir):
+    return find(triples(spark, sf_dir), fr(V("x"), V("q"), Const(f"<{BASE}nation/3>")), out=("x", "q"))
+
+
+@query(_t() + "SELECT p, CAST(count(*) AS BIGINT) AS n FROM t GROUP BY p")
+def scan_full(spark, sf_dir):
+    return triples(spark, sf_dir).groupBy("p").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT DISTINCT '<{BASE}node/' || CAST(n_nationkey AS VARCHAR) || '>' AS x FROM nation WHERE n_nationkey = n_regionkey")
+def repeated_var_pattern(spark, sf_dir):
+    g = _read(spark, sf_dir, "nation").select(iri("node", F.col("n_nationkey")).alias("s"), F.lit(name("near")).alias("p"), iri("node", F.col("n_regionkey")).alias("o"))
+    return find(g, fr(V("x"), P("near"), V("x")), out=("x",)).distinct()
+
+
+@query(_t("brand", "type") + f"SELECT a.s AS x, a.o AS b, c.o AS t FROM t a JOIN t c ON a.s = c.s WHERE a.p = '{name('brand')}' AND c.p = '{name('type')}'")
+def multi_slot_frame(spark, sf_dir):
+    return find(triples(spark, sf_dir, ["brand", "type"]), Frame(V("x"), ((P("brand"), V("b")), (P("type"), V("t")))), out=("x", "b", "t"))
+
+
+# --- auxiliary relations and heads -----------------------------------------------------------
+
+
+@query("SELECT DISTINCT CAST(c_nationkey AS VARCHAR) AS a0, c_mktsegment AS a1 FROM customer")
+def aux_atom_project(spark, sf_dir):
+    aux = _read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("a0"), F.col("c_nationkey").cast("string").alias("a1"), F.col("c_mktsegment").alias("a2"))
+    body = Compiler(lambda n, arity, k, p: aux).condition(And((Atom("lives", (V("c"), V("n"), V("g"))),)))
+    return head(body, Atom("found", (V("n"), V("g")))).distinct()
+
+
+@query("SELECT DISTINCT CAST(s_nationkey AS VARCHAR) AS x FROM supplier s WHERE CAST(s_nationkey AS VARCHAR) = CAST(s_suppkey AS VARCHAR)")
+def aux_atom_repeated_var(spark, sf_dir):
+    aux = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("a0"), F.col("s_nationkey").cast("string").alias("a1"))
+    return scan(aux, ["a0", "a1"], [V("x"), V("x")]).select(F.col("v_x").alias("x")).distinct()
+
+
+@query(_t("segment") + f"SELECT '<{BASE}data>' AS s, '{name('has')}' AS p, '\"customers\"' AS o WHERE EXISTS (SELECT 1 FROM t WHERE o = '\"BUILDING\"')")
+def head_ground_assert(spark, sf_dir):
+    rule = parse(f'<{BASE}data>[<{BASE}has>->"customers"] :- And(?x[<{BASE}segment>->"BUILDING"])').rules[0]
+    body = Compiler(lambda n, arity, k, p: triples(spark, sf_dir, ["segment"])).condition(rule.body)
+    return head(body, rule.actions[0].target).distinct()
+
+
+@query(_t("inNation", "inRegion") + f"SELECT DISTINCT a.s AS s, '{name('livesIn')}' AS p, b.o AS o FROM t a JOIN t b ON a.o = b.s WHERE a.p = '{name('inNation')}' AND b.p = '{name('inRegion')}'")
+def head_frame_project(spark, sf_dir):
+    rule = parse(f"?x[<{BASE}livesIn>->?r] :- And(?x[<{BASE}inNation>->?n] ?n[<{BASE}inRegion>->?r])").rules[0]
+    body = Compiler(lambda n, arity, k, p: triples(spark, sf_dir, ["inNation", "inRegion"])).condition(rule.body)
+    return head(body, rule.actions[0].target).distinct()
+
+
+# --- equality, lists, connectives ------------------------------------------------------------
+
+_SEG = ["segment"]
+
+
+@query("SELECT CAST(1 AS BIGINT) AS yes WHERE 'a' = 'a'")
+def eq_const_const(spark, sf_dir):
+    c = Compiler(lambda *a: None).condition(And((Equal(V("x"), Const('"a"')), Equal(Const('"a"'), Const('"a"')))))
+    return c.select(F.lit(1).cast("long").alias("yes"))
+
+
+@query(_t(*_SEG) + "SELECT s AS x, o AS y FROM t WHERE o = '\"MACHINERY\"'")
+def eq_const_filter(spark, sf_dir):
+    return find(triples(spark, sf_dir, _SEG), fr(V("x"), P("segment"), V("y")), Equal(V("y"), Const('"MACHINERY"')), out=("x", "y"))
+
+
+@query(_t(*_SEG) + "SELECT s AS x, '\"MACHINERY\"' AS y FROM t WHERE o = '\"MACHINERY\"'")
+def eq_bind(spark, sf_dir):
+    return find(triples(spark, sf_dir, _SEG), Equal(V("y"), Const('"MACHINERY"')), fr(V("x"), P("segment"), V("y")), out=("x", "y"))
+
+
+@query(_t("inNation") + "SELECT a.s AS x, b.s AS y FROM t a JOIN t b ON a.o = b.o WHERE a.s LIKE '%supp/%' AND b.s LIKE '%cust/%' AND a.o = '<urn:x:nation/3>'")
+def eq_var_var(spark, sf_dir):
+    g = triples(spark, sf_dir, ["inNation"])
+    c = find(g, fr(V("x"), P("inNation"), V("n")), Equal(V("n"), Const("<urn:x:nation/3>")), Equal(V("m"), V("n")), fr(V("y"), P("inNation"), V("m")), out=("x", "y"))
+    return c.where(F.contains("x", F.lit("supp/")) & F.contains("y", F.lit("cust/")))
+
+
+@query(_t(*_SEG) + "SELECT s AS x, o AS y FROM t WHERE o <> '\"MACHINERY\"'")
+def neq_filter(spark, sf_dir):
+    return find(triples(spark, sf_dir, _SEG), Not(Equal(V("y"), Const('"MACHINERY"'))), fr(V("x"), P("segment"), V("y")), out=("x", "y"))
+
+
+_LIST = ListTerm((Const('"BUILDING"'), Const('"MACHINERY"')))
+
+
+@query(_t(*_SEG) + "SELECT s AS x, o AS y FROM t WHERE o IN ('\"BUILDING\"', '\"MACHINERY\"')")
+def list_contains(spark, sf_dir):
+    return find(triples(spark, sf_dir, _SEG), fr(V("x"), P("segment"), V("y")), External("pred:list-contains", (_LIST, V("y"))), out=("x", "y"))
+
+
+@query("SELECT unnest(['\"BUILDING\"', '\"MACHINERY\"']) AS y")
+def list_contains_bind(spark, sf_dir):
+    return find(None, External("pred:list-contains", (_LIST, V("y"))), out=("y",))
+
+
+@query(_t(*_SEG) + "SELECT s AS x, o AS y FROM t WHERE o NOT IN ('\"BUILDING\"', '\"MACHINERY\"')")
+def not_list_contains(spark, sf_dir):
+    return find(triples(spark, sf_dir, _SEG), fr(V("x"), P("segment"), V("y")), Not(External("pred:list-contains", (_LIST, V("y")))), out=("x", "y"))
+
+
+@query(_t(*_SEG) + "SELECT DISTINCT s AS x FROM t WHERE o = '\"BUILDING\"' OR o = '\"MACHINERY\"'")
+def or_condition(spark, sf_dir):
+    rule = parse(f'p(?x) :- Or(?x[<{BASE}segment>->"BUILDING"] ?x[<{BASE}segment>->"MACHINERY"])').rules[0]
+    return Compiler(lambda *a: triples(spark, sf_dir, _SEG)).condition(rule.body).select(F.col("v_x").alias("x"))
+
+
+@query(_t("inNation") + f"SELECT DISTINCT o AS n FROM t WHERE p = '{name('inNation')}'")
+def exists_condition(spark, sf_dir):
+    rule = parse(f"p(?n) :- Exists ?x (?x[<{BASE}inNation>->?n])").rules[0]
+    return Compiler(lambda *a: triples(spark, sf_dir, ["inNation"])).condition(rule.body).select(F.col("v_n").alias("n"))
+
+
+@query(_t() + "SELECT s AS x, o AS y FROM t WHERE p = '<urn:x:name>' AND o LIKE '\"%'")
+def builtin_plain_literal(spark, sf_dir):
+    return find(triples(spark, sf_dir), fr(V("x"), P("name"), V("y")), External("pred:is-literal-PlainLiteral", (V("y"),)), out=("x", "y"))
+
+
+# --- joins -----------------------------------------------------------------------------------
+
+_JOIN = _t("placedBy", "inNation") + f"SELECT a.s AS x, a.o AS c, b.o AS n FROM t a JOIN t b ON a.o = b.s WHERE a.p = '{name('placedBy')}' AND b.p = '{name('inNation')}'"
+
+
+def _two(spark, sf_dir):
+    g = triples(spark, sf_dir, ["placedBy", "inNation"])
+    a = scan(g, ["s", "p", "o"], [V("x"), P("placedBy"), V("c")])
+    b = scan(g, ["s", "p", "o"], [V("c"), P("inNation"), V("n")])
+    return a, b
+
+
+def _named(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c).alias(c[2:]) for c in df.columns])
+
+
+@query(_JOIN)
+def join_shared_var(spark, sf_dir):
+    return find(triples(spark, sf_dir, ["placedBy", "inNation"]), fr(V("x"), P("placedBy"), V("c")), fr(V("c"), P("inNation"), V("n")), out=("x", "c", "n"))
+
+
+@query(_t("hasPart", "suppliedBy") + f"SELECT a.s AS x, a.o AS y, CAST(count(*) AS BIGINT) AS n FROM t a JOIN (SELECT DISTINCT s, '<urn:x:part/' || regexp_extract(o, '[0-9]+') || '>' AS o FROM t WHERE p = '{name('suppliedBy')}') b ON a.s = b.s AND a.o = b.o WHERE a.p = '{name('hasPart')}' GROUP BY ALL")
+def join_two_vars(spark, sf_dir):
+    g = triples(spark, sf_dir, ["hasPart", "suppliedBy"])
+    twin = g.where(F.col("p") == name("suppliedBy")).select("s", F.lit(name("likePart")).alias("p"), F.concat(F.lit("<urn:x:part/"), F.regexp_extract("o", "[0-9]+", 0), F.lit(">")).alias("o"))
+    both = find(g.unionByName(twin.distinct()), fr(V("x"), P("hasPart"), V("y")), fr(V("x"), P("likePart"), V("y")), out=("x", "y"))
+    return both.groupBy("x", "y").agg(F.count("*").alias("n"))
+
+
+@query(_t("inRegion", "name") + f"SELECT a.s AS x, b.s AS y FROM t a, t b WHERE a.p = '{name('inRegion')}' AND b.p = '{name('name')}' AND b.s LIKE '<urn:x:region/%'")
+def cross_product(spark, sf_dir):
+    g = triples(spark, sf_dir, ["inRegion", "name"]).where(F.col("s").startswith("<urn:x:nation/") | F.col("s").startswith("<urn:x:region/"))
+    c = find(g, fr(V("x"), P("inRegion"), V("r")), fr(V("y"), P("name"), V("z")), out=("x", "y"))
+    return c.where(F.col("y").startswith("<urn:x:region/"))
+
+
+@query(_JOIN)
+def broadcast_join(spark, sf_dir):
+    return _named(rel.replicated_join(*_two(spark, sf_dir))).select("x", "c", "n")
+
+
+@query(_JOIN)
+def hash_partitioned_join(spark, sf_dir):
+    return _named(rel.hash_join(*_two(spark, sf_dir))).select("x", "c", "n")
+
+
+@query(_JOIN)
+def sort_merge_join(spark, sf_dir):
+    return _named(rel.merge_join(*_two(spark, sf_dir))).select("x", "c", "n")
+
+
+@query(_JOIN)
+def bloom_semijoin(spark, sf_dir):
+    return _named(rel.reduced_join(*_two(spark, sf_dir))).select("x", "c", "n")
+
+
+@query("SELECT c_custkey AS k, n_nationkey AS n FROM customer JOIN nation ON c_custkey >= n_nationkey * 3 AND c_custkey <= n_nationkey * 3 + 10")
+def range_join(spark, sf_dir):
+    a = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    b = _read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("n"), (F.col("n_nationkey") * 3).cast("long").alias("lo"), (F.col("n_nationkey") * 3 + 10).cast("long").alias("hi"))
+    return rel.range_pairs(a, b, "k", "lo", "hi", 16).select("k", "n")
+
+
+@query(_t("inNation", "inRegion") + "SELECT o FROM t EXCEPT SELECT s FROM t")
+def semi_naive_delta_join(spark, sf_dir):
+    g = triples(spark, sf_dir, ["inNation", "inRegion"])
+    return rel.set_insert(g.select(F.col("s").alias("o")), g.select("o"))
+
+
+# --- sets ------------------------------------------------------------------------------------
+
+_CUST, _SUPP = "s LIKE '<urn:x:cust/%'", "o = '<urn:x:nation/3>'"
+
+
+def _sets(spark, sf_dir):
+    g = triples(spark, sf_dir, ["inNation"])
+    return g, g.where(F.col("s").startswith("<urn:x:cust/")), g.where(F.col("o") == "<urn:x:nation/3>")
+
+
+@query(_t("inNation") + f"SELECT * FROM t WHERE {_SUPP} EXCEPT SELECT * FROM t WHERE {_CUST}")
+def delta_anti_join(spark, sf_dir):
+    _, a, b = _sets(spark, sf_dir)
+    return b.join(a, ["s", "p", "o"], "left_anti")
+
+
+@query(_t("inNation") + f"SELECT * FROM t WHERE {_CUST} UNION SELECT * FROM t WHERE {_SUPP}")
+def set_insert(spark, sf_dir):
+    _, a, b = _sets(spark, sf_dir)
+    return a.unionByName(rel.set_insert(a, b))
+
+
+@query(_t("inNation") + f"SELECT * FROM t WHERE {_CUST} EXCEPT SELECT * FROM t WHERE {_SUPP}")
+def set_retract(spark, sf_dir):
+    _, a, b = _sets(spark, sf_dir)
+    return rel.set_retract(a, b)
+
+
+@query(_t("inNation") + f"SELECT * FROM t WHERE {_CUST} UNION SELECT * FROM t WHERE {_SUPP}")
+def triple_union(spark, sf_dir):
+    _, a, b = _sets(spark, sf_dir)
+    return rel.set_union(a, b)
+
+
+@query(_t("inNation") + f"SELECT * FROM t WHERE {_CUST} UNION ALL SELECT * FROM t WHERE {_SUPP}")
+def bag_union(spark, sf_dir):
+    _, a, b = _sets(spark, sf_dir)
+    return a.unionByName(b)
+
+
+@query(f"SELECT DISTINCT '<{BASE}order/' || CAST(l_orderkey AS VARCHAR) || '>' AS s, '<{BASE}part/' || CAST(l_partkey AS VARCHAR) || '>' AS o FROM lineitem")
+def triple_distinct(spark, sf_dir):
+    return _read(spark, sf_dir, "lineitem").select(iri("order", F.col("l_orderkey")).alias("s"), iri("part", F.col("l_partkey")).alias("o")).distinct()
+
+
+@query(_t("inNation") + f"SELECT * FROM t WHERE {_SUPP} EXCEPT SELECT * FROM t WHERE {_CUST}")
+def set_difference(spark, sf_dir):
+    _, a, b = _sets(spark, sf_dir)
+    return b.exceptAll(a)
+
+
+@query(_t("inNation") + f"SELECT CAST(count(*) AS BIGINT) AS total, CAST(sum(CASE WHEN {_CUST} THEN 0 ELSE 1 END) AS BIGINT) AS novel FROM (SELECT * FROM t WHERE {_CUST} UNION SELECT * FROM t WHERE {_SUPP})")
+def union_novelty(spark, sf_dir):
+    _, a, b = _sets(spark, sf_dir)
+    return rel.union_novelty(a, b)
+
+
+# --- dictionary ------------------------------------------------------------------------------
+
+_DICT = ["inRegion", "brand", "segment"]
+_DICT_SQL = _t(*_DICT) + ", d AS (SELECT CAST(row_number() OVER (ORDER BY term) AS BIGINT) AS id, term FROM (SELECT s AS term FROM t UNION SELECT p FROM t UNION SELECT o FROM t))\n"
+
+
+@query(_DICT_SQL + "SELECT id, term FROM d")
+def dict_build(spark, sf_dir):
+    return dictionary.build(triples(spark, sf_dir, _DICT))
+
+
+@query(_DICT_SQL + "SELECT a.id AS s, b.id AS p, c.id AS o FROM t JOIN d a ON a.term = t.s JOIN d b ON b.term = t.p JOIN d c ON c.term = t.o")
+def dict_encode(spark, sf_dir):
+    return dictionary.encode(triples(spark, sf_dir, _DICT))[0]
+
+
+@query(_t(*_DICT) + "SELECT * FROM t")
+def dict_decode_roundtrip(spark, sf_dir):
+    return dictionary.decode(*dictionary.encode(triples(spark, sf_dir, _DICT)))
+
+
+@query(_t(*_DICT) + "SELECT * FROM t WHERE s LIKE '<%' AND s NOT LIKE '\"%'")
+def decode_valid_only(spark, sf_dir):
+    g = triples(spark, sf_dir, _DICT)
+    odd = g.limit(1).select(F.lit('"literal"').alias("s"), "p", "o")
+    return dictionary.decode(*dictionary.encode(g.unionByName(odd)), valid_only=True)
+
+
+@query(_DICT_SQL + "SELECT id, term FROM d WHERE term IN ('\"BUILDING\"', '<urn:x:nation/3>', '<urn:x:nowhere>')")
+def dict_lookup(spark, sf_dir):
+    return dictionary.lookup(dictionary.build(triples(spark, sf_dir, _DICT)), ['"BUILDING"', "<urn:x:nation/3>", "<urn:x:nowhere>"])
+
+
+@query("SELECT printf('%016X%016X%016X', c_custkey, CAST(c_nationkey AS BIGINT), CAST(1 AS BIGINT)) AS rec FROM customer")
+def der_records(spark, sf_dir):
+    rows = _read(spark, sf_dir, "customer")
+    return rows.select(F.hex(dictionary.der_record(F.col("c_custkey"), F.col("c_nationkey").cast("long"), F.lit(1).cast("long"))).alias("rec"))
+
+
+@query("SELECT c_custkey AS k, CAST((row_number() OVER (ORDER BY c_custkey) - 1) // 50 AS BIGINT) AS block FROM customer QUALIFY block BETWEEN 2 AND 3")
+def block_slice(spark, sf_dir):
+    return convert.block_slice(_read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), ["k"], 50, 2, 3).select("k", "block")
+
+
+# --- fixpoints: RDFS -------------------------------------------------------------------------
+
+_EX = lambda n: f"<{BASE}{n}>"
+_RDFS = lambda n: f"<{PREFIXES['rdfs']}{n}>"
+_OWL = lambda n: f"<{PREFIXES['owl']}{n}>"
+#: Schema of the examples: class and property hierarchies over the tables.
+_SCHEMA = [
+    (_EX("inNation"), _RDFS("subPropertyOf"), _EX("locatedIn")),
+    (_EX("inRegion"), _RDFS("subPropertyOf"), _EX("locatedIn")),
+    (_EX("locatedIn"), _RDFS("subPropertyOf"), _EX("related")),
+    (_EX("inNation"), _RDFS("domain"), _EX("Party")),
+    (_EX("inNation"), _RDFS("range"), _EX("Nation")),
+    (_EX("inRegion"), _RDFS("range"), _EX("Region")),
+    (_EX("Nation"), _RDFS("subClassOf"), _EX("Place")),
+    (_EX("Region"), _RDFS("subClassOf"), _EX("Place")),
+    (_EX("Place"), _RDFS("subClassOf"), _EX("Thing")),
+    (_EX("Party"), _RDFS("subClassOf"), _EX("Agent")),
+    (_EX("Agent"), _RDFS("subClassOf"), _EX("Thing")),
+]
+_SCHEMA_SQL = "\nUNION ALL ".join(f"SELECT '{s}' AS s, '{p}' AS p, '{o}' AS o" for s, p, o in _SCHEMA)
+_PLACES = ["inNation", "inRegion"]
+_RDFS_WITH = f"""WITH RECURSIVE t AS ({triples_sql(_PLACES)} UNION {_SCHEMA_SQL}),
+sp(a, b) AS (SELECT s, o FROM t WHERE p = '{_RDFS("subPropertyOf")}' UNION SELECT sp.a, t.o FROM sp JOIN t ON t.s = sp.b AND t.p = '{_RDFS("subPropertyOf")}'),
+sc(a, b) AS (SELECT s, o FROM t WHERE p = '{_RDFS("subClassOf")}' UNION SELECT sc.a, t.o FROM sc JOIN t ON t.s = sc.b AND t.p = '{_RDFS("subClassOf")}'),
+u AS (SELECT * FROM t UNION SELECT t.s, sp.b, t.o FROM t JOIN sp ON t.p = sp.a),
+ty AS (SELECT u.s AS x, d.o AS c FROM u JOIN t d ON d.p = '{_RDFS("domain")}' AND d.s = u.p UNION SELECT u.o, d.o FROM u JOIN t d ON d.p = '{_RDFS("range")}' AND d.s = u.p UNION SELECT s, o FROM u WHERE p = '{RDF_TYPE}'),
+tc AS (SELECT x, c FROM ty UNION SELECT ty.x, sc.b FROM ty JOIN sc ON ty.c = sc.a),
+closed AS (SELECT s, p, o FROM u UNION SELECT a, '{_RDFS("subPropertyOf")}', b FROM sp UNION SELECT a, '{_RDFS("subClassOf")}', b FROM sc UNION SELECT x, '{RDF_TYPE}', c FROM tc)
+"""
+
+
+def _with_schema(spark, sf_dir) -> DataFrame:
+    return triples(spark, sf_dir, _PLACES).unionByName(_constant_graph(spark, _SCHEMA))
+
+
+def _rdfs(spark, sf_dir, *names: str) -> DataFrame:
+    return closure(_with_schema(spark, sf_dir), programs.pick(programs.MINIMAL_RDFS, *names)).triples
+
+
+@query(_RDFS_WITH + "SELECT * FROM closed")
+def rdfs_min_closure(spark, sf_dir):
+    return closure(_with_schema(spark, sf_dir), programs.MINIMAL_RDFS).triples
+
+
+@query(_RDFS_WITH + f"SELECT * FROM u UNION SELECT a, '{_RDFS('subPropertyOf')}', b FROM sp")
+def rdfs_subprop(spark, sf_dir):
+    return _rdfs(spark, sf_dir, "scm-spo", "prp-spo1")
+
+
+@query(_RDFS_WITH + f"SELECT * FROM t UNION SELECT t.s, '{RDF_TYPE}', d.o FROM t JOIN t d ON d.p = '{_RDFS('domain')}' AND d.s = t.p")
+def rdfs_domain(spark, sf_dir):
+    return _rdfs(spark, sf_dir, "prp-dom")
+
+
+@query(_RDFS_WITH + f"SELECT * FROM t UNION SELECT t.o, '{RDF_TYPE}', d.o FROM t JOIN t d ON d.p = '{_RDFS('range')}' AND d.s = t.p")
+def rdfs_range(spark, sf_dir):
+    return _rdfs(spark, sf_dir, "prp-rng")
+
+
+@query(_RDFS_WITH + f"SELECT * FROM t UNION SELECT a, '{_RDFS('subClassOf')}', b FROM sc")
+def rdfs_subclass_trans(spark, sf_dir):
+    return _rdfs(spark, sf_dir, "scm-sco")
+
+
+@query(_RDFS_WITH + f", r AS (SELECT t.o AS x, d.o AS c FROM t JOIN t d ON d.p = '{_RDFS('range')}' AND d.s = t.p) SELECT * FROM t UNION SELECT x, '{RDF_TYPE}', c FROM r UNION SELECT x, '{RDF_TYPE}', sc.b FROM r JOIN sc ON sc.a = r.c UNION SELECT a, '{_RDFS('subClassOf')}', b FROM sc")
+def rdfs_type_inherit(spark, sf_dir):
+    return _rdfs(spark, sf_dir, "prp-rng", "scm-sco", "cax-sco")
+
+
+@query()
+def rdfs_full_closure(spark, sf_dir):
+    return closure(_with_schema(spark, sf_dir), programs.RDFS).triples
+
+
+@query(_RDFS_WITH + "SELECT * FROM closed")
+def rdfs_one_pass(spark, sf_dir):
+    """Fixed order without a loop over instances: schema closures first, then inheritance once (enough where no schema property has a superproperty)."""
+    g = _with_schema(spark, sf_dir)
+    schema = g.where(F.col("p").isin(_RDFS("subPropertyOf"), _RDFS("subClassOf"), _RDFS("domain"), _RDFS("range")))
+    done = closure(schema, programs.pick(programs.MINIMAL_RDFS, "scm-spo", "scm-sco")).triples
+    part = lambda p, a, b: done.where(F.col("p") == _RDFS(p)).select(F.col("s").alias(a), F.col("o").alias(b))
+    u = g.unionByName(done).unionByName(g.join(part("subPropertyOf", "p", "q"), "p").select("s", F.col("q").alias("p"), "o")).distinct()
+    types = (
+        u.join(part("domain", "p", "c"), "p").select(F.col("s").alias("x"), "c")
+        .union(u.join(part("range", "p", "c"), "p").select("o", "c"))
+        .union(u.where(F.col("p") == RDF_TYPE).select("s", "o")).distinct()
+    )
+    types = types.union(types.join(part("subClassOf", "c", "d"), "c").select("x", "d")).distinct()
+    return u.union(types.select("x", F.lit(RDF_TYPE), "c")).distinct()
+
+
+# --- fixpoints: OWL --------------------------------------------------------------------------
+
+_LINK = f"SELECT DISTINCT '<{BASE}node/' || CAST(n_nationkey AS VARCHAR) || '>' AS s, '{_EX('next')}' AS p, '<{BASE}node/' || CAST((n_nationkey * 7 + 3) % 25 AS VARCHAR) || '>' AS o FROM nation"
+
+
+def _links(spark, sf_dir) -> DataFrame:
+    n = _read(spark, sf_dir, "nation")
+    return n.select(iri("node", F.col("n_nationkey")).alias("s"), F.lit(_EX("next")).alias("p"), iri("node", (F.col("n_nationkey") * 7 + 3) % 25).alias("o")).distinct()
+
+
+def _owl(spark, graph: DataFrame, extra, *names: str):
+    return closure(graph.unionByName(_constant_graph(spark, extra)) if extra else graph, programs.pick(programs.OWL_RL, *names))
+
+
+def _owl_triples(spark, graph, extra, *names) -> DataFrame:
+    return _owl(spark, graph, extra, *names).triples
+
+
+def _consts(rows) -> str:
+    return " UNION ALL ".join(f"SELECT '{s}', '{p}', '{o}'" for s, p, o in rows)
+
+
+_TRANSITIVE = [(_EX("next"), RDF_TYPE, _OWL("TransitiveProperty"))]
+_SYMMETRIC = [(_EX("next"), RDF_TYPE, _OWL("SymmetricProperty"))]
+
+
+@query(f"WITH RECURSIVE t AS ({_LINK}), r(a, b) AS (SELECT s, o FROM t UNION SELECT r.a, t.o FROM r JOIN t ON t.s = r.b) SELECT a AS s, '{_EX('next')}' AS p, b AS o FROM r UNION {_consts(_TRANSITIVE)}")
+def owl_transitive(spark, sf_dir):
+    return _owl_triples(spark, _links(spark, sf_dir), _TRANSITIVE, "prp-trp")
+
+
+@query(f"WITH t AS ({_LINK}) SELECT * FROM t UNION SELECT o, p, s FROM t UNION {_consts(_SYMMETRIC)}")
+def owl_symmetric(spark, sf_dir):
+    return _owl_triples(spark, _links(spark, sf_dir), _SYMMETRIC, "prp-symp")
+
+
+_INVERSE = [(_EX("inRegion"), _OWL("inverseOf"), _EX("hasNation"))]
+
+
+@query(_t("inRegion") + f"SELECT * FROM t UNION SELECT o, '{_EX('hasNation')}', s FROM t UNION {_consts(_INVERSE)}")
+def owl_inverse(spark, sf_dir):
+    return _owl_triples(spark, triples(spark, sf_dir, ["inRegion"]), _INVERSE, "prp-inv1", "prp-inv2")
+
+
+_EQUIV = [(_EX("Nation"), _OWL("equivalentClass"), _EX("Country"))]
+_TYPED = f"SELECT DISTINCT '<{BASE}nation/' || CAST(n_nationkey AS VARCHAR) || '>' AS s, '{RDF_TYPE}' AS p, CASE WHEN n_regionkey < 2 THEN '{_EX('Nation')}' ELSE '{_EX('Country')}' END AS o FROM nation"
+
+
+def _typed(spark, sf_dir) -> DataFrame:
+    return _read(spark, sf_dir, "nation").select(iri("nation", F.col("n_nationkey")).alias("s"), F.lit(RDF_TYPE).alias("p"), F.when(F.col("n_regionkey") < 2, _EX("Nation")).otherwise(_EX("Country")).alias("o")).distinct()
+
+
+@query(f"WITH t AS ({_TYPED}) SELECT * FROM t UNION SELECT s, p, '{_EX('Nation')}' FROM t UNION SELECT s, p, '{_EX('Country')}' FROM t UNION {_consts(_EQUIV)}")
+def owl_equivclass(spark, sf_dir):
+    return _owl_triples(spark, _typed(spark, sf_dir), _EQUIV, "cax-eqc1", "cax-eqc2")
+
+
+_EQPROP = [(_EX("inRegion"), _OWL("equivalentProperty"), _EX("partOf"))]
+
+
+@query(_t("inRegion") + f"SELECT * FROM t UNION SELECT s, '{_EX('partOf')}', o FROM t UNION {_consts(_EQPROP)}")
+def owl_equivprop(spark, sf_dir):
+    return _owl_triples(spark, triples(spark, sf_dir, ["inRegion"]), _EQPROP, "prp-eqp1", "prp-eqp2")
+
+
+_FUNCTIONAL = [(_EX("of"), RDF_TYPE, _OWL("FunctionalProperty"))]
+_OF = f"SELECT DISTINCT '<{BASE}region/' || CAST(n_regionkey AS VARCHAR) || '>' AS s, '{_EX('of')}' AS p, '<{BASE}nation/' || CAST(n_nationkey AS VARCHAR) || '>' AS o FROM nation"
+
+
+def _of(spark, sf_dir) -> DataFrame:
+    return _read(spark, sf_dir, "nation").select(iri("region", F.col("n_regionkey")).alias("s"), F.lit(_EX("of")).alias("p"), iri("nation", F.col("n_nationkey")).alias("o")).distinct()
+
+
+@query(f"WITH t AS ({_OF}) SELECT * FROM t UNION SELECT a.o, '{_OWL('sameAs')}', b.o FROM t a JOIN t b ON a.s = b.s AND a.o <> b.o UNION {_consts(_FUNCTIONAL)}")
+def owl_functional_sameas(spark, sf_dir):
+    return _owl_triples(spark, _of(spark, sf_dir), _FUNCTIONAL, "prp-fp")
+
+
+@query(f"WITH t AS ({_OF}) SELECT * FROM t UNION SELECT a.s, '{_OWL('sameAs')}', b.s FROM t a JOIN t b ON a.o = b.o AND a.s <> b.s UNION {_consts([(_EX('of'), RDF_TYPE, _OWL('InverseFunctionalProperty'))])}")
+def owl_inverse_functional_sameas(spark, sf_dir):
+    return _owl_triples(spark, _of(spark, sf_dir), [(_EX("of"), RDF_TYPE, _OWL("InverseFunctionalProperty"))], "prp-ifp")
+
+
+_SAME = f"SELECT DISTINCT '<{BASE}node/' || CAST(n_nationkey AS VARCHAR) || '>' AS s, '{_OWL('sameAs')}' AS p, '<{BASE}node/' || CAST(n_nationkey - 5 AS VARCHAR) || '>' AS o FROM nation WHERE n_nationkey >= 5"
+
+
+@query(f"WITH RECURSIVE t AS ({_SAME}), e AS (SELECT s, o FROM t UNION SELECT o, s FROM t), r(a, b) AS (SELECT s, o FROM e UNION SELECT r.a, e.o FROM r JOIN e ON e.s = r.b) SELECT a AS s, '{_OWL('sameAs')}' AS p, b AS o FROM r")
+def owl_sameas_closure(spark, sf_dir):
+    n = _read(spark, sf_dir, "nation").where("n_nationkey >= 5")
+    g = n.select(iri("node", F.col("n_nationkey")).alias("s"), F.lit(_OWL("sameAs")).alias("p"), iri("node", F.col("n_nationkey") - 5).alias("o")).distinct()
+    return _owl_triples(spark, g, [], "eq-sym", "eq-trans")
+
+
+_R = _EX("Restricted")
+_HV = [(_R, _OWL("hasValue"), "<urn:x:region/1>"), (_R, _OWL("onProperty"), _EX("inRegion"))]
+
+
+@query(_t("inRegion") + f"SELECT * FROM t UNION SELECT s, '{RDF_TYPE}', '{_R}' FROM t WHERE o = '<urn:x:region/1>' UNION {_consts(_HV)}")
+def owl_hasvalue(spark, sf_dir):
+    return _owl_triples(spark, triples(spark, sf_dir, ["inRegion"]), _HV, "cls-hv1", "cls-hv2")
+
+
+_SV = [(_R, _OWL("someValuesFrom"), _EX("Nation")), (_R, _OWL("onProperty"), _EX("inNation"))]
+
+
+@query(f"WITH t AS ({triples_sql(['inNation'])} UNION {_TYPED}) SELECT * FROM t UNION SELECT a.s, '{RDF_TYPE}', '{_R}' FROM t a JOIN t b ON a.o = b.s WHERE a.p = '{_EX('inNation')}' AND b.p = '{RDF_TYPE}' AND b.o = '{_EX('Nation')}' UNION {_consts(_SV)}")
+def owl_somevalues(spark, sf_dir):
+    return _owl_triples(spark, triples(spark, sf_dir, ["inNation"]).unionByName(_typed(spark, sf_dir)), _SV, "cls-svf1")
+
+
+_AV = [(_EX("Country"), _OWL("allValuesFrom"), _EX("Zone")), (_EX("Country"), _OWL("onProperty"), _EX("inRegion"))]
+
+
+@query(f"WITH t AS ({triples_sql(['inRegion'])} UNION {_TYPED}) SELECT * FROM t UNION SELECT a.o, '{RDF_TYPE}', '{_EX('Zone')}' FROM t a JOIN t b ON a.s = b.s WHERE a.p = '{_EX('inRegion')}' AND b.p = '{RDF_TYPE}' AND b.o = '{_EX('Country')}' UNION {_consts(_AV)}")
+def owl_allvalues(spark, sf_dir):
+    return _owl_triples(spark, triples(spark, sf_dir, ["inRegion"]).unionByName(_typed(spark, sf_dir)), _AV, "cls-avf")
+
+
+_FIRST, _REST, _NIL = (f"<{PREFIXES['rdf']}{n}>" for n in ("first", "rest", "nil"))
+
+
+def _list(first: str, *items: str):
+    rows = []
+    for k, x in enumerate(items):
+        node = f"_:{first}{k}"
+        rows += [(node, _FIRST, x), (node, _REST, f"_:{first}{k + 1}" if k + 1 < len(items) else _NIL)]
+    return rows
+
+
+_INT = [(_R, _OWL("intersectionOf"), "_:i0"), *_list("i", _EX("Nation"), _EX("Old"))]
+_OLD = f"SELECT DISTINCT '<{BASE}nation/' || CAST(n_nationkey AS VARCHAR) || '>' AS s, '{RDF_TYPE}' AS p, '{_EX('Old')}' AS o FROM nation WHERE n_nationkey % 3 = 0"
+
+
+def _old(spark, sf_dir) -> DataFrame:
+    return _read(spark, sf_dir, "nation").where("n_nationkey % 3 = 0").select(iri("nation", F.col("n_nationkey")).alias("s"), F.lit(RDF_TYPE).alias("p"), F.lit(_EX("Old")).alias("o")).distinct()
+
+
+@query(f"WITH t AS ({_TYPED} UNION {_OLD}) SELECT * FROM t UNION SELECT a.s, '{RDF_TYPE}', '{_R}' FROM t a JOIN t b ON a.s = b.s AND a.o = '{_EX('Nation')}' AND b.o = '{_EX('Old')}' UNION {_consts(_INT)}")
+def owl_intersection_list(spark, sf_dir):
+    return _owl_triples(spark, _typed(spark, sf_dir).unionByName(_old(spark, sf_dir)), _INT, "item-first", "item-rest", "joint-first", "joint-rest", "in-all-last", "in-all-more", "cls-int1", "cls-int2")
+
+
+_UNI = [(_R, _OWL("unionOf"), "_:u0"), *_list("u", _EX("Nation"), _EX("Old"))]
+
+
+@query(f"WITH t AS ({_TYPED} UNION {_OLD}) SELECT * FROM t UNION SELECT s, '{RDF_TYPE}', '{_R}' FROM t WHERE o IN ('{_EX('Nation')}', '{_EX('Old')}') UNION {_consts(_UNI)}")
+def owl_union_list(spark, sf_dir):
+    return _owl_triples(spark, _typed(spark, sf_dir).unionByName(_old(spark, sf_dir)), _UNI, "item-first", "item-rest", "cls-uni")
+
+
+_ONE = [(_R, _OWL("oneOf"), "_:o0"), *_list("o", "<urn:x:nation/1>", "<urn:x:nation/2>", "<urn:x:nation/4>")]
+
+
+@query(f"SELECT * FROM ({_consts(_ONE)}) x(s, p, o) UNION SELECT '<urn:x:nation/' || CAST(unnest([1, 2, 4]) AS VARCHAR) || '>', '{RDF_TYPE}', '{_R}'")
+def owl_oneof_list(spark, sf_dir):
+    return _owl_triples(spark, _constant_graph(spark, _ONE), [], "item-first", "item-rest", "cls-oo")
+
+
+_CHAIN = [(_EX("fromRegion"), _OWL("propertyChainAxiom"), "_:c0"), *_list("c", _EX("placedBy"), _EX("inNation"), _EX("inRegion"))]
+
+
+@query(_t("placedBy", "inNation", "inRegion") + f"SELECT * FROM t UNION SELECT a.s, '{_EX('fromRegion')}', c.o FROM t a JOIN t b ON a.o = b.s JOIN t c ON b.o = c.s WHERE a.p = '{_EX('placedBy')}' AND b.p = '{_EX('inNation')}' AND c.p = '{_EX('inRegion')}' UNION {_consts(_CHAIN)}")
+def owl_property_chain(spark, sf_dir):
+    return _owl_triples(spark, triples(spark, sf_dir, ["placedBy", "inNation", "inRegion"]), _CHAIN, "chain-last", "chain-more", "chained-first", "chained-rest", "prp-spo2")
+
+
+_KEY = [(_EX("Item"), _OWL("hasKey"), "_:k0"), *_list("k", _EX("brand"), _EX("type"))]
+_ITEMS = f"SELECT DISTINCT '<{BASE}part/' || CAST(p_partkey AS VARCHAR) || '>' AS s, '{RDF_TYPE}' AS p, '{_EX('Item')}' AS o FROM part WHERE p_partkey <= 120"
+
+
+@query(f"WITH t AS ({_ITEMS}), b AS (SELECT '<{BASE}part/' || CAST(p_partkey AS VARCHAR) || '>' AS s, p_brand, p_type FROM part WHERE p_partkey <= 120) SELECT DISTINCT x.s AS s, y.s AS o FROM b x JOIN b y ON x.p_brand = y.p_brand AND x.p_type = y.p_type AND x.s <> y.s")
+def owl_haskey(spark, sf_dir):
+    p = _read(spark, sf_dir, "part").where("p_partkey <= 120")
+    s = iri("part", F.col("p_partkey")).alias("s")
+    lit = lambda c: F.concat(F.lit('"'), F.col(c), F.lit('"')).alias("o")
+    g = p.select(s, F.lit(RDF_TYPE).alias("p"), F.lit(_EX("Item")).alias("o")).unionByName(p.select(s, F.lit(_EX("brand")).alias("p"), lit("p_brand"))).unionByName(p.select(s, F.lit(_EX("type")).alias("p"), lit("p_type")))
+    done = _owl_triples(spark, g, _KEY, "keyed", "keyed-rest", "key-last", "key-more", "prp-key")
+    return done.where(F.col("p") == _OWL("sameAs")).select("s", "o")
+
+
+_MAXC = [(_EX("Nation"), _OWL("maxCardinality"), f'"1"^^<{PREFIXES["xsd"]}nonNegativeInteger>'), (_EX("Nation"), _OWL("onProperty"), _EX("inRegion"))]
+
+
+@query(f"SELECT CAST(0 AS BIGINT) AS n FROM (SELECT count(*) FROM nation)")
+def owl_maxcardinality_sameas(spark, sf_dir):
+    g = triples(spark, sf_dir, ["inRegion"]).unionByName(_typed(spark, sf_dir))
+    return _owl_triples(spark, g, _MAXC, "cls-maxc2").where(F.col("p") == _OWL("sameAs")).agg(F.count("*").alias("n"))
+
+
+@query()
+def owl_rl_closure(spark, sf_dir):
+    """The whole OWL 2 RL program over the schema and the nations."""
+    g = triples(spark, sf_dir, ["inRegion"]).unionByName(_constant_graph(spark, [*_SCHEMA, *_INVERSE, *_EQUIV, *_UNI]))
+    return closure(g, programs.OWL_RL).triples
+
+
+# --- inconsistency ---------------------------------------------------------------------------
+
+
+def _flag(spark, graph, extra, *names) -> DataFrame:
+    return spark.createDataFrame([(_owl(spark, graph, extra, *names).inconsistent,)], "inconsistent boolean")
+
+
+@query(f"WITH t AS ({_TYPED} UNION {_OLD}) SELECT count(*) > 0 AS inconsistent FROM t a JOIN t b ON a.s = b.s WHERE a.o = '{_EX('Nation')}' AND b.o = '{_EX('Old')}'")
+def inconsistent_disjoint(spark, sf_dir):
+    return _flag(spark, _typed(spark, sf_dir).unionByName(_old(spark, sf_dir)), [(_EX("Nation"), _OWL("disjointWith"), _EX("Old"))], "cax-dw")
+
+
+@query(f"WITH t AS ({_LINK}) SELECT count(*) > 0 AS inconsistent FROM t WHERE s = o")
+def inconsistent_irreflexive(spark, sf_dir):
+    return _flag(spark, _links(spark, sf_dir), [(_EX("next"), RDF_TYPE, _OWL("IrreflexiveProperty"))], "prp-irp")
+
+
+@query(f"WITH t AS ({_LINK}) SELECT count(*) > 0 AS inconsistent FROM t a JOIN t b ON a.s = b.o AND a.o = b.s")
+def inconsistent_asymmetric(spark, sf_dir):
+    return _flag(spark, _links(spark, sf_dir), [(_EX("next"), RDF_TYPE, _OWL("AsymmetricProperty"))], "prp-asyp")
+
+
+@query("SELECT count(*) > 0 AS inconsistent FROM nation WHERE n_regionkey < 2")
+def inconsistent_maxcard0(spark, sf_dir):
+    extra = [(_EX("Nation"), _OWL("maxCardinality"), f'"0"^^<{PREFIXES["xsd"]}nonNegativeInteger>'), (_EX("Nation"), _OWL("onProperty"), _EX("inRegion"))]
+    return _flag(spark, triples(spark, sf_dir, ["inRegion"]).unionByName(_typed(spark, sf_dir)), extra, "cls-maxc1")
+
+
+@query("SELECT count(*) > 0 AS inconsistent FROM nation WHERE n_nationkey = 12")
+def inconsistent_differentfrom(spark, sf_dir):
+    n = _read(spark, sf_dir, "nation").where("n_nationkey >= 5")
+    g = n.select(iri("node", F.col("n_nationkey")).alias("s"), F.lit(_OWL("sameAs")).alias("p"), iri("node", F.col("n_nationkey") - 5).alias("o"))
+    return _flag(spark, g, [("<urn:x:node/12>", _OWL("differentFrom"), "<urn:x:node/2>")], "eq-sym", "eq-trans", "eq-diff1")
+
+
+@query("SELECT n_regionkey AS part, CAST(sum(CASE WHEN n_nationkey = n_regionkey THEN 1 ELSE 0 END) AS BIGINT) AS bad, bool_or(n_nationkey = n_regionkey) AS inconsistent FROM nation GROUP BY n_regionkey")
+def inconsistent_partitions(spark, sf_dir):
+    bad = F.col("n_nationkey") == F.col("n_regionkey")
+    return _read(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("part")).agg(F.count_if(bad).alias("bad"), F.bool_or(bad).alias("inconsistent"))
+
+
+# --- rule text, retraction, metrics ----------------------------------------------------------
+
+
+@query(_t("segment", "inNation") + f"SELECT s, p, o FROM t WHERE NOT (p = '{_EX('segment')}' AND o = '\"BUILDING\"') UNION SELECT s, '{_EX('kind')}', '\"builder\"' FROM t WHERE p = '{_EX('segment')}' AND o = '\"BUILDING\"'")
+def rule_retract_assert(spark, sf_dir):
+    program = parse(f"""
+Prefix(e <{BASE}>)
+If And(?x[e:segment->"BUILDING"]) Then Do(Assert(?x[e:kind->"builder"]) Retract(?x[e:segment->"BUILDING"]))
+""")
+    return closure(triples(spark, sf_dir, ["segment", "inNation"]), program.rules).triples
+
+
+@query(_t("inNation", "inRegion") + f"SELECT s, p, o FROM t UNION SELECT a.s, '{_EX('isIn')}', b.o FROM t a JOIN t b ON a.o = b.s WHERE a.p = '{_EX('inNation')}' AND b.p = '{_EX('inRegion')}' AND b.o <> '<urn:x:region/0>'")
+def rule_text_program(spark, sf_dir):
+    program = parse(f"""
+Prefix(e <{BASE}>)
+#DEFINE place e:inRegion
+(* <#near> *)
+Forall ?x ?n ?r (
+  near(?x ?r) :- And(?x[e:inNation->?n] ?n[{{place}}->?r])
+)
+Forall ?x ?r (?x[e:isIn->?r] :- And(near(?x ?r) Not(?r = <{BASE}region/0>)))
+""")
+    return closure(triples(spark, sf_dir, ["inNation", "inRegion"]), program.rules).triples
+
+
+@query()
+def closure_metrics(spark, sf_dir):
+    done = closure(_with_schema(spark, sf_dir), programs.MINIMAL_RDFS)
+    return spark.createDataFrame([(m["round"], m["variants"], sum(m["relations"].values())) for m in done.metrics], "round int, variants int, new long")
+
+
+# --- N-Triples and terms ---------------------------------------------------------------------
+
+_LINES = [
+    "<http://e/a> <http://e/p> <http://e/b> .",
+    '_:x <http://e/p> "caf\\u00E9 \\"q\\""@fr .',
+    '<http://e/a> <http://e/p> "1"^^<http://www.w3.org/2001/XMLSchema#integer> .',
+    '"lit" <http://e/p> <http://e/b> .',
+    "<http://e/a> _:p <http://e/b> .",
+    "no triple here",
+    "<a> <http://e/p> <http://e/b> .",
+]
+
+
+@query()
+def nt_parse(spark, sf_dir):
+    lines = spark.createDataFrame([(x,) for x in _LINES], "line string")
+    return lines.select("line", ntriples.parse(F.col("line")).alias("t")).select("line", "t.*")
+
+
+@query(_t("name", "inRegion") + "SELECT s || ' ' || p || ' ' || o || ' .' AS line FROM t")
+def nt_serialize(spark, sf_dir):
+    return triples(spark, sf_dir, ["name", "inRegion"]).select(ntriples.serialize(F.col("s"), F.col("p"), F.col("o")).alias("line"))
+
+
+@query(_t("name", "inRegion") + "SELECT s, p, o FROM t")
+def nt_roundtrip(spark, sf_dir):
+    g = triples(spark, sf_dir, ["name", "inRegion"])
+    return g.select(ntriples.parse(ntriples.serialize(F.col("s"), F.col("p"), F.col("o"))).alias("t")).select("t.s", "t.p", "t.o")
+
+
+@query(_t() + "SELECT CAST(CASE WHEN o LIKE '<%' THEN 2 ELSE 3 END AS INTEGER) AS kind, CAST(count(*) AS BIGINT) AS n FROM t GROUP BY 1")
+def term_kind(spark, sf_dir):
+    return triples(spark, sf_dir).groupBy(terms.kind(F.col("o")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, replace(replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), chr(9), chr(92) || 't'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), '\"', chr(92) || '\"') AS esc FROM documents")
+def literal_escape(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", terms.escape(F.col("text")).alias("esc"))
+
+
+@query("SELECT doc_id, text FROM documents")
+def literal_unescape(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", terms.unescape(terms.escape(F.col("text"))).alias("text"))
+
+
+@query("SELECT DISTINCT CASE WHEN regexp_matches(source, '^[QXZ0-9]') THEN 'X' || source ELSE source END AS label FROM documents")
+def bnode_sanitize(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select(terms.sanitize_label(F.col("source")).alias("label")).distinct()
+
+
+@query("SELECT DISTINCT '<tag:tripleloom,2024:blank#' || source || '>' AS t FROM documents")
+def bnode_ground(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select(terms.ground(F.concat(F.lit("_:"), F.col("source"))).alias("t")).distinct()
+
+
+@query(_t("inNation") + "SELECT DISTINCT 'n:' || regexp_extract(o, 'nation/([0-9]+)', 1) AS c FROM t WHERE o LIKE '<urn:x:nation/%'")
+def curie_compact(spark, sf_dir):
+    g = triples(spark, sf_dir, ["inNation"])
+    return g.select(terms.compact(F.col("o"), {"n": f"{BASE}nation/"}).alias("c")).distinct()
+
+
+@query(_t("inNation") + "SELECT DISTINCT o FROM t")
+def curie_expand(spark, sf_dir):
+    g = triples(spark, sf_dir, ["inNation"])
+    prefixes = {"n": f"{BASE}nation/"}
+    return g.select(terms.expand(terms.compact(F.col("o"), prefixes), prefixes).alias("o")).distinct()
+
+
+@query()
+def one_at_a_time_hash(spark, sf_dir):
+    return _read(spark, sf_dir, "nation").select("n_name", terms.one_at_a_time(F.col("n_name")).alias("h"))
+
+
+# --- IRIs, tags, Unicode ---------------------------------------------------------------------
+
+_URL = "regexp_extract(url, '^([a-z]+)://([^/?#:]+)([^?#]*)([?]([^#]*))?(#(.*))?$', {})"
+
+
+@query(f"SELECT page_id, {_URL.format(1)} AS scheme, {_URL.format(2)} AS host, {_URL.format(3)} AS path, CASE WHEN contains(url, '?') THEN {_URL.format(5)} END AS query, CASE WHEN contains(url, '#') THEN {_URL.format(7)} END AS fragment FROM pages")
+def iri_split(spark, sf_dir):
+    u = F.col("url")
+    return _read(spark, sf_dir, "pages").select("page_id", *[iris.part(u, n).alias(n) for n in ("scheme", "host", "path", "query", "fragment")])
+
+
+@query(f"SELECT {_URL.format(1)} AS scheme, {_URL.format(2)} AS host, CAST(count(*) AS BIGINT) AS n FROM pages GROUP BY 1, 2")
+def iri_host_scheme_counts(spark, sf_dir):
+    u = F.col("url")
+    return _read(spark, sf_dir, "pages").groupBy(iris.part(u, "scheme").alias("scheme"), iris.part(u, "host").alias("host")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN contains(url, '#') THEN 0 ELSE 1 END) AS BIGINT) AS absolute FROM pages")
+def iri_classes(spark, sf_dir):
+    u = F.col("url")
+    return _read(spark, sf_dir, "pages").agg(F.count_if(iris.is_iri(u)).alias("n"), F.count_if(iris.is_absolute(u)).alias("absolute"))
+
+
+@query()
+def iri_normalize(spark, sf_dir):
+    return _read(spark, sf_dir, "pages").select("page_id", iris.normalize(F.col("url")).alias("url"))
+
+
+@query()
+def iri_resolve(spark, sf_dir):
+    path = F.concat(F.lit("../a/./"), F.col("page_id").cast("string"))
+    return _read(spark, sf_dir, "pages").select("page_id", iris.resolve(path, "http://e.org/b/c/d?q").alias("iri"))
+
+
+@query("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n8 FROM documents")
+def utf8_length(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", uni.encoded_length(F.col("text"), "UTF-8").cast("long").alias("n8"))
+
+
+@query()
+def iri_urify(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", F.length(iris.urify(F.col("text"))).cast("long").alias("n"))
+
+
+@query("SELECT lang, CAST(count(*) AS BIGINT) AS n FROM documents WHERE lower(lang) = 'de' OR starts_with(lower(lang), 'de-') GROUP BY lang")
+def lang_range_basic(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").where(tags.matches_basic(F.col("lang"), "de")).groupBy("lang").agg(F.count("*").alias("n"))
+
+
+@query()
+def langtag_normalize(spark, sf_dir):
+    each = F.explode(F.array(*map(F.lit, ["DE-latn-at", "zh-YUE", "iw", "en-a-bbb-x-AA", "i-klingon", "sl-rozaj-1994"])))
+    t = F.concat(F.col("lang"), F.lit("-latn-DE"))
+    some = _read(spark, sf_dir, "documents").select(t.alias("t")).distinct().union(spark.range(1).select(each))
+    return some.select("t", tags.normalize(F.col("t")).alias("n"), tags.extlangify(F.col("t")).alias("e"), tags.matches_extended(F.col("t"), "de-*-DE").alias("m"))
+
+
+@query("SELECT doc_id, nfc_normalize(text) AS text FROM documents")
+def nfc_normalize(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", uni.normalize(F.col("text"), "NFC").alias("text"))
+
+
+# --- statistics, order -----------------------------------------------------------------------
+
+
+@query(
+    _t()
+    + ", x AS (SELECT unnest([s, p, o]) AS t FROM t) SELECT CAST(count(*) AS BIGINT) AS terms, CAST(count_if(t LIKE '<%') AS BIGINT) AS iris, CAST(count_if(t LIKE '\"%') AS BIGINT) AS literals, CAST(count_if(t LIKE '\"%') AS BIGINT) AS literals_simple, CAST(count_if(t LIKE '_:%') AS BIGINT) AS bnodes FROM x"
+)
+def term_stats(spark, sf_dir):
+    return stats.counters(triples(spark, sf_dir)).select("terms", "iris", "literals", "literals_simple", "bnodes")
+
+
+@query()
+def term_stats_all(spark, sf_dir):
+    return stats.counters(triples(spark, sf_dir))
+
+
+@query("SELECT CASE WHEN n_nationkey % 3 = 0 THEN 'not a triple' ELSE 'literal subject' END AS error, CAST(count(*) AS BIGINT) AS n FROM nation WHERE n_nationkey % 3 < 2 GROUP BY 1")
+def error_histogram(spark, sf_dir):
+    k = F.col("n_nationkey") % 3
+    line = F.when(k == 0, F.lit("broken")).when(k == 1, F.lit('"x" <http://e/p> <http://e/o> .')).otherwise(F.lit("<http://e/s> <http://e/p> <http://e/o> ."))
+    parsed = _read(spark, sf_dir, "nation").select(ntriples.parse(line).alias("t"))
+    return stats.error_histogram(parsed.where("t.error is not null").select("t.error"))
+
+
+@query("SELECT o_orderstatus AS phase, round(min(o_totalprice), 2) AS lo, round(max(o_totalprice), 2) AS hi, CAST(round(avg(o_totalprice)) AS BIGINT) AS mean, CAST(round(stddev_pop(o_totalprice)) AS BIGINT) AS dev FROM orders GROUP BY 1")
+def phase_stats(spark, sf_dir):
+    got = stats.phase_times(_read(spark, sf_dir, "orders"), "o_orderstatus", "o_totalprice")
+    return got.select(F.col("o_orderstatus").alias("phase"), F.round("min", 2).alias("lo"), F.round("max", 2).alias("hi"), F.round("avg").cast("long").alias("mean"), F.round("stddev").cast("long").alias("dev"))
+
+
+@query("SELECT n_regionkey AS g, n_nationkey AS k, CAST(coalesce(sum(length(n_name)) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM nation")
+def prefix_sum_offsets(spark, sf_dir):
+    n = _read(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("g"), F.col("n_nationkey").alias("k"), F.length("n_name").cast("long").alias("v"))
+    return rel.prefix_sums(n, ["g"], ["k"], "v").select("g", "k", "start")
+
+
+@query(_t("inRegion", "segment") + "SELECT s, p, o FROM t ORDER BY s, p, o LIMIT 100")
+def order_spo(spark, sf_dir):
+    return rel.best(triples(spark, sf_dir, ["inRegion", "segment"]), ["s", "p", "o"], 100)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1")
+def top1_pick(spark, sf_dir):
+    return rel.best(_read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), "o_orderkey"])
+
+
+@query(_t("inNation") + "SELECT CAST(count(*) AS BIGINT) AS n FROM t")
+def repartition_random(spark, sf_dir):
+    return rel.randomize(triples(spark, sf_dir, ["inNation"]), 8).agg(F.count("*").alias("n"))
+
+
+@query(_t(*_PLACES) + f"SELECT s, p, o FROM t WHERE p = '{_EX('inRegion')}'")
+def replicate_condition(spark, sf_dir):
+    return rel.replicate(triples(spark, sf_dir, _PLACES), F.col("p") == _EX("inRegion"))[0]
+
+
+@query()
+def placement_advice(spark, sf_dir):
+    return spark.createDataFrame(placement.advice(programs.MINIMAL_RDFS), "what string, pattern string")
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagship: the minimal RDFS closure."""
+    return rdfs_min_closure(spark, sf_dir)
+
+
+__all__ = ["QUERIES", "ORACLE_SQL", "entry", "Column", "MAPPING", "conjuncts"]
