@@ -5,7 +5,8 @@ signatures within Hamming distance ``DISTANCE = CHUNKS * (ERRORS + 1) - 1`` (com
 that differ) have, by pigeonhole, a chunk with at most ``ERRORS`` differing components;
 every choice of ``ERRORS`` components to leave out of a chunk gives a key, so all pairs
 under the distance share a key: guaranteed, whatever the data. At similarity 0.85 a pair
-is over the distance with probability about 1e-7, at 0.8 about 2e-4.
+is over the distance with probability about 1e-6, at 0.8 about 2e-4. Candidates are then
+held to a sharper limit over ``CHECK`` further minima (missed with probability 1e-5).
 
 Pairs are never expanded inside a bucket:
 
@@ -40,10 +41,13 @@ from .common import VOCAB_LIMIT, Scratch, Vocab, doc_words, ship, text_chunks
 SHINGLE, CHUNKS, WIDTH, ERRORS, BITS = 5, 12, 5, 1, 16
 SIZE = CHUNKS * WIDTH
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
-#: Rows of one side of a block in step 3, and documents confirmed against one copy of a text.
-BLOCK, FAN = 512, 256
-#: Rounds that confirm one pair for each component before all that are left are confirmed at once.
-PICKS = 3
+#: Further minima, of 8 bits, that sharpen the distance of a candidate pair but make no keys.
+CHECK = 192
+BYTES = 2 * SIZE + CHECK
+#: Standard deviations that a pair at the wanted similarity may lie over its expected distance.
+SIGMAS = 4.2
+#: Rows of one side of a block in step 3, and rows of a counted table up to which it is broadcast (16 bytes a row).
+BLOCK, SMALL = 512, 200_000
 
 _M1, _M2, _P = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -60,7 +64,7 @@ def _coefficients(n: int):
     return mix(k * _P) | np.uint64(1), mix(k * _M1)
 
 
-_A, _B = _coefficients(SIZE)
+_A, _B = (x.astype(np.uint32)[:, None] for x in _coefficients(SIZE + CHECK))
 
 
 def words(text: str) -> list[bytes]:
@@ -104,12 +108,32 @@ class Shingler:
         return out
 
 
-def signature(s: np.ndarray) -> np.ndarray:
-    """The b-bit minima of a set of hashes."""
-    low = np.full(SIZE, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(s), 1 << 14):
-        low = np.minimum(low, (_A[:, None] * s[None, at : at + (1 << 14)] + _B[:, None]).min(1))
-    return mix(low).astype(np.uint16)
+def signature(s: np.ndarray) -> bytes:
+    """The b-bit minima of a set of hashes: SIZE of 16 bits, then CHECK of 8 bits."""
+    low = np.full(SIZE + CHECK, np.iinfo(np.uint32).max, np.uint32)
+    u = (s >> np.uint64(32)).astype(np.uint32)[None, :]
+    for at in range(0, u.shape[1], 1024):
+        low = np.minimum(low, (_A * u[:, at : at + 1024] + _B).min(1))
+    low = mix(low.astype(np.uint64) + _P)
+    return low[:SIZE].astype(np.uint16).tobytes() + low[SIZE:].astype(np.uint8).tobytes()
+
+
+def unpack(sigs) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, SIZE) of 16 bits and (rows, CHECK) of 8 bits."""
+    raw = np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, BYTES)
+    return np.ascontiguousarray(raw[:, : 2 * SIZE]).view(np.uint16), raw[:, 2 * SIZE :]
+
+
+def close(x, y, limit: int) -> np.ndarray:
+    """Rows of unpacked signatures within the join's distance and the sharper ``limit`` over all components."""
+    d = (x[0] != y[0]).sum(1)
+    return (d <= DISTANCE) & (d + (x[1] != y[1]).sum(1) <= limit)
+
+
+def distance_limit(num: int, den: int) -> int:
+    """Components in which a pair at similarity num/den may differ, ``SIGMAS`` deviations over the expected number."""
+    n, p = SIZE + CHECK, 1 - num / den
+    return int(n * p + SIGMAS * (n * p * (1 - p)) ** 0.5) + 1
 
 
 def bucket_keys(sig: np.ndarray) -> np.ndarray:
@@ -137,7 +161,7 @@ def signatures(docs: DataFrame, text: str, width: int) -> DataFrame:
             n = [len(s) for s in sets]
             h1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
             h2 = np.array([mix(s ^ _P).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-            sig = [signature(s).tobytes() if len(s) else None for s in sets]
+            sig = [signature(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1), pa.array(h2), pa.array(sig, pa.binary())], names=["doc_id", "n", "h1", "h2", "sig"])
 
     return src.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, sig binary")
@@ -150,8 +174,7 @@ def _keyed(reps: DataFrame) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
-                sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint16).reshape(-1, SIZE)
-                k = bucket_keys(sig)
+                k = bucket_keys(unpack(part.column("sig").to_pylist())[0])
                 wide = lambda c: pa.array(np.repeat(part.column(c).to_numpy(zero_copy_only=False), k.shape[1]))
                 yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), wide("id"), wide("root")], names=["key", "id", "root"])
 
@@ -164,12 +187,14 @@ def _near(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     both = both.where(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
 
+    limit = distance_limit(num, den)
+
     def run(batches):
         for b in batches:
-            if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, SIZE) for c in ("sig_a", "sig_b"))
-                ok = pa.array((x != y).sum(1) <= DISTANCE)
-                yield b.select(["a", "b"]).filter(ok)
+            for at in range(0, b.num_rows, 4000):
+                part = b.slice(at, 4000)
+                ok = close(unpack(part.column("sig_a").to_pylist()), unpack(part.column("sig_b").to_pylist()), limit)
+                yield part.select(["a", "b"]).filter(pa.array(ok))
 
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
@@ -177,53 +202,52 @@ def _near(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
 def _confirm(pairs: DataFrame, docs: DataFrame, text: str, width: int, num: int, den: int) -> DataFrame:
     """Pairs (a, b) whose full shingle sets are similar enough.
 
-    One copy of the text of ``a`` meets at most about ``FAN`` texts of its partners in a task.
+    Each text of a ``b`` is moved twice and that of an ``a`` once; a frequent ``a`` is a
+    skewed join, which Spark splits, and its set is made once for a run of partners.
     """
-    need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string").alias("text")).join(need, "doc_id", "left_semi")
-    fans = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(FAN)).cast("int").alias("fans"))
-    right = pairs.join(fans, "a").join(texts.withColumnRenamed("doc_id", "b"), "b")
-    right = right.select("a", F.pmod(F.hash("b"), F.col("fans")).alias("fan"), "b", F.lit(1).alias("side"), "text")
-    left = texts.withColumnRenamed("doc_id", "a").join(fans, "a")
-    left = left.select("a", F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("fan"), F.col("a").alias("b"), F.lit(0).alias("side"), "text")
-    dealt = left.unionByName(right).repartition("a", "fan").sortWithinPartitions("a", "fan", "side")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string").alias("text")).where("doc_id is not null and text is not null")
+    side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
 
     def run(batches):
-        shingler, now, mine = Shingler(width), None, []
-        for b in text_chunks(batches):
-            sets = shingler.sets(b.column("text").to_pylist())
-            a, fan, other, side = (b.column(c).to_pylist() for c in ("a", "fan", "b", "side"))
-            out_a, out_b = [], []
+        shingler, now, mine = Shingler(width), None, None
+        for b in text_chunks(batches, "text_b"):
+            sets = shingler.sets(b.column("text_b").to_pylist())
+            first, a, other = b.column("text_a"), b.column("a").to_pylist(), b.column("b").to_pylist()
+            ok = []
             for i, s in enumerate(sets):
-                if side[i] == 0:
-                    if (a[i], fan[i]) != now:
-                        now, mine = (a[i], fan[i]), []
-                    mine.append(s)
-                elif (a[i], fan[i]) == now:
-                    for m in mine:
-                        both = len(np.intersect1d(m, s, assume_unique=True))
-                        if both and both * den >= num * (len(m) + len(s) - both):
-                            out_a.append(a[i])
-                            out_b.append(other[i])
-                            break
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
-
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+                t = first[i].as_py() if now is None or a[i] != now[0] else now[1]
+                if (a[i], t) != now:
+                    now = (a[i], t)
+                    (mine,) = shingler.sets([t])
+                both_n = len(np.intersect1d(mine, s, assume_unique=True))
+                ok.append(bool(both_n) and both_n * den >= num * (len(mine) + len(s) - both_n))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(other, pa.int64())], names=["a", "b"]).filter(pa.array(ok))
+
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has at most ``SMALL`` rows (it is counted, from its footers)."""
+    return F.broadcast(df) if df.count() <= SMALL else df
 
 
 def _jump(parent: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
     """(id, root) of a forest (id, root) in which every id points to a smaller one, by pointer doubling."""
     step = 0
-    parent = scratch.table(parent, f"{tag}-{step}")
+    now = scratch.table(parent, f"{tag}-{step}")
     while True:
-        up = parent.select(F.col("id").alias("root"), F.col("root").alias("up"))
-        nxt = parent.join(up, "root", "left").select("id", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("moved"))
-        nxt = scratch.table(nxt, f"{tag}-{step + 1}")
+        up = _small(now)
+        out = now.withColumn("moved", F.lit(False))
+        for k in range(2):  # two hops a round
+            hop = up.select(F.col("id").alias("root"), F.col("root").alias("up"))
+            out = out.join(hop, "root", "left").select("id", F.coalesce("up", "root").alias("root"), (F.col("moved") | F.col("up").isNotNull()).alias("moved"))
+        out = scratch.table(out, f"{tag}-{step + 1}")
         scratch.drop(f"{tag}-{step}")
         step += 1
-        if nxt.where("moved").isEmpty():
-            return nxt.drop("moved")
-        parent = nxt.drop("moved")
+        if out.where("moved").isEmpty():
+            return out.drop("moved")
+        now = out.drop("moved")
 
 
 class _Links:
@@ -231,50 +255,65 @@ class _Links:
 
     def __init__(self, spark, scratch: Scratch, confirm):
         self.spark, self.scratch, self.confirm, self.k = spark, scratch, confirm, 0
-        self.root = spark.createDataFrame([], "id long, root long")
+        self.root: DataFrame | None = None
 
     def rooted(self, pairs: DataFrame) -> DataFrame:
         """Pairs between different components, with lo and hi, the smaller and the larger root."""
-        r = self.root
+        if self.root is None:
+            return pairs.where("a <> b").select("a", "b", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+        r = _small(self.root)
         x = pairs.join(r.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a", "left").join(r.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b", "left")
         x = x.withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")}).where("ra <> rb")
         return x.select("a", "b", F.least("ra", "rb").alias("lo"), F.greatest("ra", "rb").alias("hi"))
 
     def resolve(self, pairs: DataFrame) -> None:
-        """Confirm and contract until no pair is left between components."""
-        s, sure = self.scratch, False
+        """Confirm and contract until no pair is left between components.
+
+        First the pair of each larger component with its smallest neighbour; then, mostly
+        few, all that are left between components, which need no more texts after that.
+        """
+        s, sure, tried = self.scratch, False, False
         while True:
             self.k += 1
             k = self.k
             left = s.table(self.rooted(pairs), f"left-{k}")
             if left.isEmpty():
                 return
-            if not sure and k % (PICKS + 1) == 0:
-                pairs, sure = s.table(self.confirm(left.select("a", "b")), f"sure-{k}"), True
-                continue
+            if tried and not sure:
+                left, sure = s.table(left.join(self.confirm(left.select("a", "b")), ["a", "b"], "left_semi"), f"sure-{k}"), True
             pick = left.groupBy("hi").agg(F.min(F.struct("lo", "a", "b")).alias("p")).select("hi", "p.lo", "p.a", "p.b")
+            pairs = left.select("a", "b")
             if not sure:
+                tried = True
                 pick = s.table(pick, f"pick-{k}")
-                good = self.confirm(pick.select("a", "b"))
-                pairs = left.select("a", "b").join(pick.select("a", "b"), ["a", "b"], "left_anti")
-                pick = pick.join(good, ["a", "b"], "left_semi")
-            else:
-                pairs = left.select("a", "b")
+                pairs = pairs.join(_small(pick.select("a", "b")), ["a", "b"], "left_anti")
+                pick = pick.join(self.confirm(pick.select("a", "b")), ["a", "b"], "left_semi")
             hooked = _jump(pick.select(F.col("hi").alias("id"), F.col("lo").alias("root")), s, f"hook-{k}")
-            up = hooked.select(F.col("id").alias("root"), F.col("root").alias("up"))
-            moved = self.root.join(up, "root", "left").select("id", F.coalesce("up", "root").alias("root"))
-            self.root = s.table(moved.unionByName(hooked), f"root-{k}")
-            pairs = s.table(pairs, f"rest-{k}")
+            if self.root is None:
+                self.root = hooked
+            else:
+                up = _small(hooked).select(F.col("id").alias("root"), F.col("root").alias("up"))
+                moved = self.root.join(up, "root", "left").select("id", F.coalesce("up", "root").alias("root"))
+                self.root = s.table(moved.unionByName(hooked), f"root-{k}")
+
+    def named(self, ids: DataFrame) -> DataFrame:
+        """``ids`` (with a column id) and the root of each."""
+        if self.root is None:
+            return ids.withColumn("root", F.col("id"))
+        return ids.join(_small(self.root), "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
-def _across(reps: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and are within the distance."""
+def _across(reps: DataFrame, scratch: Scratch, limit: int) -> DataFrame | None:
+    """Pairs (a, b) of different components that share a bucket and are within the distance; None if no bucket is mixed."""
     keyed = _keyed(reps)
     mixed = keyed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    rows = scratch.table(keyed.join(mixed, "key", "left_semi"), "mixed")
+    mixed = scratch.table(mixed, "mixed-keys")
+    if mixed.isEmpty():
+        return None
+    rows = scratch.table(keyed.join(_small(mixed), "key", "left_semi"), "mixed")
     by = rows.groupBy("key", "root").agg(F.count("*").alias("c"))
     size = by.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("big"), F.max("c").alias("n_big"), (F.sum("c") - F.max("c")).alias("n_small"))
-    rows = rows.join(size, "key")
+    rows = rows.join(_small(scratch.table(size, "mixed-sizes")), "key")
     h = lambda n: F.pmod(F.hash("id"), F.ceil(F.col(n) / F.lit(BLOCK)).cast("int"))
     last = lambda n: F.ceil(F.col(n) / F.lit(BLOCK)).cast("int") - 1
     of_big = F.col("root") == F.col("big")
@@ -296,25 +335,27 @@ def _across(reps: DataFrame, scratch: Scratch) -> DataFrame:
             for at, to in zip(edge, [*edge[1:], len(k)]):
                 run_key = tuple(k[at].tolist())
                 if run_key != now and held:
-                    yield from _block(held)
+                    yield from _block(held, limit)
                     held = []
                 now = run_key
                 held.append(t.slice(at, to - at))
         if held:
-            yield from _block(held)
+            yield from _block(held, limit)
 
     return dealt.select("key", "x", "y", "side", "id", "root", "sig").mapInArrow(run, "a long, b long").distinct()
 
 
-def _block(held):
+def _block(held, limit: int):
     t = pa.concat_tables(held)
     side = t.column("side").to_numpy()
     ids, root = t.column("id").to_numpy(), t.column("root").to_numpy()
-    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, SIZE)
+    keys, check = unpack(t.column("sig").to_pylist())
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if len(left) > len(right):
+        left, right = right, left
     for i in left:
-        r = right[(root[right] != root[i])]
-        r = r[(sig[r] != sig[i]).sum(1) <= DISTANCE]
+        r = right[root[right] != root[i]]
+        r = r[close((keys[r], check[r]), (keys[i], check[i]), limit)]
         if len(r):
             a, b = np.minimum(ids[i], ids[r]), np.maximum(ids[i], ids[r])
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -338,10 +379,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", num: int = 80, den: int
     star = keyed.join(centre, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
     links = _Links(spark, scratch, lambda p: _confirm(p, docs, text, width, num, den))
     links.resolve(scratch.table(_near(star, reps_now, num, den), "star"))
-    rooted = reps_now.drop("root").join(links.root, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    rooted = scratch.table(rooted, "rooted")
-    links.resolve(scratch.table(_near(_across(rooted, scratch), rooted, num, den), "across"))
-    named = reps.join(links.root, "id", "left").select("h1", "h2", "n", F.coalesce("root", "id").alias("component"))
+    rooted = scratch.table(links.named(reps_now.drop("root")), "rooted")
+    across = _across(rooted, scratch, distance_limit(num, den))
+    if across is not None:
+        links.resolve(scratch.table(across, "across"))
+    named = links.named(reps.select("h1", "h2", "n", "id")).select("h1", "h2", "n", F.col("root").alias("component"))
     out = sigs.join(named, ["h1", "h2", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
