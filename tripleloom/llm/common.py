@@ -150,7 +150,7 @@ def ngram_buckets(words: list[bytes], orders, bits: int, whole: bool = False):
     ids, own = [], []
     h = np.zeros(len(buf), np.uint64)
     prime, golden, shift = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - bits)
-    for k in range(1, max(orders) + 1):
+    for k in range(1, min(max(orders), len(buf)) + 1):
         h = h * prime
         h[: len(buf) - k + 1] += buf[k - 1 :] + np.uint64(1)
         if k in orders:

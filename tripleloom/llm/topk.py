@@ -199,12 +199,12 @@ def top_k(rows: DataFrame, queries: Column, k: int = 20, vector: str = "embeddin
     placed = dealt.join(layout, "cell")
     # the query set against all rows, in blocks
     c_side = placed.select(F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"), (F.col("first") + F.pmod(F.hash("vec_id"), F.col("parts"))).cast("int").alias("cb"), "vec_id", "v")
-    q_side = placed.where("ask").select((F.col("q_first") + F.pmod(F.hash("vec_id", F.lit(1)), F.col("q_parts"))).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("cb"), "vec_id", "v", "floor")
+    q_side = placed.where("ask").select((F.col("q_first") + F.pmod(F.hash("vec_id", F.lit(1)), F.col("q_parts"))).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("cb"), F.col("vec_id").alias("q_id"), F.col("v").alias("q"), F.col("floor").alias("q_floor"))
 
     def solve(left, right):
-        q, x = _matrix(left.column("v")), _matrix(right.column("v"))
-        q_ids = left.column("vec_id").to_numpy()
-        r, ids, score = search(q, q_ids, left.column("floor").to_numpy(), x, right.column("vec_id").to_numpy(), k)
+        q, x = _matrix(left.column("q")), _matrix(right.column("v"))
+        q_ids = left.column("q_id").to_numpy()
+        r, ids, score = search(q, q_ids, left.column("q_floor").to_numpy(), x, right.column("vec_id").to_numpy(), k)
         return pa.table([pa.array(q_ids[r] if len(r) else np.zeros(0, np.int64)), pa.array(ids), pa.array(score)], names=["query_id", "vec_id", "score"])
 
     found = q_side.groupBy("qb", "cb").cogroup(c_side.groupBy("qb", "cb")).applyInArrow(solve, "query_id long, vec_id long, score long")
