@@ -136,6 +136,13 @@ def distance_limit(num: int, den: int) -> int:
     return int(n * p + SIGMAS * (n * p * (1 - p)) ** 0.5) + 1
 
 
+def first_shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For rows of key minima that share a key, the number (column of :func:`bucket_keys`) of the first that they share."""
+    same = (x == y).reshape(len(x), CHUNKS, WIDTH)
+    hit = [same[:, :, [k for k in range(WIDTH) if k not in out]].all(2) for out in itertools.combinations(range(WIDTH), ERRORS)]
+    return np.concatenate(hit, 1).argmax(1)
+
+
 def bucket_keys(sig: np.ndarray) -> np.ndarray:
     """(rows, keys) of signatures (rows, SIZE): for each chunk and each choice of components left out, a hash of the rest."""
     rows = len(sig)
@@ -168,7 +175,7 @@ def signatures(docs: DataFrame, text: str, width: int) -> DataFrame:
 
 
 def _keyed(reps: DataFrame) -> DataFrame:
-    """key, id, root for every key of every signature."""
+    """key, slot (the key's number), id, root for every key of every signature."""
 
     def run(batches):
         for b in batches:
@@ -176,9 +183,10 @@ def _keyed(reps: DataFrame) -> DataFrame:
                 part = b.slice(at, 2000)
                 k = bucket_keys(unpack(part.column("sig").to_pylist())[0])
                 wide = lambda c: pa.array(np.repeat(part.column(c).to_numpy(zero_copy_only=False), k.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), wide("id"), wide("root")], names=["key", "id", "root"])
+                slot = pa.array(np.tile(np.arange(k.shape[1], dtype=np.int16), len(k)))
+                yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), slot, wide("id"), wide("root")], names=["key", "slot", "id", "root"])
 
-    return reps.select("id", "root", "sig").mapInArrow(run, "key long, id long, root long")
+    return reps.select("id", "root", "sig").mapInArrow(run, "key long, slot short, id long, root long")
 
 
 def _near(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
@@ -317,7 +325,7 @@ def _across(reps: DataFrame, scratch: Scratch, limit: int) -> DataFrame | None:
     h = lambda n: F.pmod(F.hash("id"), F.ceil(F.col(n) / F.lit(BLOCK)).cast("int"))
     last = lambda n: F.ceil(F.col(n) / F.lit(BLOCK)).cast("int") - 1
     of_big = F.col("root") == F.col("big")
-    cols = ["key", "id", "root"]
+    cols = ["key", "slot", "id", "root"]
     big = rows.where(of_big).select(*cols, h("n_big").alias("x"), F.lit(-1).alias("y"), F.lit(0).alias("side"))
     meet = rows.where(~of_big).select(*cols, F.explode(F.sequence(F.lit(0), last("n_big"))).alias("x"), F.lit(-1).alias("y"), F.lit(1).alias("side"))
     small = rows.where(~of_big & (F.col("n_small") > 1)).withColumn("o", h("n_small"))
@@ -342,7 +350,7 @@ def _across(reps: DataFrame, scratch: Scratch, limit: int) -> DataFrame | None:
         if held:
             yield from _block(held, limit)
 
-    return dealt.select("key", "x", "y", "side", "id", "root", "sig").mapInArrow(run, "a long, b long").distinct()
+    return dealt.select("key", "x", "y", "side", "slot", "id", "root", "sig").mapInArrow(run, "a long, b long").distinct()
 
 
 def _block(held, limit: int):
@@ -350,12 +358,15 @@ def _block(held, limit: int):
     side = t.column("side").to_numpy()
     ids, root = t.column("id").to_numpy(), t.column("root").to_numpy()
     keys, check = unpack(t.column("sig").to_pylist())
+    slot = t.column("slot")[0].as_py()
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     if len(left) > len(right):
         left, right = right, left
     for i in left:
         r = right[root[right] != root[i]]
         r = r[close((keys[r], check[r]), (keys[i], check[i]), limit)]
+        if len(r):
+            r = r[first_shared(keys[r], keys[i][None, :]) == slot]  # each pair once, from the first bucket it shares
         if len(r):
             a, b = np.minimum(ids[i], ids[r]), np.maximum(ids[i], ids[r])
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])

@@ -328,7 +328,9 @@ def repeats(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """(d, p, m): window starts [p, p + m) of texts (d, body) whose windows start elsewhere too."""
     found = scratch.table(_anchor_rows(rows), "anchors")
     stats = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("region").alias("lo"), F.max("region").alias("hi")).where("n > 1")
-    cand = found.join(stats.select("anchor", (F.col("lo") != F.col("hi")).alias("differ")), "anchor")
+    # written, so that the join has two plain exchanges and Spark can split a hot anchor's rows
+    stats = scratch.table(stats.select("anchor", (F.col("lo") != F.col("hi")).alias("differ")), "stats")
+    cand = found.join(stats, "anchor")
     cand = scratch.table(cand, "candidates")
     scratch.drop("anchors")
     interval = ["d", "p", F.col("m").cast("int").alias("m")]
@@ -338,6 +340,7 @@ def repeats(rows: DataFrame, scratch: Scratch) -> DataFrame:
     regions = scratch.table(regions.select("anchor", "region", "c", "one.*"), "regions")
     copied = mixed.join(regions.where("c > 1").select("anchor", "region"), ["anchor", "region"], "left_semi").select(*interval)
     groups = regions.groupBy("anchor").agg(F.count("*").alias("k"), F.min("c").alias("least")).where("least = 1")
+    groups = scratch.table(groups, "groups")
     items = regions.join(groups, "anchor").select("anchor", "d", "p", "m", "left", (F.col("k") > BLOCK).alias("hot"))
     hot_anchors = groups.where(F.col("k") > BLOCK).select("anchor")
     cut = scratch.table(_cut(items, rows), "cut")
