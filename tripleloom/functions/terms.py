@@ -147,6 +147,11 @@ def sanitize_label(x: Column) -> Column:
     return F.when(x.rlike("^[A-Za-z0-9]+$"), F.when(x.rlike("^[QXZ0-9]"), F.concat(F.lit("X"), x)).otherwise(x)).otherwise(odd)
 
 
+def is_ncname(x: Column) -> Column:
+    """Whether ``x`` is a name without a colon: a letter or underscore, then letters, digits, marks, ``.``, ``-``, ``_``."""
+    return x.rlike(r"^[\p{L}_][\p{L}\p{M}\p{N}._\x{B7}-]*$")
+
+
 def ground(t: Column, base: str = "tag:tripleloom,2024:blank#") -> Column:
     """Blank nodes as IRIs, for comparisons."""
     return F.regexp_replace(t, r"^_:(.+)$", f"<{base}$1>")

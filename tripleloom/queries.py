@@ -795,6 +795,12 @@ def curie_expand(spark, sf_dir):
     return g.select(terms.expand(terms.compact(F.col("o"), prefixes), prefixes).alias("o")).distinct()
 
 
+@query("SELECT CAST(count_if(regexp_matches(p_brand, '^[A-Za-z_][A-Za-z0-9._-]*$')) AS BIGINT) AS brands, CAST(count_if(regexp_matches(p_name, '^[A-Za-z_][A-Za-z0-9._-]*$')) AS BIGINT) AS names FROM part")
+def ncname_test(spark, sf_dir):
+    ok = lambda c: F.count_if(terms.is_ncname(F.col(c)))
+    return _read(spark, sf_dir, "part").agg(ok("p_brand").alias("brands"), ok("p_name").alias("names"))
+
+
 @query()
 def one_at_a_time_hash(spark, sf_dir):
     return _read(spark, sf_dir, "nation").select("n_name", terms.one_at_a_time(F.col("n_name")).alias("h"))
