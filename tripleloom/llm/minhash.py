@@ -274,17 +274,18 @@ class _Links:
         x = x.withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")}).where("ra <> rb")
         return x.select("a", "b", F.least("ra", "rb").alias("lo"), F.greatest("ra", "rb").alias("hi"))
 
-    def resolve(self, pairs: DataFrame) -> None:
+    def resolve(self, pairs: DataFrame, ready: bool = False) -> None:
         """Confirm and contract until no pair is left between components.
 
         First the pair of each larger component with its smallest neighbour; then, mostly
         few, all that are left between components, which need no more texts after that.
+        ``ready`` pairs have lo and hi and lie between components.
         """
         s, sure, tried = self.scratch, False, False
         while True:
             self.k += 1
             k = self.k
-            left = s.table(self.rooted(pairs), f"left-{k}")
+            left, ready = s.table(pairs if ready else self.rooted(pairs), f"left-{k}"), False
             if left.isEmpty():
                 return
             if tried and not sure:
@@ -312,7 +313,7 @@ class _Links:
 
 
 def _across(reps: DataFrame, scratch: Scratch, limit: int) -> DataFrame | None:
-    """Pairs (a, b) of different components that share a bucket and are within the distance; None if no bucket is mixed."""
+    """Pairs (a, b) of different components (lo, hi) that share a bucket and are within the distance; None if no bucket is mixed."""
     keyed = _keyed(reps)
     mixed = keyed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     mixed = scratch.table(mixed, "mixed-keys")
@@ -350,7 +351,7 @@ def _across(reps: DataFrame, scratch: Scratch, limit: int) -> DataFrame | None:
         if held:
             yield from _block(held, limit)
 
-    return dealt.select("key", "x", "y", "side", "slot", "id", "root", "sig").mapInArrow(run, "a long, b long").distinct()
+    return dealt.select("key", "x", "y", "side", "slot", "id", "root", "sig").mapInArrow(run, "a long, b long, lo long, hi long").distinct()
 
 
 def _block(held, limit: int):
@@ -369,7 +370,8 @@ def _block(held, limit: int):
             r = r[first_shared(keys[r], keys[i][None, :]) == slot]  # each pair once, from the first bucket it shares
         if len(r):
             a, b = np.minimum(ids[i], ids[r]), np.maximum(ids[i], ids[r])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            lo, hi = np.minimum(root[i], root[r]), np.maximum(root[i], root[r])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(lo), pa.array(hi)], names=["a", "b", "lo", "hi"])
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", num: int = 80, den: int = 100, width: int = SHINGLE) -> DataFrame:
@@ -393,7 +395,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", num: int = 80, den: int
     rooted = scratch.table(links.named(reps_now.drop("root")), "rooted")
     across = _across(rooted, scratch, distance_limit(num, den))
     if across is not None:
-        links.resolve(scratch.table(across, "across"))
+        links.resolve(across, ready=True)
     named = links.named(reps.select("h1", "h2", "n", "id")).select("h1", "h2", "n", F.col("root").alias("component"))
     out = sigs.join(named, ["h1", "h2", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("component")).otherwise(F.col("doc_id"))
