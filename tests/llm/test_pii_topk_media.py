@@ -114,6 +114,35 @@ def test_fingerprints_align_recordings(spark):
     assert got[5]["n_codes"] == got[6]["n_codes"] == got[8]["n_codes"] == 0 and got[7]["n_codes"] > 0
 
 
+def test_partner_behind_smaller_recordings(spark):
+    rng = np.random.default_rng(3)
+    song = tone(rng.integers(0, 24, 40))
+    cut = song[media.HOP * 20 :] + rng.normal(0, 0.01, len(song) - media.HOP * 20)
+    # unrelated recordings of smaller ids that hold every passage of the song between them
+    rows = []
+    for k, at in enumerate(range(0, len(song) // media.HOP, 20)):
+        around = [tone(rng.integers(0, 24, 20)) for _ in range(2)]
+        around = [x[: len(x) // media.HOP * media.HOP] for x in around]
+        rows.append((k, as_wave(np.concatenate([around[0], song[at * media.HOP : (at + 36) * media.HOP], around[1]]))))
+    rows += [(100, as_wave(song)), (101, as_wave(cut))]
+    codes = {i: set(media.fingerprint(x).tolist()) for i, x in rows}
+    small = set().union(*(codes[k] for k, _ in rows[:-2]))
+    assert codes[101] & codes[100] <= small  # the true partner is the smallest of no bucket
+    got = {r["id"]: r for r in media.match(spark.createDataFrame(rows, "page_id long, html binary"), "page_id", "html").collect()}
+    assert got[101]["match_id"] == 100 and got[101]["offset"] == 20
+
+
+def test_every_place_of_an_integer_votes():
+    a, b = np.concatenate([np.arange(1, 31), np.zeros(20)]).astype(np.uint32), np.zeros(20, np.uint32)
+    assert media.align(a, b) == (30, 20, 0.0)
+    rng = np.random.default_rng(5)
+    for n in (7, 60, 3000):  # with and without integers of very many pairs of places
+        a, b = (rng.choice([0, 0, 0, 1, 2, *range(3, 50)], m).astype(np.uint32) for m in (n, n // 2 + 1))
+        votes = np.unique(np.subtract.outer(np.arange(len(a)), np.arange(len(b)))[a[:, None] == b[None, :]], return_counts=True)
+        got = media.align(a, b)
+        assert got is None if not len(votes[0]) else got[0] == votes[0][votes[1].argmax()]
+
+
 def test_integral_image_sums():
     image = np.random.default_rng(4).random((30, 12)).astype(np.float32)
     assert len(media.pack(image)) == 30 - media.SPAN + 1 and len(media.pack(image[:3])) == 0
