@@ -85,6 +85,16 @@ def test_top_k_over_a_frame(spark):
     assert top_k(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_of_repeated_rows(spark):
+    rng = np.random.default_rng(6)
+    vecs = {i: rng.normal(size=6).astype(np.float32).tolist() for i in range(100)} | {i: [0.5] * 6 for i in range(100, 130)}
+    rows = [(i, v) for i, v in vecs.items() for _ in range(25 if i == 100 else 2)]
+    got: dict = {}
+    for r in top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, k=20).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((-r["score"], r["vec_id"]))
+    assert got == brute({i: np.floor(64 * np.array(v, float)).astype(int) for i, v in vecs.items()}, 20, 20)
+
+
 def tone(notes, rate=8000, seconds=0.4):
     t = np.arange(int(rate * seconds)) / rate
     return np.concatenate([np.sin(2 * np.pi * 220 * 2 ** (n / 12) * t) for n in notes])

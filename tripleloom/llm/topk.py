@@ -163,7 +163,8 @@ def top_k(rows: DataFrame, queries: Column, k: int = 20, vector: str = "embeddin
     if not sizes:
         return empty
     dim, total = int(sizes[0]["n"]), int(sizes[0]["c"])
-    vecs = vecs.where(F.size("v") == dim)
+    # repeated rows are one candidate: the floor and the groups of equal vectors count ids
+    vecs = vecs.where(F.size("v") == dim).distinct()
     sample = vecs.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()  # bounded: SAMPLE rows
     points, point_ids = _matrix(sample.column("v")), sample.column("vec_id").to_numpy()
     pivots = _pivots(points, max(1, min(PIVOTS, total // BLOCK)))
