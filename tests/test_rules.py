@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tripleloom.operators.fixpoint import closure
+from tripleloom.operators.fixpoint import NoFixpoint, closure
 from tripleloom.plans import placement, programs
 from tripleloom.plans.ast import And, Atom, Const, Equal, Frame, Not, Var, conjuncts, is_ground
 from tripleloom.plans.check import check, strata
@@ -162,3 +162,21 @@ def test_placement():
     a, b = placement.Restriction(frozenset("ab"), False), placement.Restriction(frozenset("b"), True)
     assert a.intersect(b).terms == frozenset("a") and a.minus(b).terms == frozenset("b") and a.union(b) == placement.ANY
     assert Equal(Var("x"), Var("y")) == Equal(Var("x"), Var("y"))
+
+
+def test_long_lists_are_walked_to_their_end(spark):
+    rdf, n = "http://www.w3.org/1999/02/22-rdf-syntax-ns#", 8
+    rows = [(f"_:l{k}", f"<{rdf}first>", f"<a:{k}>") for k in range(n)]
+    rows += [(f"_:l{k}", f"<{rdf}rest>", f"_:l{k + 1}" if k + 1 < n else f"<{rdf}nil>") for k in range(n)]
+    rows += [("<a:C>", "<http://www.w3.org/2002/07/owl#oneOf>", "_:l0")]
+    done = closure(graph(spark, rows), programs.pick(programs.OWL_RL, "item-first", "item-rest", "cls-oo"), max_iter=3)
+    assert done.triples.where(f"p = '<{rdf}type>'").count() == n
+
+
+def test_retraction_counts_cycles_and_refuses_a_partial_result(spark):
+    step = 'If And(?x[<a:{}>->?y]) Then Do(Retract(?x[<a:{}>->?y]) Assert(?x[<a:{}>->?y]))'
+    one = graph(spark, [("<a:1>", "<a:p0>", '"v"')])
+    done = closure(one, parse("\n".join(step.format(f"p{k}", f"p{k}", f"p{k + 1}") for k in range(3))).rules, max_iter=2)
+    assert [tuple(r) for r in done.triples.collect()] == [("<a:1>", "<a:p3>", '"v"')]
+    with pytest.raises(NoFixpoint):
+        closure(one, parse("\n".join(step.format(a, a, b) for a, b in (("p0", "p1"), ("p1", "p0")))).rules, max_iter=2)

@@ -7,8 +7,11 @@ written to the shared folder, which cuts the lineage and lets a round survive a
 executor. Patterns whose constant predicate got nothing new are skipped: one aggregation
 over the new rows tells, bounded by the constants of the program.
 
+They run until a round derives nothing new, however many it takes.
+
 Programs with retraction run one rule at a time, retracts before asserts, until a whole
-cycle changes nothing or ``max_iter`` is reached.
+cycle changes nothing. They need not end, so ``max_iter`` cycles without such an end are an
+error (``NoFixpoint``), never a result.
 """
 
 from __future__ import annotations
@@ -26,6 +29,10 @@ from ..scratch import Scratch
 TRIPLE = ["s", "p", "o"]
 
 
+class NoFixpoint(RuntimeError):
+    """A program with retraction still changes rows after ``max_iter`` cycles."""
+
+
 @dataclass
 class Closure:
     """Result: all triples, auxiliary relations, the inconsistency flag, counters by round."""
@@ -89,7 +96,7 @@ class Engine:
             full[name] = [self.scratch.table(df.distinct())]
         for layer in strata(self.rules):
             new = {n: self._all(full, n) for n in full}
-            while rounds < self.max_iter:
+            while True:
                 live = self._live(new, constants, objects)
                 present |= live
                 derived = self._round(layer, full, new, live, present)
@@ -160,7 +167,9 @@ class Engine:
     def _cycle(self) -> Closure:
         now = {n: self.scratch.table(df.distinct()) for n, df in self.start.items()}
         metrics, rounds, still, k = [], 0, 0, 0
-        while still < len(self.rules) and rounds < self.max_iter:
+        while still < len(self.rules):
+            if k == self.max_iter * len(self.rules):
+                raise NoFixpoint(f"no fixpoint after {self.max_iter} cycles of {len(self.rules)} rules")
             r = self.rules[k % len(self.rules)]
             k += 1
             rounds += 1
