@@ -180,3 +180,10 @@ def test_retraction_counts_cycles_and_refuses_a_partial_result(spark):
     assert [tuple(r) for r in done.triples.collect()] == [("<a:1>", "<a:p3>", '"v"')]
     with pytest.raises(NoFixpoint):
         closure(one, parse("\n".join(step.format(a, a, b) for a, b in (("p0", "p1"), ("p1", "p0")))).rules, max_iter=2)
+
+
+def test_owl_rl_has_reflexive_equality(spark):
+    owl = "http://www.w3.org/2002/07/owl#"
+    done = closure(graph(spark, [("<a:x>", f"<{owl}differentFrom>", "<a:x>")]), programs.pick(programs.OWL_RL, "eq-ref", "eq-diff1"))
+    same = {(r["s"], r["o"]) for r in done.triples.where(f"p = '<{owl}sameAs>'").collect()}
+    assert done.inconsistent and {("<a:x>", "<a:x>"), (f"<{owl}differentFrom>",) * 2, (f"<{owl}sameAs>",) * 2} == same

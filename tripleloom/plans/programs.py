@@ -111,7 +111,7 @@ eq-diff1: ! <= ?x owl:sameAs ?y & ?x owl:differentFrom ?y
 eq-diff2: ! <= ?d a owl:AllDifferent & ?d owl:members ?l & item(?l, ?x) & item(?l, ?y) & ?x != ?y & ?x owl:sameAs ?y
 eq-diff3: ! <= ?d a owl:AllDifferent & ?d owl:distinctMembers ?l & item(?l, ?x) & item(?l, ?y) & ?x != ?y & ?x owl:sameAs ?y
 """)
-#: Each term the same as itself; off by default, as it adds a triple for every term.
+#: Each term the same as itself: eq-ref, eq-ref1 and eq-ref2. Adds a triple for every term.
 REFLEXIVE = rules("""
 eq-ref: ?s owl:sameAs ?s & ?p owl:sameAs ?p & ?o owl:sameAs ?o <= ?s ?p ?o
 """)
@@ -205,7 +205,7 @@ OWL_AXIOMS = rules("\n".join(
     + ["cls-thing: owl:Thing a owl:Class", "cls-nothing1: owl:Nothing a owl:Class"]
 ))
 
-OWL_RL = LISTS + EQUALITY + PROPERTIES + CLASSES + SCHEMA + OWL_AXIOMS
+OWL_RL = LISTS + EQUALITY + REFLEXIVE + PROPERTIES + CLASSES + SCHEMA + OWL_AXIOMS
 
 
 def pick(program: list[Rule], *names: str) -> list[Rule]:
