@@ -29,3 +29,10 @@ def test_query_matches_sql(spark, name):
     assert sorted(names) == columns
     want = sorted(repr([r[names.index(c)] for c in columns]) for r in rel.fetchall())
     assert sorted(repr([r[c] for c in columns]) for r in df.collect()) == want
+
+
+def test_key_matches_among_all_parts(spark, tmp_path):
+    rows = [(1, "b", "t"), (500, "b", "t"), (501, "b", "u"), (900, "c", "u"), (901, "c", "u")]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {tuple(int(x.split("/")[1][:-1]) for x in (r["s"], r["o"])) for r in entry.queries()["owl_haskey_all"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 500), (500, 1), (900, 901), (901, 900)}
