@@ -36,3 +36,9 @@ def test_key_matches_among_all_parts(spark, tmp_path):
     spark.createDataFrame(rows, "p_partkey long, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
     got = {tuple(int(x.split("/")[1][:-1]) for x in (r["s"], r["o"])) for r in entry.queries()["owl_haskey_all"](spark, str(tmp_path)).collect()}
     assert got == {(1, 500), (500, 1), (900, 901), (901, 900)}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_order_ranks_every_triple(spark):
+    test_query_matches_sql(spark, "order_spo_all")
+    assert entry.queries()["order_spo_all"](spark, SF).count() > 100

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..scratch import Scratch
+
 #: A side is broadcast only below this many bytes, estimated by its rows.
 BROADCAST_BYTES = 8 << 20
 _ROW_BYTES = 200
@@ -74,6 +76,17 @@ def best(rows: DataFrame, order: list, n: int = 1) -> DataFrame:
     return rows.orderBy(*order).limit(n)
 
 
+def ranked(rows: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
+    """All rows with their place, from 1, in a total order: range partitions, and a count by partition; no task sees all rows."""
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    dealt = Scratch(spark, "ranked").table(rows.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()))
+    first = dealt.groupBy("__part").agg(F.count("*").alias("c"))
+    first = first.select("__part", (F.sum("c").over(Window.orderBy("__part")) - F.col("c")).alias("__base"))
+    k = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return dealt.withColumn("__k", k).join(F.broadcast(first), "__part").withColumn(name, (F.col("__base") + F.col("__k")).cast("long")).drop("__part", "__base", "__k")
+
+
 def randomize(rows: DataFrame, n: int) -> DataFrame:
     return rows.repartition(n)
 
