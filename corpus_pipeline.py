@@ -30,10 +30,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, that of the smallest id, of each group of near duplicates (similarity 0.8 or more)."""
-    kept = near_duplicates(docs, num=80, den=100).where("kept").select("doc_id").distinct()
-    same = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    return same.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    """Keep one row, that of the smallest id, of each group of near duplicates (similarity 0.8 or more).
+
+    Rows are compared by a number of their own, so that rows that repeat an id, or have none, are documents too;
+    a row without an id is kept only of a group in which none has one.
+    """
+    # written, so that a row has the same number in every job
+    rows = Scratch(spark, "near_dedup").table(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    groups = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), num=80, den=100)
+    named = groups.select(F.col("doc_id").alias("__row"), "component_id").join(rows.select("__row", "doc_id"), "__row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row"))
+    kept = named.groupBy("component_id").agg(first.alias("first")).select(F.col("first.__row").alias("__row"))
+    return rows.join(kept, "__row", "left_semi").select(*COLUMNS)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

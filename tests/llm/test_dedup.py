@@ -118,3 +118,13 @@ def test_remove_repeats_equals_brute_force(spark, monkeypatch, block, segment):
         r = got[99 if i == len(texts) - 1 else i]
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len((b or "").encode()), n, k, hashlib.sha256(rest).hexdigest())
     assert remove_repeats(df.where("false")).count() == 0
+
+
+def test_pipeline_keeps_one_row_of_a_group(spark):
+    import corpus_pipeline
+
+    text, other = (" ".join(f"{w}{i}" for i in range(60)) for w in ("alpha", "beta"))
+    rows = [(2, text), (1, text), (1, text), (1, text + " more"), (None, text), (None, other), (None, other), (3, "gamma delta epsilon zeta eta theta"), (4, ""), (None, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r["doc_id"] or 0, (r["text"] or "").split(" ")[0]) for r in corpus_pipeline.near_dedup(spark, df, "").collect())
+    assert got == [(0, ""), (0, "beta0"), (1, "alpha0"), (3, "gamma"), (4, "")]
