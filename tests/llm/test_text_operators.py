@@ -152,3 +152,11 @@ def test_classifiers_over_frames(spark):
         out = model.transform(df)
         assert out.count() == 60 and out.where(F.col("score").between(0, 1)).count() == 60
     assert Quality().fit(df.where("false"), labels).transform(df).count() == 60
+
+
+@pytest.mark.parametrize("model", [Toxicity, Quality])
+def test_capped_sample_keeps_the_class_shares(spark, model):
+    df = spark.createDataFrame([(i, "the same words for all") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(200)], "doc_id long, y int")
+    whole, cut = (model().fit(df, labels, label="y", per_class=n).scorer()(["the same words for all"])[0] for n in (1000, 20))
+    assert abs(whole - 0.1) < 0.05 and abs(cut - 0.1) < 0.05

@@ -8,8 +8,8 @@ pairwise term is computed in linear time as
 ``1/2 sum_f ((sum v_if x_i)^2 - sum v_if^2 x_i^2)``.
 
 Fitted on the driver with Adam on a bounded sample of the labelled rows (``PER_CLASS`` of
-each class, smallest by a hash of the id), weighted back to the sample's class shares;
-the model's size is fixed by ``BITS`` and ``RANK``. Scoring is one pass.
+each class, smallest by a hash of the id), weighted back to the classes' shares of all
+labelled rows; the model's size is fixed by ``BITS`` and ``RANK``. Scoring is one pass.
 
 Defined cases: null or empty texts have no word features and the lowest bins; rows without
 label or text teach nothing; with no training rows, or one class alone, the score is a
@@ -124,13 +124,15 @@ class Quality:
     def __init__(self, seed: int = 3):
         self.seed = seed
 
-    def fit_rows(self, texts: list[str], labels) -> "Quality":
+    def fit_rows(self, texts: list[str], labels, weights=None) -> "Quality":
         y = np.asarray(labels, float)
         rng = np.random.default_rng(self.seed)
         self.w0, self.w, self.v = 0.0, np.zeros(_FEATURES), np.zeros((_FEATURES, RANK))
         if not len(y) or y.min() == y.max():
             self.w0 = 0.0 if not len(y) else 4.0 * (2 * y[0] - 1)
             return self
+        weight = np.ones(len(y)) if weights is None else np.asarray(weights, float)
+        weight = weight / weight.sum()
         row, feat, x, rows = _Reader()(texts)
         v, w, w0 = rng.normal(0, 0.05, (_FEATURES, RANK)), self.w, np.zeros(1)
         used = np.unique(feat)
@@ -140,7 +142,7 @@ class Quality:
         for step in range(STEPS):
             s, sums = _logits(row, feat, x, rows, w0[0], w, v)
             p = 1 / (1 + np.exp(-np.clip(s, -40, 40)))
-            g = (p - y) / rows
+            g = (p - y) * weight
             gx = g[row] * x
             g_w = np.bincount(feat, weights=gx, minlength=_FEATURES) + L2 * w / 10
             g_v = np.zeros_like(v)

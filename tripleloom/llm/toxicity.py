@@ -8,8 +8,8 @@ in a text of any length. Only texts have labels, so training weighs a text's win
 a softmax whose sharpness rises from an even mean to the maximum that scoring uses.
 
 The model is fitted on the driver, on a bounded sample of the labelled rows
-(``PER_CLASS`` of each class, the smallest by a hash of the id), and broadcast; its size is
-fixed by ``BITS`` and ``DIM``. Scoring is one pass, once per distinct word of a task.
+(``PER_CLASS`` of each class, the smallest by a hash of the id), weighted back to the
+classes' shares of all labelled rows, and broadcast; its size is fixed by ``BITS`` and ``DIM``. Scoring is one pass, once per distinct word of a task.
 
 Defined cases: a null or empty text is scored as an empty window, by the bias alone; rows
 without label or text teach nothing; with no training rows the score is 0 for all;
@@ -74,7 +74,7 @@ class Toxicity:
         self.seed = seed
         self.word_weight = None
 
-    def fit_rows(self, texts: list[str], labels) -> "Toxicity":
+    def fit_rows(self, texts: list[str], labels, weights=None) -> "Toxicity":
         y = np.asarray(labels, float)
         if not len(y) or y.min() == y.max():
             self.embed, self.out, self.bias = np.zeros((1 << BITS, DIM), np.float32), np.zeros((DIM, 2), np.float32), np.zeros(2) + ([0, 0] if len(y) else [0, -50])
@@ -98,7 +98,8 @@ class Toxicity:
         out = rng.normal(0, 0.3, (DIM, 2))
         bias = np.array([1.0, -1.0])
         used, place = np.unique(flat, return_inverse=True)
-        weight = 1.0 / len(y)
+        weight = np.ones(len(y)) if weights is None else np.asarray(weights, float)
+        weight = weight / weight.sum()
         state = [[np.zeros((len(used), DIM)), np.zeros((len(used), DIM))], [np.zeros_like(out), np.zeros_like(out)], [np.zeros(2), np.zeros(2)]]
         for step in range(STEPS):
             s = share * (rng.random(len(flat)) > DROP) / (1 - DROP)  # subword dropout: no single one carries a word
@@ -176,9 +177,9 @@ def _distort(w: str, rnd: random.Random) -> str:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, text: str, label: str, per_class: int):
-    """(texts, labels): at most ``per_class`` rows of each class, the smallest by a hash of the id, whole texts.
+    """(texts, labels, weights): at most ``per_class`` rows of each class, the smallest by a hash of the id, whole texts.
 
-    The sample is bounded whatever the table's size; ids are chosen before texts are read.
+    A row weighs the labelled rows of its class over the sampled ones. The sample is bounded whatever the table's size; ids are chosen before texts are read.
     """
     spark = docs.sparkSession
     lab = labels.select("doc_id", F.col(label).cast("int").alias("__y")).where("doc_id is not null and __y in (0, 1)")
@@ -188,11 +189,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, text: str, label: str, p
     got = chosen[0].unionByName(chosen[1]).toArrow()  # bounded: two ints for each of 2 * per_class rows
     pick = spark.createDataFrame(got.to_pandas(), "doc_id long, __y int") if got.num_rows else None
     if pick is None:
-        return [], np.zeros(0)
+        return [], np.zeros(0), np.zeros(0)
+    count = {r["__y"]: r["count"] for r in ids.groupBy("__y").count().collect()}  # bounded: two classes
+    sampled = np.bincount(got.column("__y").to_numpy(), minlength=2)
     rows = docs.where(F.col(text).isNotNull()).select("doc_id", F.col(text).alias("__t")).join(F.broadcast(pick.distinct()), "doc_id").select("doc_id", "__t", "__y").toArrow()
     order = np.lexsort([rows.column("__y").to_numpy(), rows.column("doc_id").to_numpy()])
     rows = rows.take(pa.array(order))
-    return rows.column("__t").to_pylist(), rows.column("__y").to_numpy().astype(float)
+    y = rows.column("__y").to_numpy()
+    weigh = np.array([count.get(k, 0) / max(1, sampled[k]) for k in (0, 1)])
+    return rows.column("__t").to_pylist(), y.astype(float), weigh[y]
 
 
 def score_texts(docs: DataFrame, model, text: str, keep: tuple) -> DataFrame:
