@@ -1,26 +1,31 @@
 """Exact substring deduplication with suffix arrays built by linear grouping.
 
-A byte goes when a ``WINDOW``-byte string that covers it starts anywhere else too.
+A byte goes when a ``WINDOW``-byte string that covers it starts anywhere else too. What is
+gathered are the windows that occur once; a document loses what its other windows cover.
+So copies cost nothing beyond the first fold, however many there are.
 
 1. *Anchors.* Every window has one: its leftmost smallest hashed ``GRAM``-byte gram. Equal
    windows have equal anchors at equal offsets, so only occurrences of the same anchor
    have to be compared. Neighbouring windows share anchors; a row is an anchor with the
-   windows that chose it (about 1.5 rows per 100 bytes).
-2. *Settled by digest.* An anchor that occurs once has no repeated window. Occurrences whose
-   whole regions (all bytes of the anchor's windows) are equal are repeated throughout.
-3. *Suffix groups.* What is left, one copy of each region, is cut into cells of ``CELL``
+   windows that chose it, its region (about 1.5 rows per 100 bytes).
+2. *Fold.* Equal regions become one row with their number, by an aggregation with map-side
+   sums. A region of an anchor that has no other is settled by that number.
+3. *Suffix groups.* The different regions of an anchor are cut into cells of ``CELL``
    bytes aligned to the anchor; a suffix array over the cells of a block of anchors is
    built by :func:`suffix_array`, and suffixes that share the cells any window must have
    are neighbours in it. Among such neighbours the windows themselves are compared.
-4. An anchor with over ``BLOCK`` different regions (about 10 MB; a passage in a large part of a corpus,
-   each time in other surroundings) does not go to one task: its windows are compared by
-   digest in a distributed aggregation, exact and linear.
+4. *Hot anchors.* An anchor with over ``BLOCK`` different regions (a passage of many documents, each
+   time in other surroundings) is dealt anew by the bytes that windows at like offsets
+   from it share, first ``SPLITS[0]`` offsets together, then one; equal parts fold again,
+   and what is left in a group goes to the suffix arrays as in 3. With one offset, a group
+   is one window, which the fold has counted. So no task gets more than ``BLOCK`` regions.
 
-Digests are 64 bits of a polynomial over random byte codes, mixed.
+Digests are 64 bits of a polynomial over random byte codes, mixed; regions fold by 128.
 
 Defined cases: null counts as empty; texts below ``WINDOW`` bytes lose nothing; rows that
-are repeated whole, id included, count as separate documents; an empty table gives no
-rows; texts of any length are worked through in segments; extra columns are ignored.
+are repeated whole, id included, count as separate documents (rows have numbers of their
+own), null ids too; an empty table gives no rows; texts of any length are worked through
+in segments; extra columns are ignored; there are no ties.
 """
 
 from __future__ import annotations
@@ -35,7 +40,9 @@ from pyspark.sql import DataFrame, functions as F
 from .common import Scratch, ragged, ship, text_chunks
 from .minhash import mix
 
-WINDOW, GRAM, CELL, BLOCK = 200, 64, 16, 32768
+WINDOW, GRAM, CELL, BLOCK = 200, 64, 16, 2048
+#: Offsets of a hot anchor's windows that are dealt together, at the first splitting and the last.
+SPLITS = (16, 1)
 SEGMENT = 1 << 20
 #: Bytes of regions that one suffix array covers (more only if one anchor has more).
 ARRAY_BYTES = 1 << 16
@@ -125,11 +132,8 @@ def suffix_array(s: list[int]) -> list[int]:
     top = n
     while top > 0:
         start = start_at[top]
-        mine = members.pop(start)
-        if len(mine) > 1:
-            mine = sorted(i for i in mine if group[i] == start)
-        elif group[mine[0]] != start:
-            mine = []
+        # in order of place: the first sort is stable, and pointers of places in order are in order
+        mine = [i for i in members.pop(start) if group[i] == start]
         pointed: dict[int, int] = {}
         for i in mine:
             j = i - 1
@@ -140,19 +144,19 @@ def suffix_array(s: list[int]) -> list[int]:
                 pointed[j] = pointed.get(j, 0) + 1
         members[start] = mine
         if pointed:
-            moves: dict[tuple[int, int], list[int]] = {}
+            moves: list[dict[int, list[int]]] = [{} for _ in range(max(pointed.values()) + 1)]
             for j, c in pointed.items():
-                moves.setdefault((-c, group[j]), []).append(j)
-            for _, g in sorted(moves) if len(moves) > 1 else moves:
-                up = moves[_, g]
-                end = end_of[g]
-                new = end - len(up)
-                if new == g:
-                    continue
-                for j in up:
-                    group[j] = new
-                members[new], end_of[new], start_at[end] = up, end, new
-                end_of[g], start_at[new] = new, g
+                moves[c].setdefault(group[j], []).append(j)
+            for part in reversed(moves):  # those with more pointers first, so higher
+                for g, up in part.items():
+                    end = end_of[g]
+                    new = end - len(up)
+                    if new == g:
+                        continue
+                    for j in up:
+                        group[j] = new
+                    members[new], end_of[new], start_at[end] = up, end, new
+                    end_of[g], start_at[new] = new, g
         top = start
     out, front, placed = [0] * n, {}, [False] * n
     out[0] = n - 1
@@ -225,6 +229,8 @@ def _runs(r: np.ndarray, p: np.ndarray):
 
 
 def _anchor_rows(docs: DataFrame) -> DataFrame:
+    """anchor, region, d and q, which packs the first window, the number of windows and the anchor's place."""
+
     def run(batches):
         for b in text_chunks(batches, "body", SEGMENT):
             d, bodies = b.column("d").to_numpy(), b.column("body").to_pylist()
@@ -244,42 +250,53 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
                 piece = np.searchsorted(ends, p0, side="right")
                 shift = np.array([x[1] for x in mine], np.int64) - (ends - size)
                 who = d[np.array([x[0] for x in mine], np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(region.view(np.int64)), pa.array(who[piece]), pa.array(p0 + shift[piece]), pa.array(m.astype(np.int16)), pa.array((a - p0).astype(np.int16))], names=["anchor", "region", "d", "p", "m", "left"])
+                q = (p0 + shift[piece]) << 16 | m << 8 | (a - p0)
+                yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(region.view(np.int64)), pa.array(who[piece]), pa.array(q)], names=["anchor", "region", "d", "q"])
 
-    return docs.select("d", "body").mapInArrow(run, "anchor long, region long, d long, p long, m short, left short")
+    return docs.select("d", "body").mapInArrow(run, "anchor long, region long, d long, q long")
 
 
 def _cut(items: DataFrame, docs: DataFrame) -> DataFrame:
-    """``items`` (anchor, d, p, m, left) with the bytes of their regions."""
-    by = items.groupBy("d").agg(F.collect_list(F.struct("anchor", "p", "m", "left")).alias("items"))
+    """``items`` (key, d, q, c, k) as regions: key, k, d, first window, place of the anchor, number of occurrences, bytes."""
+    by = items.groupBy("d").agg(F.collect_list(F.struct("key", "q", "c", "k")).alias("items"))
     both = by.join(docs.select("d", "body"), "d")
 
     def run(batches):
         for b in text_chunks(batches, "body", SEGMENT):
             for d, body, items in zip(b.column("d").to_pylist(), b.column("body").to_pylist(), b.column("items")):
                 flat = items.values
-                n = len(flat)
-                p, m = flat.field("p").to_pylist(), flat.field("m").to_pylist()
-                cut = pa.array([body[x : x + y + WINDOW - 1] for x, y in zip(p, m)], pa.binary())
-                yield pa.RecordBatch.from_arrays([flat.field("anchor"), pa.array(np.full(n, d, np.int64)), flat.field("p"), flat.field("left"), cut], names=["anchor", "d", "p", "left", "bytes"])
+                q = flat.field("q").to_numpy()
+                p, m, left = q >> 16, q >> 8 & 255, q & 255
+                cut = pa.array([body[x : x + y + WINDOW - 1] for x, y in zip(p.tolist(), m.tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([flat.field("key"), flat.field("k"), pa.array(np.full(len(p), d, np.int64)), pa.array(p), pa.array(left.astype(np.int16)), flat.field("c"), cut], names=["key", "k", "d", "p", "left", "c", "bytes"])
+
+    return both.select("d", "body", "items").mapInArrow(run, _REGION)
 
-    return both.select("d", "body", "items").mapInArrow(run, "anchor long, d long, p long, left short, bytes binary")
+
+_REGION = "key long, k long, d long, p long, left short, c long, bytes binary"
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
-    """(d, p, m) of the repeated windows among the regions of each anchor, by suffix arrays."""
-    dealt = rows.repartition("anchor").sortWithinPartitions("anchor")
+    """(d, p, m) of the windows that occur once among the regions of their key, by suffix arrays."""
+    dealt = rows.repartition("key").sortWithinPartitions("key")
 
     def solve(held):
-        d, p, left = (np.concatenate([t.column(c).to_numpy() for t in held]) for c in ("d", "p", "left"))
-        r, w = repeated_windows([x for t in held for x in t.column("bytes").to_pylist()], left.astype(np.int64))
-        r, w, m = _runs(r, w)
+        d, p, left, c = (np.concatenate([t.column(x).to_numpy() for t in held]) for x in ("d", "p", "left", "c"))
+        regions = [x for t in held for x in t.column("bytes").to_pylist()]
+        r, w = repeated_windows(regions, left.astype(np.int64))
+        m = np.fromiter(map(len, regions), np.int64, len(regions)) - WINDOW + 1
+        base = np.cumsum(m) - m
+        once = np.repeat(c == 1, m)
+        once[base[r] + w] = False
+        at = np.flatnonzero(once)
+        r = np.searchsorted(base, at, side="right") - 1
+        r, w, m = _runs(r, at - base[r])
         return pa.RecordBatch.from_arrays([pa.array(d[r]), pa.array(p[r] + w), pa.array(m.astype(np.int32))], names=["d", "p", "m"])
 
     def run(batches):
         held, size, last = [], 0, None
         for b in batches:
-            a = b.column("anchor").to_numpy()
+            a = b.column("key").to_numpy()
             if not len(a):
                 continue
             edge = [0, *(np.flatnonzero(a[1:] != a[:-1]) + 1).tolist(), len(a)]
@@ -294,60 +311,86 @@ def _grouped(rows: DataFrame) -> DataFrame:
         if held:
             yield solve(held)
 
-    return dealt.mapInArrow(run, "d long, p long, m int")
+    return dealt.mapInArrow(run, _ONCE)
+
+
+_ONCE = "d long, p long, m int"
 
 
-def _by_window(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """The same for anchors with very many regions: one row a window, compared by digest."""
+def split(key: int, left: int, region: bytes, step: int):
+    """Parts of a region whose windows lie at like offsets from its anchor: (key, digest, first window, anchor's place, bytes).
 
+    Windows at offsets [step * k, step * (k + 1)) all hold the bytes from step * k before the anchor on, up to the end
+    of the earliest of them; a part's key stands for the old key, k and those bytes.
+    """
+    m = len(region) - WINDOW + 1
+    offset = left - np.arange(m)
+    first = np.flatnonzero(np.concatenate([[True], offset[1:] // step != offset[:-1] // step]))
+    last = np.concatenate([first[1:], [m]])
+    k = offset[first] // step
+    roll = Rolling(np.frombuffer(region, np.uint8))
+    held = roll(left - step * k, left - step * k - step + 1 + WINDOW)
+    keys = mix(held ^ mix(np.full(len(k), np.uint64(key & 0xFFFFFFFFFFFFFFFF)) + (k * 1024 + step).astype(np.uint64)))
+    codes = mix(roll(first, last + WINDOW - 1) + mix(((left - first) * 1024 + last - first).astype(np.uint64)))
+    return keys.view(np.int64), codes.view(np.int64), first, left - first, [region[a : b + WINDOW - 1] for a, b in zip(first.tolist(), last.tolist())]
+
+
+def _split(rows: DataFrame, step: int) -> DataFrame:
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 4000):
-                part = b.slice(at, 4000)
-                regions = part.column("bytes").to_pylist()
-                size = np.fromiter(map(len, regions), np.int64, len(regions))
-                base = np.cumsum(size) - size
-                m = size - WINDOW + 1
-                w = ragged(base, m)
-                owner = np.repeat(np.arange(len(regions)), m)
-                code = Rolling(np.frombuffer(b"".join(regions), np.uint8))(w, w + WINDOW)
-                yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(part.column("d").to_numpy()[owner]), pa.array(part.column("p").to_numpy()[owner] + w - base[owner])], names=["code", "d", "p"])
-
-    windows = scratch.table(rows.mapInArrow(run, "code long, d long, p long"), "windows")
-    again = windows.groupBy("code").agg(F.count("*").alias("c")).where("c > 1").select("code")
-    return windows.join(again, "code", "left_semi").select("d", "p", F.lit(1).alias("m"))
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                if not part.num_rows:
+                    continue
+                got = [split(*x, step) for x in zip(part.column("key").to_pylist(), part.column("left").to_pylist(), part.column("bytes").to_pylist())]
+                n = np.array([len(g[0]) for g in got])
+                wide = lambda c: np.repeat(part.column(c).to_numpy(), n)
+                key, code, first, left = (np.concatenate([g[k] for g in got]) for k in range(4))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key), pa.array(code), pa.array(wide("d")), pa.array(wide("p") + first), pa.array(left.astype(np.int16)), pa.array(wide("c")), pa.array([x for g in got for x in g[4]], pa.binary())],
+                    names=["key", "code", "d", "p", "left", "c", "bytes"],
+                )
+
+    return rows.mapInArrow(run, "key long, code long, d long, p long, left short, c long, bytes binary")
 
 
 def keyed(docs: DataFrame, text: str, keep: tuple) -> DataFrame:
-    """``keep`` columns, d (a digest of id and text that names the row) and body (UTF-8 bytes)."""
+    """``keep`` columns, d (a number of the row) and body (UTF-8 bytes); to be written, so that the number stays."""
     body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
-    return docs.select(*keep, F.xxhash64(F.col("doc_id"), F.col(text)).alias("d"), body.alias("body"))
-
-
-def repeats(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """(d, p, m): window starts [p, p + m) of texts (d, body) whose windows start elsewhere too."""
-    found = scratch.table(_anchor_rows(rows), "anchors")
-    stats = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("region").alias("lo"), F.max("region").alias("hi")).where("n > 1")
-    # written, so that the join has two plain exchanges and Spark can split a hot anchor's rows
-    stats = scratch.table(stats.select("anchor", (F.col("lo") != F.col("hi")).alias("differ")), "stats")
-    cand = found.join(stats, "anchor")
-    cand = scratch.table(cand, "candidates")
-    scratch.drop("anchors")
-    interval = ["d", "p", F.col("m").cast("int").alias("m")]
-    alike = cand.where(~F.col("differ")).select(*interval)
-    mixed = cand.where("differ")
-    regions = mixed.groupBy("anchor", "region").agg(F.count("*").alias("c"), F.min(F.struct("d", "p", "m", "left")).alias("one"))
-    regions = scratch.table(regions.select("anchor", "region", "c", "one.*"), "regions")
-    copied = mixed.join(regions.where("c > 1").select("anchor", "region"), ["anchor", "region"], "left_semi").select(*interval)
-    groups = regions.groupBy("anchor").agg(F.count("*").alias("k"), F.min("c").alias("least")).where("least = 1")
-    groups = scratch.table(groups, "groups")
-    items = regions.join(groups, "anchor").select("anchor", "d", "p", "m", "left", (F.col("k") > BLOCK).alias("hot"))
-    hot_anchors = groups.where(F.col("k") > BLOCK).select("anchor")
-    cut = scratch.table(_cut(items, rows), "cut")
-    hot = cut.join(hot_anchors, "anchor", "left_semi")
-    calm = cut.join(hot_anchors, "anchor", "left_anti")
-    out = alike.unionByName(copied).unionByName(_grouped(calm)).unionByName(_by_window(hot, scratch))
-    return scratch.table(out, "repeats")
+    return docs.select(*keep, F.monotonically_increasing_id().alias("d"), body.alias("body"))
+
+
+def _sorted_out(regions: DataFrame, scratch: Scratch, tag: str):
+    """``regions`` (key, c, ...) by key: (those settled by the fold: once and alone, those to compare with their number k)."""
+    one = [F.first(x).alias(x) for x in ("d", "q")]
+    by = regions.groupBy("key").agg(F.count("*").alias("k"), F.min("c").alias("least"), *one)
+    by = scratch.table(by.where("least = 1"), f"{tag}-keys")
+    alone = by.where("k = 1").select("d", (F.shiftright("q", 16)).alias("p"), F.expr("cast(shiftright(q, 8) & 255 as int)").alias("m"))
+    return alone, regions.join(by.where("k > 1").select("key", "k"), "key")
+
+
+def single_windows(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(d, p, m): window starts [p, p + m) of texts (d, body) that start nowhere else."""
+    found = _anchor_rows(rows).groupBy(F.col("anchor").alias("key"), "region").agg(F.count("*").alias("c"), F.first("d").alias("d"), F.first("q").alias("q"))
+    found = scratch.table(found.select("key", "c", "d", "q"), "regions")
+    alone, mixed = _sorted_out(found, scratch, "regions")
+    out = alone
+    # written: what is hot and what is not read the same rows
+    items = scratch.table(_cut(mixed.select("key", "d", "q", "c", "k"), rows), "cut")
+    out = out.unionByName(_grouped(items.where(F.col("k") <= BLOCK)))
+    hot = items.where(F.col("k") > BLOCK)
+    for step in SPLITS:
+        if hot.isEmpty():
+            break
+        first = [F.first(x).alias(x) for x in ("d", "p", "left", "bytes")]
+        parts = _split(hot, step).groupBy("key", "code").agg(F.sum("c").alias("c"), *first)
+        q = F.shiftleft("p", 16).bitwiseOR(F.shiftleft((F.length("bytes") - (WINDOW - 1)).cast("long"), 8)).bitwiseOR(F.col("left").cast("long"))
+        parts = scratch.table(parts.withColumn("q", q), f"parts-{step}")
+        alone, mixed = _sorted_out(parts, scratch, f"parts-{step}")
+        items = scratch.table(mixed.select("key", "k", "d", "p", "left", "c", "bytes"), f"cut-{step}")
+        out = out.unionByName(alone).unionByName(_grouped(items.where(F.col("k") <= BLOCK)))
+        hot = items.where(F.col("k") > BLOCK)
+    return out
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", keep: tuple = ("doc_id",), with_text: bool = False) -> DataFrame:
@@ -355,31 +398,24 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: tuple = ("doc_id",
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "suffix")
-    rows = keyed(docs, text, keep)
-    hits = repeats(rows, scratch)
-    by = hits.groupBy("d").agg(F.collect_list(F.struct("p", "m")).alias("hits"))
-    both = rows.join(by, "d", "left").select(*keep, "body", "hits")
+    rows = scratch.table(keyed(docs, text, keep), "rows")
+    by = single_windows(rows, scratch).groupBy("d").agg(F.collect_list(F.struct("p", "m")).alias("once"))
+    both = rows.join(by, "d", "left").select(*keep, "body", "once")
     ddl = ", ".join([f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep] + ["n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string"] + ["kept string"] * with_text)
 
     def run(batches):
+        none = np.zeros(0, np.int64)
         for b in text_chunks(batches, "body"):
             n_bytes, removed, spans, sha, kept = [], [], [], [], []
-            hits = b.column("hits")
+            once = b.column("once")
             for i, body in enumerate(b.column("body").to_pylist()):
-                parts, gone, k = [body], 0, 0
-                if hits[i].is_valid and len(hits[i].values):
-                    p, m = hits[i].values.field("p").to_numpy(), hits[i].values.field("m").to_numpy()
-                    order = np.argsort(p, kind="stable")
-                    s, e = p[order], (p + m + WINDOW - 1)[order]
-                    e = np.maximum.accumulate(e)
-                    new = np.concatenate([[True], s[1:] > e[:-1]])
-                    s, e = s[new].tolist(), e[np.concatenate([new[1:], [True]])].tolist()
-                    parts = [body[x:y] for x, y in zip([0, *e], [*s, len(body)])]
-                    gone, k = sum(e) - sum(s), len(s)
+                p, m = (once[i].values.field(x).to_numpy() for x in ("p", "m")) if once[i].is_valid else (none, none)
+                s, e = repeated_spans(len(body), p, m)
+                parts = [body[x:y] for x, y in zip([0, *e], [*s, len(body)])]
                 rest = b"".join(parts)
                 n_bytes.append(len(body))
-                removed.append(gone)
-                spans.append(k)
+                removed.append(len(body) - len(rest))
+                spans.append(len(s))
                 sha.append(hashlib.sha256(rest).hexdigest())
                 if with_text:
                     kept.append(rest.decode("utf-8", "ignore"))
@@ -387,3 +423,15 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: tuple = ("doc_id",
             yield pa.RecordBatch.from_arrays(cols + [pa.array(kept, pa.string())] * with_text, names=[*keep, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text])
 
     return both.mapInArrow(run, ddl)
+
+
+def repeated_spans(size: int, p: np.ndarray, m: np.ndarray) -> tuple[list[int], list[int]]:
+    """Maximal spans [start, end) of ``size`` bytes that windows outside of the runs [p, p + m) cover."""
+    order = np.argsort(p, kind="stable")
+    p, e = p[order].astype(np.int64), (p + m)[order].astype(np.int64)
+    s, t = np.concatenate([[0], e]), np.concatenate([p, [max(0, size - WINDOW + 1)]])  # windows between the runs
+    s, t = s[t > s], t[t > s] + WINDOW - 1
+    if not len(s):
+        return [], []
+    new = np.concatenate([[True], s[1:] > t[:-1]])
+    return s[new].tolist(), t[np.concatenate([new[1:], [True]])].tolist()
