@@ -5,7 +5,11 @@ each body pattern that has new rows, with the new rows in that pattern and all r
 others; what a round derives is made distinct, freed of known rows by an anti-join and
 written to the shared folder, which cuts the lineage and lets a round survive a lost
 executor. Patterns whose constant predicate got nothing new are skipped: one aggregation
-over the new rows tells, bounded by the constants of the program.
+over the new rows tells, bounded by the constants of the program. The same counts decide
+joins: the triples of a constant predicate (a schema pattern) are broadcast as long as they
+are at most ``SMALL`` in all, and a round whose heads have constant predicates looks for
+known rows among those predicates alone. Relations over lists come from
+:mod:`tripleloom.operators.lists`, renewed when triples that they rest on are new.
 
 They run until a round derives nothing new, however many it takes.
 
@@ -25,8 +29,13 @@ from ..plans.ast import ERROR, And, Atom, Const, Frame, Rule
 from ..plans.check import check, has_retraction, strata
 from ..plans.compile import BUILTINS, Compiler, _args, disjuncts, head, patterns
 from ..scratch import Scratch
+from . import lists
 
 TRIPLE = ["s", "p", "o"]
+#: Triples of a constant predicate up to which a pattern is broadcast; counted, not estimated.
+SMALL = 50_000
+#: Written tables of a relation, one a round, after which all but the first are written as one.
+PARTS = 12
 
 
 class NoFixpoint(RuntimeError):
@@ -75,6 +84,9 @@ class Engine:
             for a in r.actions:
                 if isinstance(a.target, Atom):
                     self.arity[a.target.name] = len(a.target.args)
+        asserted = {a.target.name for r in rules for a in r.actions if isinstance(a.target, Atom)}
+        self.lists = [n for n in lists.RELATIONS if n in self.arity and n not in asserted and n not in self.start]
+        self.cells, self.places, self.counts = None, {}, {}
         for r in self.facts:
             for a in r.actions:
                 one = head(self.spark.range(1).select(), a.target)
@@ -90,51 +102,102 @@ class Engine:
         used = [p for r in self.rules for d in disjuncts(r.body) for p in patterns(And(tuple(d))) if isinstance(p, Frame)]
         constants = sorted({p.slots[0][0].term for p in used if isinstance(p.slots[0][0], Const)})
         objects = sorted({p.slots[0][1].term for p in used if isinstance(p.slots[0][0], Const) and isinstance(p.slots[0][1], Const)})
+        if self.lists:
+            constants = sorted({*constants, lists.TYPE, lists.FIRST, lists.REST, *lists.ABOUT.values()})
         present: set = set()
-        full, new, metrics, rounds = {}, {}, [], 0
+        full, metrics, rounds = {}, [], 0
         for name, df in self.start.items():
             full[name] = [self.scratch.table(df.distinct())]
+        live = self._live({n: self._all(full, n) for n in full}, constants, objects)
+        self._add(full, self._list_rows(full, full, live))
         for layer in strata(self.rules):
             new = {n: self._all(full, n) for n in full}
             while True:
-                live = self._live(new, constants, objects)
                 present |= live
-                derived = self._round(layer, full, new, live, present)
+                derived, into = self._round(layer, full, new, live, present)
                 rounds += 1
                 fresh = {}
                 for name, parts in derived.items():
                     cols = _columns(name, self.arity[name])
                     made = reduce(DataFrame.unionByName, parts).distinct()
                     if name in full:
-                        made = made.join(self._all(full, name), cols, "left_anti")
+                        known = self._all(full, name)
+                        if name == "T" and None not in into:
+                            known = known.where(F.col("p").isin(sorted(into)))
+                        made = made.join(known, cols, "left_anti")
                     made = self.scratch.table(made.select(*cols))
                     if not made.isEmpty():
                         fresh[name] = made
+                self._add(full, fresh)
+                live = self._live(fresh, constants, objects)
+                more = self._list_rows(full, fresh, live) if "T" in fresh else {}
+                self._add(full, more)
+                fresh |= more
                 metrics.append({"round": rounds, "relations": {n: d.count() for n, d in fresh.items()}, "variants": sum(len(p) for p in derived.values())})
-                for name, df in fresh.items():
-                    full.setdefault(name, []).append(df)
                 new = fresh
                 if not fresh:
                     break
+            live = set(present)
         done = {n: self._all(full, n) for n in full}
         bad = ERROR in done and not done[ERROR].isEmpty()
         return Closure(done.pop("T"), done, bad, rounds, metrics)
 
+    def _add(self, full, fresh) -> None:
+        for name, df in fresh.items():
+            parts = full.setdefault(name, [])
+            parts.append(df)
+            if len(parts) > PARTS:
+                full[name] = [parts[0], self.scratch.table(reduce(DataFrame.unionByName, parts[1:]))]
+
+    def _list_rows(self, full, new, live) -> dict[str, DataFrame]:
+        """New rows of the relations over lists; ``new`` and ``live`` are the triples since the last call."""
+        if not self.lists:
+            return {}
+        triples, out = self._all(full, "T"), {}
+        changed = lists.FIRST in live or lists.REST in live
+        if changed:
+            self.cells = lists.unfold(triples, self.scratch)
+        if self.cells is None:
+            return {}
+        for name in self.lists:
+            if name != "item":
+                moved = changed or lists.ABOUT[name] in live
+                if moved or name not in self.places:
+                    self.places[name] = lists.members(self.cells, triples, name, self.scratch)
+                moved |= name != "path" and lists.TYPE in live
+                if not moved and name != "has_all":
+                    fresh = new["T"] if isinstance(new["T"], DataFrame) else self._all(new, "T")
+                    moved = not fresh.join(lists._small(self.places[name]), F.col("p") == F.col("x"), "left_semi").isEmpty()
+                if not moved:
+                    continue
+            elif not changed:
+                continue
+            made = lists.derive(name, self.cells, self.places.get(name), triples, self.scratch)
+            if name in full:
+                made = made.join(self._all(full, name), made.columns, "left_anti")
+            made = self.scratch.table(made)
+            if not made.isEmpty():
+                out[name] = made
+        return out
+
     def _all(self, full, name) -> DataFrame:
         parts = full.get(name)
         return reduce(DataFrame.unionByName, parts) if parts else _empty(self.spark, name, self.arity[name])
 
-    @staticmethod
-    def _live(new, constants, objects) -> set:
+    def _live(self, new, constants, objects) -> set:
         """Constant predicates, and (predicate, object) pairs of constants, that the new triples have; bounded by the program."""
         if "T" not in new or not constants:
             return set()
         o = F.when(F.col("o").isin(objects), F.col("o")) if objects else F.lit(None).cast("string")
         rows = new["T"].where(F.col("p").isin(constants)).groupBy("p", o.alias("o")).count().collect()
+        for r in rows:
+            self.counts[r["p"]] = self.counts.get(r["p"], 0) + r["count"]
         return {r["p"] for r in rows} | {(r["p"], r["o"]) for r in rows if r["o"] is not None}
 
-    def _round(self, rules, full, new, live, present) -> dict[str, list[DataFrame]]:
+    def _round(self, rules, full, new, live, present) -> tuple[dict[str, list[DataFrame]], set]:
+        """(rows by relation, predicates of the triples among them; None stands for any)."""
         out: dict[str, list[DataFrame]] = {}
+        into: set = set()
         for r in rules:
             for d in disjuncts(r.body):
                 found = patterns(And(tuple(d)))
@@ -144,14 +207,20 @@ class Engine:
                 if not found:  # equalities and lists alone: once
                     first = [None]
                 for k in first:
-                    def relation(name, arity, at, _p, k=k):
-                        return new[name] if at == k else self._all(full, name)
+                    def relation(name, arity, at, p, k=k):
+                        rows = new[name] if at == k else self._all(full, name)
+                        pred = p.slots[0][0] if name == "T" else None
+                        if isinstance(pred, Const) and self.counts.get(pred.term, SMALL + 1) <= SMALL:
+                            return F.broadcast(rows.where(F.col("p") == pred.term))
+                        return rows
 
                     body = Compiler(relation, self.builtins).conjunction(d)
                     for a in r.actions:
                         name = a.target.name if isinstance(a.target, Atom) else "T"
+                        if name == "T":
+                            into |= {p.term if isinstance(p, Const) else None for p, _ in a.target.slots}
                         out.setdefault(name, []).append(head(body, a.target))
-        return out
+        return out, into
 
     @staticmethod
     def _has(p, relations, known) -> bool:
@@ -173,6 +242,10 @@ class Engine:
             r = self.rules[k % len(self.rules)]
             k += 1
             rounds += 1
+            if needed := [n for n in self.lists if any(_args(p)[0] == n for d in disjuncts(r.body) for p in patterns(And(tuple(d))))]:
+                cells = lists.unfold(now["T"], self.scratch)
+                for n in needed:
+                    now[n] = self.scratch.table(lists.derive(n, cells, lists.members(cells, now["T"], n, self.scratch) if n != "item" else None, now["T"], self.scratch))
             body = Compiler(lambda name, arity, at, p: now.get(name) if name in now else _empty(self.spark, name, self.arity[name]), self.builtins).condition(r.body)
             body = self.scratch.table(body) if body.columns else body
             changed = 0

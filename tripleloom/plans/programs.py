@@ -2,7 +2,8 @@
 
 One rule a line: ``name: head & head <= pattern & pattern``. A pattern is three terms, a
 relation ``name(args)``, ``a != b``, ``a in [..]`` or a builtin; ``!`` as a head is an
-inconsistency. Lists are walked by relations: ``item(l, x)`` has the members of each list.
+inconsistency. The tables' ``LIST[?x, ...]`` conditions are the relations ``item``, ``has_all``,
+``path`` and ``same_values`` of :mod:`tripleloom.operators.lists`, which no rule derives.
 """
 
 from __future__ import annotations
@@ -96,11 +97,6 @@ rdfs12: ?p rdfs:subPropertyOf rdfs:member <= ?p a rdfs:ContainerMembershipProper
 rdfs13: ?c rdfs:subClassOf rdfs:Literal <= ?c a rdfs:Datatype
 """) + rules(_AXIOMS)
 
-LISTS = rules("""
-item-first: item(?l, ?x) <= ?l rdf:first ?x
-item-rest: item(?l, ?x) <= ?l rdf:rest ?r & item(?r, ?x)
-""")
-
 EQUALITY = rules("""
 eq-sym: ?y owl:sameAs ?x <= ?x owl:sameAs ?y
 eq-trans: ?x owl:sameAs ?z <= ?x owl:sameAs ?y & ?y owl:sameAs ?z
@@ -126,22 +122,14 @@ prp-symp: ?y ?p ?x <= ?p a owl:SymmetricProperty & ?x ?p ?y
 prp-asyp: ! <= ?p a owl:AsymmetricProperty & ?x ?p ?y & ?y ?p ?x
 prp-trp: ?x ?p ?z <= ?p a owl:TransitiveProperty & ?x ?p ?y & ?y ?p ?z
 prp-spo1: ?x ?q ?y <= ?p rdfs:subPropertyOf ?q & ?x ?p ?y
-chain-last: chain(?l, ?x, ?y) <= chained(?l) & ?l rdf:first ?p & ?l rdf:rest rdf:nil & ?x ?p ?y
-chain-more: chain(?l, ?x, ?z) <= chained(?l) & ?l rdf:first ?p & ?l rdf:rest ?m & chain(?m, ?y, ?z) & ?x ?p ?y
-chained-first: chained(?l) <= ?p owl:propertyChainAxiom ?l
-chained-rest: chained(?m) <= chained(?l) & ?l rdf:rest ?m
-prp-spo2: ?x ?p ?y <= ?p owl:propertyChainAxiom ?l & chain(?l, ?x, ?y)
+prp-spo2: ?x ?p ?y <= ?p owl:propertyChainAxiom ?l & path(?l, ?x, ?y)
 prp-eqp1: ?x ?q ?y <= ?p owl:equivalentProperty ?q & ?x ?p ?y
 prp-eqp2: ?x ?p ?y <= ?p owl:equivalentProperty ?q & ?x ?q ?y
 prp-pdw: ! <= ?p owl:propertyDisjointWith ?q & ?x ?p ?y & ?x ?q ?y
 prp-adp: ! <= ?d a owl:AllDisjointProperties & ?d owl:members ?l & item(?l, ?p) & item(?l, ?q) & ?p != ?q & ?x ?p ?y & ?x ?q ?y
 prp-inv1: ?y ?q ?x <= ?p owl:inverseOf ?q & ?x ?p ?y
 prp-inv2: ?y ?p ?x <= ?p owl:inverseOf ?q & ?x ?q ?y
-keyed: keyed(?l, ?c) <= ?c owl:hasKey ?l
-keyed-rest: keyed(?m, ?c) <= keyed(?l, ?c) & ?l rdf:rest ?m
-key-last: alike(?l, ?x, ?y) <= keyed(?l, ?c) & ?l rdf:first ?p & ?l rdf:rest rdf:nil & ?x a ?c & ?y a ?c & ?x ?p ?z & ?y ?p ?z & ?x != ?y
-key-more: alike(?l, ?x, ?y) <= keyed(?l, ?c) & ?l rdf:first ?p & ?l rdf:rest ?m & alike(?m, ?x, ?y) & ?x ?p ?z & ?y ?p ?z
-prp-key: ?x owl:sameAs ?y <= ?c owl:hasKey ?l & alike(?l, ?x, ?y) & ?x a ?c & ?y a ?c
+prp-key: ?x owl:sameAs ?y <= ?c owl:hasKey ?l & same_values(?l, ?x, ?y) & ?x a ?c & ?y a ?c
 prp-npa1: ! <= ?n owl:sourceIndividual ?x & ?n owl:assertionProperty ?p & ?n owl:targetIndividual ?y & ?x ?p ?y
 prp-npa2: ! <= ?n owl:sourceIndividual ?x & ?n owl:assertionProperty ?p & ?n owl:targetValue ?y & ?x ?p ?y
 """)
@@ -162,11 +150,7 @@ cls-maxqc2: ! <= ?x owl:maxQualifiedCardinality {_ZERO} & ?x owl:onProperty ?p &
 cls-maxqc3: ?y owl:sameAs ?z <= ?x owl:maxQualifiedCardinality {_ONE} & ?x owl:onProperty ?p & ?x owl:onClass ?c & ?u a ?x & ?u ?p ?y & ?y a ?c & ?u ?p ?z & ?z a ?c & ?y != ?z
 cls-maxqc4: ?y owl:sameAs ?z <= ?x owl:maxQualifiedCardinality {_ONE} & ?x owl:onProperty ?p & ?x owl:onClass owl:Thing & ?u a ?x & ?u ?p ?y & ?u ?p ?z & ?y != ?z
 cls-com: ! <= ?c owl:complementOf ?d & ?x a ?c & ?x a ?d
-joint-first: joint(?l) <= ?c owl:intersectionOf ?l
-joint-rest: joint(?m) <= joint(?l) & ?l rdf:rest ?m
-in-all-last: in_all(?l, ?x) <= joint(?l) & ?l rdf:first ?c & ?l rdf:rest rdf:nil & ?x a ?c
-in-all-more: in_all(?l, ?x) <= joint(?l) & ?l rdf:first ?c & ?l rdf:rest ?m & in_all(?m, ?x) & ?x a ?c
-cls-int1: ?x a ?c <= ?c owl:intersectionOf ?l & in_all(?l, ?x)
+cls-int1: ?x a ?c <= ?c owl:intersectionOf ?l & has_all(?l, ?x)
 cls-int2: ?x a ?d <= ?c owl:intersectionOf ?l & item(?l, ?d) & ?x a ?c
 cls-uni: ?x a ?c <= ?c owl:unionOf ?l & item(?l, ?d) & ?x a ?d
 cls-oo: ?x a ?c <= ?c owl:oneOf ?l & item(?l, ?x)
@@ -205,7 +189,7 @@ OWL_AXIOMS = rules("\n".join(
     + ["cls-thing: owl:Thing a owl:Class", "cls-nothing1: owl:Nothing a owl:Class"]
 ))
 
-OWL_RL = LISTS + EQUALITY + REFLEXIVE + PROPERTIES + CLASSES + SCHEMA + OWL_AXIOMS
+OWL_RL = EQUALITY + REFLEXIVE + PROPERTIES + CLASSES + SCHEMA + OWL_AXIOMS
 
 
 def pick(program: list[Rule], *names: str) -> list[Rule]:

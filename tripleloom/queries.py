@@ -597,7 +597,7 @@ def _old(spark, sf_dir) -> DataFrame:
 
 @query(f"WITH t AS ({_TYPED} UNION {_OLD}) SELECT * FROM t UNION SELECT a.s, '{RDF_TYPE}', '{_R}' FROM t a JOIN t b ON a.s = b.s AND a.o = '{_EX('Nation')}' AND b.o = '{_EX('Old')}' UNION {_consts(_INT)}")
 def owl_intersection_list(spark, sf_dir):
-    return _owl_triples(spark, _typed(spark, sf_dir).unionByName(_old(spark, sf_dir)), _INT, "item-first", "item-rest", "joint-first", "joint-rest", "in-all-last", "in-all-more", "cls-int1", "cls-int2")
+    return _owl_triples(spark, _typed(spark, sf_dir).unionByName(_old(spark, sf_dir)), _INT, "cls-int1", "cls-int2")
 
 
 _UNI = [(_R, _OWL("unionOf"), "_:u0"), *_list("u", _EX("Nation"), _EX("Old"))]
@@ -605,7 +605,7 @@ _UNI = [(_R, _OWL("unionOf"), "_:u0"), *_list("u", _EX("Nation"), _EX("Old"))]
 
 @query(f"WITH t AS ({_TYPED} UNION {_OLD}) SELECT * FROM t UNION SELECT s, '{RDF_TYPE}', '{_R}' FROM t WHERE o IN ('{_EX('Nation')}', '{_EX('Old')}') UNION {_consts(_UNI)}")
 def owl_union_list(spark, sf_dir):
-    return _owl_triples(spark, _typed(spark, sf_dir).unionByName(_old(spark, sf_dir)), _UNI, "item-first", "item-rest", "cls-uni")
+    return _owl_triples(spark, _typed(spark, sf_dir).unionByName(_old(spark, sf_dir)), _UNI, "cls-uni")
 
 
 _ONE = [(_R, _OWL("oneOf"), "_:o0"), *_list("o", "<urn:x:nation/1>", "<urn:x:nation/2>", "<urn:x:nation/4>")]
@@ -613,7 +613,7 @@ _ONE = [(_R, _OWL("oneOf"), "_:o0"), *_list("o", "<urn:x:nation/1>", "<urn:x:nat
 
 @query(f"SELECT * FROM ({_consts(_ONE)}) x(s, p, o) UNION SELECT '<urn:x:nation/' || CAST(unnest([1, 2, 4]) AS VARCHAR) || '>', '{RDF_TYPE}', '{_R}'")
 def owl_oneof_list(spark, sf_dir):
-    return _owl_triples(spark, _constant_graph(spark, _ONE), [], "item-first", "item-rest", "cls-oo")
+    return _owl_triples(spark, _constant_graph(spark, _ONE), [], "cls-oo")
 
 
 _CHAIN = [(_EX("fromRegion"), _OWL("propertyChainAxiom"), "_:c0"), *_list("c", _EX("placedBy"), _EX("inNation"), _EX("inRegion"))]
@@ -621,7 +621,7 @@ _CHAIN = [(_EX("fromRegion"), _OWL("propertyChainAxiom"), "_:c0"), *_list("c", _
 
 @query(_t("placedBy", "inNation", "inRegion") + f"SELECT * FROM t UNION SELECT a.s, '{_EX('fromRegion')}', c.o FROM t a JOIN t b ON a.o = b.s JOIN t c ON b.o = c.s WHERE a.p = '{_EX('placedBy')}' AND b.p = '{_EX('inNation')}' AND c.p = '{_EX('inRegion')}' UNION {_consts(_CHAIN)}")
 def owl_property_chain(spark, sf_dir):
-    return _owl_triples(spark, triples(spark, sf_dir, ["placedBy", "inNation", "inRegion"]), _CHAIN, "chain-last", "chain-more", "chained-first", "chained-rest", "prp-spo2")
+    return _owl_triples(spark, triples(spark, sf_dir, ["placedBy", "inNation", "inRegion"]), _CHAIN, "prp-spo2")
 
 
 _KEY = [(_EX("Item"), _OWL("hasKey"), "_:k0"), *_list("k", _EX("brand"), _EX("type"))]
@@ -644,7 +644,7 @@ def _same_items(spark, p: DataFrame) -> DataFrame:
     s = iri("part", F.col("p_partkey")).alias("s")
     lit = lambda c: F.concat(F.lit('"'), F.col(c), F.lit('"')).alias("o")
     g = p.select(s, F.lit(RDF_TYPE).alias("p"), F.lit(_EX("Item")).alias("o")).unionByName(p.select(s, F.lit(_EX("brand")).alias("p"), lit("p_brand"))).unionByName(p.select(s, F.lit(_EX("type")).alias("p"), lit("p_type")))
-    done = _owl_triples(spark, g, _KEY, "keyed", "keyed-rest", "key-last", "key-more", "prp-key")
+    done = _owl_triples(spark, g, _KEY, "prp-key")
     return done.where(F.col("p") == _OWL("sameAs")).select("s", "o")
 
 
