@@ -278,3 +278,21 @@ class Engine:
 def closure(triples: DataFrame, rules: list[Rule], **options) -> Closure:
     """All triples and relations that ``rules`` derive from ``triples`` (s, p, o in canonical form)."""
     return Engine(triples, rules, **options).run()
+
+
+def matches(triples: DataFrame, rule: Rule, relations: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Distinct bindings of a rule's body over ``triples``: a column for each variable."""
+    engine = Engine(triples, [rule], relations=relations)
+    have = dict(engine.start)
+    if engine.lists:
+        cells = lists.unfold(have["T"], engine.scratch)
+        for n in engine.lists:
+            have[n] = lists.derive(n, cells, None if n == "item" else lists.members(cells, have["T"], n, engine.scratch), have["T"], engine.scratch)
+    body = Compiler(lambda name, arity, at, p: have[name] if name in have else _empty(engine.spark, name, engine.arity[name]), engine.builtins).condition(rule.body)
+    return body.select(*[F.col(c).alias(c[2:]) for c in body.columns]).distinct()
+
+
+def firings(triples: DataFrame, rules: list[Rule]) -> DataFrame:
+    """rule, n: how many bindings match each rule, rules without a match included."""
+    each = [matches(triples, r).agg(F.count("*").alias("n")).select(F.lit(r.name or str(r)).alias("rule"), "n") for r in rules]
+    return reduce(DataFrame.unionByName, each).groupBy("rule").agg(F.sum("n").alias("n"))

@@ -9,6 +9,8 @@ from ..scratch import Scratch
 #: A side is broadcast only below this many bytes, estimated by its rows.
 BROADCAST_BYTES = 8 << 20
 _ROW_BYTES = 200
+#: Bits of a Bloom filter (1 MB).
+BLOOM_BITS = 1 << 23
 
 
 def shared_columns(a: DataFrame, b: DataFrame) -> list[str]:
@@ -32,11 +34,35 @@ def replicated_join(a: DataFrame, b: DataFrame, on: list[str] | None = None, lim
     return a.join(F.broadcast(b) if small else b, on or shared_columns(a, b))
 
 
-def reduced_join(a: DataFrame, b: DataFrame, on: list[str] | None = None) -> DataFrame:
-    """Both sides cut to keys that the other has, then joined. (Spark adds Bloom filters at run time where they pay.)"""
+def bloom_filter(rows: DataFrame, on: list[str], bits: int = BLOOM_BITS) -> DataFrame:
+    """bucket, bits: a Bloom filter of the keys of ``rows`` with two hash functions, in bitmaps of 32768 bits; at most ``bits`` in all."""
+    at = F.explode(F.array(*[F.pmod(F.xxhash64(*on, F.lit(seed)), F.lit(bits)) for seed in (1, 2)]))
+    keys = rows.where(" and ".join(f"`{c}` is not null" for c in on)).select(at.alias("h"))
+    return keys.groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
+
+
+def may_join(rows: DataFrame, bloom: DataFrame, on: list[str], bits: int = BLOOM_BITS) -> DataFrame:
+    """Rows whose keys may be in a Bloom filter: all that are, and few others. The filter is broadcast; ``bits`` bounds it."""
+    out = rows
+    for seed in (1, 2):
+        h = F.pmod(F.xxhash64(*on, F.lit(seed)), F.lit(bits))
+        out = out.withColumn("__h", h).join(F.broadcast(bloom.withColumnRenamed("bits", "__bits")), F.bitmap_bucket_number("__h") == F.col("bucket"))
+        place = F.bitmap_bit_position("__h").cast("int")
+        byte = F.conv(F.hex(F.substring("__bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        out = out.where(F.floor(byte / F.pow(F.lit(2), place % 8)).cast("int") % 2 == 1).select(*rows.columns)
+    return out
+
+
+def reduced_join(a: DataFrame, b: DataFrame, on: list[str] | None = None, bits: int = BLOOM_BITS) -> DataFrame:
+    """Join of ``a``, cut by a Bloom filter of ``b``'s keys before it is shuffled, and ``b``."""
     keys = on or shared_columns(a, b)
-    left = a.join(b.select(*keys).distinct(), keys, "left_semi")
-    return left.join(b, keys)
+    return may_join(a, bloom_filter(b, keys, bits), keys, bits).join(b, keys)
+
+
+def delta_join(a: DataFrame, new_a: DataFrame, b: DataFrame, new_b: DataFrame, on: list[str]) -> DataFrame:
+    """Distinct rows of the join of two relations that new rows of either make (``a`` and ``b`` hold their new rows too)."""
+    left = new_a.join(b, on)
+    return left.unionByName(a.join(new_b, on).select(*left.columns)).distinct()
 
 
 def range_pairs(a: DataFrame, b: DataFrame, key: str, low: str, high: str, width: int) -> DataFrame:
@@ -92,5 +118,16 @@ def randomize(rows: DataFrame, n: int) -> DataFrame:
 
 
 def replicate(triples: DataFrame, condition) -> tuple[DataFrame, DataFrame]:
-    """(rows to have everywhere, the rest): what a replication condition selects."""
-    return triples.where(condition), triples.where(~condition)
+    """(rows to have everywhere, the rest): what a replication condition selects; rows for which it is null are of the rest.
+
+    On Spark a row is everywhere as the broadcast side of a join: :func:`replicated_join` does that where the rows are few.
+    """
+    yes = F.coalesce(condition, F.lit(False))
+    return triples.where(yes), triples.where(~yes)
+
+
+def schema_predicates(triples: DataFrame, predicates: list[str], limit: int = BROADCAST_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(triples of the given predicates, with a broadcast hint if a count allows it; the rest): replication of a schema by its predicates."""
+    few, rest = replicate(triples, F.col("p").isin(predicates))
+    rows = limit // _ROW_BYTES
+    return (F.broadcast(few) if few.limit(rows + 1).count() <= rows else few), rest

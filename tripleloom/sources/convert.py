@@ -4,36 +4,59 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..scratch import Scratch
 from . import dictionary, ntriples
 
 
-def read(spark: SparkSession, path: str, fmt: str) -> DataFrame:
-    """Triples of ``nt`` (text, compressed or not), ``encoded`` (folder with triples and dictionary) or ``parquet``."""
+#: Formats: text triples, Parquet triples, encoded triples with a dictionary as Parquet or as files of records.
+FORMATS = ("nt", "parquet", "encoded", "der")
+
+
+def read(spark: SparkSession, path: str, fmt: str, dictionary_path: str | None = None) -> DataFrame:
+    """Triples of a format; encoded ones take their dictionary from ``dictionary_path`` where it is shared by several inputs."""
     if fmt == "nt":
         return ntriples.read(spark, path)[0]
-    if fmt == "encoded":
-        return dictionary.decode(spark.read.parquet(f"{path}/triples"), spark.read.parquet(f"{path}/dictionary"))
     if fmt == "parquet":
         return spark.read.parquet(path).select("s", "p", "o")
+    if fmt == "encoded":
+        return dictionary.decode(spark.read.parquet(f"{path}/triples"), spark.read.parquet(dictionary_path or f"{path}/dictionary"))
+    if fmt == "der":
+        return dictionary.decode(dictionary.read_der(spark, f"{path}/triples"), dictionary.read_dictionary(spark, dictionary_path or f"{path}/dictionary"))
     raise ValueError(f"unknown format {fmt}")
 
 
-def write(triples: DataFrame, path: str, fmt: str, compression: str | None = None, single: bool = False) -> None:
-    """Write triples; ``single`` gives one part file."""
+def write(triples: DataFrame, path: str, fmt: str, compression: str | None = None, single: bool = False, dictionary_path: str | None = None) -> None:
+    """Write triples; ``single`` gives one part file. With ``dictionary_path`` terms are encoded by that dictionary,
+    which must have them all, and none is written."""
+    if fmt not in FORMATS:
+        raise ValueError(f"unknown format {fmt}")
+    one = lambda df: df.coalesce(1) if single else df
     if fmt == "nt":
-        ntriples.write(triples.coalesce(1) if single else triples, path, compression)
-    elif fmt == "encoded":
-        ids, d = dictionary.encode(triples)
-        (ids.coalesce(1) if single else ids).write.parquet(f"{path}/triples")
-        d.write.parquet(f"{path}/dictionary")
-    elif fmt == "parquet":
-        (triples.coalesce(1) if single else triples).write.option("compression", compression or "zstd").parquet(path)
+        return ntriples.write(one(triples), path, compression)
+    if fmt == "parquet":
+        return one(triples).write.option("compression", compression or "zstd").parquet(path)
+    spark, known = triples.sparkSession, None
+    if dictionary_path:
+        known = dictionary.read_dictionary(spark, dictionary_path) if fmt == "der" else spark.read.parquet(dictionary_path)
+        known = Scratch(spark, "convert").table(known)
+        missing = dictionary.terms_of(triples).join(known, "term", "left_anti")
+        if not missing.isEmpty():
+            raise ValueError(f"the dictionary lacks {missing.first()['term']}")
+    ids, d = dictionary.encode(triples, known)
+    if fmt == "encoded":
+        one(ids).write.parquet(f"{path}/triples")
+        if known is None:
+            d.write.parquet(f"{path}/dictionary")
     else:
-        raise ValueError(f"unknown format {fmt}")
+        dictionary.write_der(one(ids), f"{path}/triples")
+        if known is None:
+            dictionary.write_dictionary(d, f"{path}/dictionary")
 
 
-def convert(spark: SparkSession, src: str, src_fmt: str, dst: str, dst_fmt: str, **options) -> None:
-    write(read(spark, src, src_fmt), dst, dst_fmt, **options)
+def convert(spark: SparkSession, src: str, src_fmt: str, dst: str | None, dst_fmt: str = "nt", source_dictionary: str | None = None, **options) -> int | None:
+    """Read one format and write another. With ``dst`` None nothing is written: the triples are read, checked and counted."""
+    triples = read(spark, src, src_fmt, source_dictionary)
+    return triples.count() if dst is None else write(triples, dst, dst_fmt, **options)
 
 
 def block_slice(rows: DataFrame, order: list[str], size: int, first: int, last: int) -> DataFrame:

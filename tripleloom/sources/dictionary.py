@@ -7,6 +7,8 @@ size is the number of partitions, gives each its first id, and no task sees all
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..scratch import Scratch
@@ -61,15 +63,81 @@ def _long(h):
     return F.shiftleft(half(F.substring(h, 1, 8)), 32).bitwiseOR(half(F.substring(h, 9, 8)))
 
 
+RECORD = 24
+
+
 def read_der(spark: SparkSession, path) -> DataFrame:
-    """s, p, o of files of 24-byte records (three big-endian 64-bit ids)."""
-    files = spark.read.format("binaryFile").load(path).select("content")
-    n = F.floor(F.octet_length("content") / 24).cast("int")
-    at = files.where(n > 0).select("content", F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
-    h = at.select(F.hex(F.substring("content", F.col("k") * 24 + 1, F.lit(24))).alias("h"))
+    """s, p, o of files of 24-byte records (three big-endian 64-bit ids), split at whole records like any splittable input.
+
+    Python only joins a split's records to larger rows; they are cut and decoded in the JVM.
+    """
+    def joined(records, n=4096):
+        held = []
+        for r in records:
+            held.append(bytes(r))
+            if len(held) == n:
+                yield (b"".join(held),)
+                held = []
+        if held:
+            yield (b"".join(held),)
+
+    rows = spark.createDataFrame(spark.sparkContext.binaryRecords(path, RECORD).mapPartitions(joined), "content binary")
+    n = F.floor(F.octet_length("content") / RECORD).cast("int")
+    at = rows.select("content", F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
+    h = at.select(F.hex(F.substring("content", F.col("k") * RECORD + 1, F.lit(RECORD))).alias("h"))
     return h.select(*[_long(F.substring("h", 16 * i + 1, 16)).alias(c) for i, c in enumerate("spo")])
 
 
+def write_records(records: DataFrame, path: str, suffix: str) -> int:
+    """Files of the bytes of ``records``' one column, one a partition; returns how many records.
+
+    Tasks write under names of their own in a folder beside, and only the files of the attempts
+    that ended well are moved in, so a lost executor leaves nothing behind.
+    """
+    import pyarrow as pa
+
+    spark = records.sparkSession
+    tmp = f"{path}/_writing-{uuid.uuid4().hex[:12]}"
+    (column,) = records.columns
+
+    def run(batches):
+        from pyarrow import fs
+
+        name, n, out = f"{uuid.uuid4().hex}{suffix}", 0, None
+        store, where = fs.FileSystem.from_uri(tmp)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if out is None:
+                store.create_dir(where, recursive=True)
+                out = store.open_output_stream(f"{where}/{name}")
+            for at in range(0, b.num_rows, 4096):
+                out.write(b"".join(b.column(0).slice(at, 4096).to_pylist()))
+            n += b.num_rows
+        if out is not None:
+            out.close()
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=["name", "n"])
+
+    done = records.select(F.col(column).cast("binary")).mapInArrow(run, "name string, n long").orderBy("name").collect()  # bounded: a row a partition
+    folder = spark._jvm.org.apache.hadoop.fs.Path
+    store = folder(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(folder(path))
+    for k, r in enumerate(done):
+        store.rename(folder(f"{tmp}/{r['name']}"), folder(f"{path}/part-{k:05d}{suffix}"))
+    store.delete(folder(tmp), True)
+    return sum(r["n"] for r in done)
+
+
+def write_der(encoded: DataFrame, path: str) -> int:
+    """Encoded triples (s, p, o) as files of 24-byte records."""
+    return write_records(encoded.select(der_record("s", "p", "o").alias("r")), path, ".der")
+
+
+def write_dictionary(dictionary: DataFrame, path: str) -> int:
+    """A dictionary (id, term) as files of records."""
+    return write_records(dictionary.select(dictionary_record("id", "term").alias("r")), path, ".dct")
+
+
 def der_record(s, p, o):
     """24-byte record of three ids."""
     return F.unhex(F.concat(*[F.lpad(F.hex(x), 16, "0") for x in (s, p, o)]))
@@ -82,20 +150,24 @@ def dictionary_record(id_, term):
 
 
 def read_dictionary(spark: SparkSession, path) -> DataFrame:
-    """id, term of dictionary files; each file is walked record by record."""
+    """id, term of dictionary files. Records have no fixed length, so a file is walked by one task; the writer makes one a partition."""
     import struct
 
     import pyarrow as pa
 
     def run(batches):
+        kinds = pa.schema([("id", pa.int64()), ("term", pa.string())])
         for b in batches:
             for raw in b.column("content").to_pylist():
                 ids, names, at = [], [], 0
                 while at + 12 <= len(raw):
-                    i, n = struct.unpack(">qI", raw[at : at + 12])
+                    i, n = struct.unpack_from(">qI", raw, at)
                     ids.append(i)
                     names.append(raw[at + 12 : at + 12 + n].decode("utf-8"))
                     at += 12 + n
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.string())], names=["id", "term"])
+                    if len(ids) == 50_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.string())], schema=kinds)
+                        ids, names = [], []
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.string())], schema=kinds)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "id long, term string")

@@ -4,21 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions import terms
+from ..functions import iri as iris, lang as tags, terms
 
 _TERM = r'<[^<>\s]*>|_:\S+|\[\]|"(?:[^"\\]|\\.)*+"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?'
+_SCHEME = "^<[A-Za-z][A-Za-z0-9+.-]*:"
+#: A numeric escape of a surrogate or beyond the last code point, after an even number of backslashes.
+_BAD_POINT = r"(?<!\\)(?:\\\\)*\\(?:u[Dd][89A-Fa-f][0-9A-Fa-f]{2}|U(?!000|0010)[0-9A-Fa-f]{8}|U0000[Dd][89A-Fa-f][0-9A-Fa-f]{2}|U00[2-9A-Fa-f][0-9A-Fa-f]{5}|U001[1-9A-Fa-f][0-9A-Fa-f]{4})"
 _LINE = rf"^\s*(\S+)\s+(\S+)\s+({_TERM})\s*(?:\.\s*)?$"
 
 
+def _is_iri(x: Column) -> Column:
+    return iris.is_iri(canonical(x))
+
+
 def parse(line: Column) -> Column:
     """Struct s, p, o, error of a line; error is null for a triple."""
     s, p, o = (F.regexp_extract(line, _LINE, k) for k in (1, 2, 3))
+    iri = r"<([A-Za-z][A-Za-z0-9+.-]*:[^<>\s]*)>$"
+    wrong = lambda x: x.startswith("<") & ~_is_iri(F.regexp_extract(x, "^" + iri, 1))
+    kind = F.regexp_extract(o, r"\^\^" + iri, 1)
+    tag = F.regexp_extract(o, r'"@([A-Za-z0-9-]+)$', 1)
     error = (
-        F.when(~line.rlike(_LINE), "not a triple")
+        F.when(~F.is_valid_utf8(line), "invalid UTF-8")
+        .when(line.rlike(_BAD_POINT), "invalid code point")
+        .when(~line.rlike(_LINE), "not a triple")
         .when(s.startswith('"'), "literal subject")
         .when(~s.rlike(rf"^(?:{_TERM})$"), "invalid subject")
         .when(~p.rlike(r"^<[^<>\s]*>$"), "predicate is no IRI")
-        .when(~p.rlike("^<[A-Za-z][A-Za-z0-9+.-]*:") | s.rlike("^<(?![A-Za-z][A-Za-z0-9+.-]*:)") | o.rlike("^<(?![A-Za-z][A-Za-z0-9+.-]*:)"), "relative IRI")
+        .when(~p.rlike(_SCHEME) | s.rlike("^<") & ~s.rlike(_SCHEME) | o.rlike("^<") & ~o.rlike(_SCHEME), "relative IRI")
+        .when(wrong(s) | wrong(p) | wrong(o) | (o.rlike(r'"\^\^<[^>]*>$') & ~_is_iri(kind)), "malformed IRI")
+        .when((tag != "") & ~tags.is_valid(tag), "malformed language tag")
     )
     good = lambda x: F.when(error.isNull(), canonical(x))
     return F.struct(good(s).alias("s"), good(p).alias("p"), good(o).alias("o"), error.alias("error"))
