@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ["scan_triple_pattern_po", "multi_slot_frame", "not_list_contains", "join_shared_var", "set_difference", "dict_encode", "rdfs_subclass_trans", "owl_inverse", "rule_retract_assert", "iri_split", "prefix_sum_offsets", "block_slice", "bloom_semijoin", "semi_naive_delta_join", "nt_parse", "nt_files", "der_files", "convert_shared_dictionary", "iri_productions", "term_stats_all", "langtag_normalize", "order_terms", "owl_property_chain", "owl_maxcardinality_sameas", "owl_equality_replacement"]
+SOME = ["scan_triple_pattern_po", "multi_slot_frame", "not_list_contains", "join_shared_var", "set_difference", "dict_encode", "rdfs_subclass_trans", "owl_inverse", "rule_retract_assert", "iri_split", "prefix_sum_offsets", "block_slice", "bloom_semijoin", "semi_naive_delta_join", "nt_parse", "nt_files", "der_files", "convert_shared_dictionary", "iri_productions", "term_stats_all", "langtag_normalize", "order_terms", "owl_property_chain", "owl_maxcardinality_sameas", "owl_equality_replacement", "rdfs_practical_closure"]
 
 
 def test_oracles_have_queries():

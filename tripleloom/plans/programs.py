@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 
-from .ast import ERROR, Action, And, Atom, Const, Equal, External, Frame, ListTerm, Not, Rule, Var
+from .ast import ERROR, Action, And, Atom, Const, Equal, External, Frame, ListTerm, Not, Rule, Var, conjuncts
 from .parser import PREFIXES
 
 _WORD = re.compile(r'"[^"]*"(?:\^\^\S+)?|[^\s,]+')
@@ -198,3 +198,58 @@ def pick(program: list[Rule], *names: str) -> list[Rule]:
     if missing := set(names) - {r.name for r in found}:
         raise KeyError(sorted(missing))
     return found
+
+
+# --- variants --------------------------------------------------------------------------------
+
+#: Predicates and classes of schema triples, which are few and can be everywhere.
+SCHEMA_PREDICATES = tuple(_term(w).term for w in """rdfs:domain rdfs:range rdfs:subPropertyOf rdfs:subClassOf owl:equivalentClass owl:equivalentProperty owl:inverseOf owl:propertyDisjointWith
+owl:disjointWith owl:complementOf owl:intersectionOf owl:unionOf owl:oneOf owl:propertyChainAxiom owl:hasKey owl:members owl:distinctMembers owl:onProperty owl:onClass owl:hasValue
+owl:someValuesFrom owl:allValuesFrom owl:maxCardinality owl:maxQualifiedCardinality rdf:first rdf:rest""".split())
+SCHEMA_CLASSES = tuple(_term(w).term for w in """rdfs:Class rdfs:Datatype rdfs:ContainerMembershipProperty rdf:Property owl:Class owl:ObjectProperty owl:DatatypeProperty owl:FunctionalProperty
+owl:InverseFunctionalProperty owl:SymmetricProperty owl:AsymmetricProperty owl:TransitiveProperty owl:IrreflexiveProperty owl:AllDifferent owl:AllDisjointProperties owl:AllDisjointClasses""".split())
+_TYPE = _term("a").term
+
+
+def is_schema(pattern) -> bool:
+    """Whether a one-slot frame, or a relation over lists, is about the schema alone."""
+    if isinstance(pattern, Atom):
+        return pattern.name == "item"
+    pred, obj = pattern.slots[0]
+    return isinstance(pred, Const) and (pred.term in SCHEMA_PREDICATES or (pred.term == _TYPE and isinstance(obj, Const) and obj.term in SCHEMA_CLASSES))
+
+
+def parallel(program: list[Rule]) -> list[Rule]:
+    """Rules with at most one pattern over instances: with the schema everywhere, parts of the data can be closed alone."""
+    out = []
+    for r in program:
+        found = [Frame(p.subject, (s,)) for p in conjuncts(r.body) if isinstance(p, Frame) for s in p.slots] + [p for p in conjuncts(r.body) if isinstance(p, Atom)]
+        if sum(not is_schema(p) for p in found) <= 1:
+            out.append(r)
+    return out
+
+
+def guarded(program: list[Rule]) -> list[Rule]:
+    """Rules that read instances kept from making schema triples: their classes and predicates must not be of the schema."""
+    out = []
+    for r in program:
+        reads = [Frame(p.subject, (s,)) for p in conjuncts(r.body) if isinstance(p, Frame) for s in p.slots]
+        extra: dict = {}
+        if not all(map(is_schema, reads)):
+            for a in r.actions:
+                if isinstance(a.target, Frame):
+                    for pred, obj in a.target.slots:
+                        if isinstance(pred, Var):
+                            extra[pred] = SCHEMA_PREDICATES
+                        elif pred.term == _TYPE and isinstance(obj, Var):
+                            extra[obj] = SCHEMA_CLASSES
+        more = tuple(Not(External("pred:list-contains", (ListTerm(tuple(map(Const, names))), v))) for v, names in extra.items())
+        out.append(Rule(And((*conjuncts(r.body), *more)), r.actions, r.name) if more else r)
+    return out
+
+
+#: Equality alone: symmetric, transitive, replacing.
+SAME_AS = [r for r in EQUALITY if r.name in ("eq-sym", "eq-trans", "eq-rep-s", "eq-rep-p", "eq-rep-o")]
+PRACTICAL_RDFS = guarded(parallel(RDFS))
+PARALLEL_OWL = parallel(OWL_RL)
+PARALLEL_MINIMAL_OWL = guarded(parallel([r for r in OWL_RL if r not in REFLEXIVE]))

@@ -57,6 +57,9 @@ def _body(rule: Rule, table: str):
     for p in parts:
         if isinstance(p, Not) and isinstance(p.body, Equal):
             tests.append(f"{term(p.body.left)} <> {term(p.body.right)}")
+        elif isinstance(p, Not) and isinstance(p.body, External) and p.body.name == "pred:list-contains":
+            items, x = p.body.args
+            tests.append(f"{term(x)} NOT IN ({', '.join(_quote(i.term) for i in items.items)})")
         elif isinstance(p, External) and p.name in _BUILTINS:
             tests.append(_BUILTINS[p.name](term(p.args[0])))
         elif not isinstance(p, Frame) and not (isinstance(p, Atom) and p.name == "item"):

@@ -709,6 +709,19 @@ def owl_rl_closure(spark, sf_dir):
     return closure(g, programs.OWL_RL).triples
 
 
+@query(program_sql(programs.PRACTICAL_RDFS, f"{triples_sql(_PLACES)} UNION {_SCHEMA_SQL}"))
+def rdfs_practical_closure(spark, sf_dir):
+    """RDFS by rules that need one instance triple at most and make no schema triples of instances."""
+    return closure(_with_schema(spark, sf_dir), programs.PRACTICAL_RDFS).triples
+
+
+@query(program_sql(_without_lists(programs.PARALLEL_MINIMAL_OWL), f"{triples_sql(['inRegion'])} UNION ({_consts(_OWL_GRAPH)})"))
+def owl_parallel_closure(spark, sf_dir):
+    """The OWL rules that need one instance triple at most."""
+    g = triples(spark, sf_dir, ["inRegion"]).unionByName(_constant_graph(spark, _OWL_GRAPH))
+    return closure(g, programs.PARALLEL_MINIMAL_OWL).triples
+
+
 # --- inconsistency ---------------------------------------------------------------------------
 
 
