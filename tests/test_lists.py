@@ -79,3 +79,16 @@ def test_a_long_chain_is_closed_to_its_end(spark):
     rows = [(f"<i:{k}>", "<p:p>", f"<i:{k + 1}>") for k in range(n)] + [("<p:p>", TYPE, f"<{OWL}TransitiveProperty>")]
     done = closure(graph(spark, rows), programs.pick(programs.OWL_RL, "prp-trp"), max_iter=2)
     assert done.triples.where("p = '<p:p>'").count() == n * (n + 1) // 2
+
+
+def test_a_closure_goes_on_from_new_triples(spark):
+    rnd = random.Random(4)
+    sub, far = "<http://www.w3.org/2000/01/rdf-schema#subPropertyOf>", f"<{OWL}propertyChainAxiom>"
+    rows = [(f"<i:{rnd.randrange(12)}>", f"<p:{rnd.randrange(3)}>", f"<i:{rnd.randrange(12)}>") for _ in range(40)]
+    rows += [("<p:0>", sub, "<p:1>"), ("<p:2>", TYPE, f"<{OWL}TransitiveProperty>"), ("<x:far>", far, "_:c0"), *as_list("c", ["<p:1>", "<p:2>"])]
+    rnd.shuffle(rows)
+    rules = programs.pick(programs.OWL_RL, "prp-spo1", "prp-trp", "prp-spo2", "prp-dom")
+    whole = {tuple(r) for r in closure(graph(spark, rows), rules).triples.collect()}
+    for cut in (10, 30):
+        first = closure(graph(spark, rows[:cut]), rules).triples
+        assert {tuple(r) for r in closure(first, rules, delta=graph(spark, rows[cut:])).triples.collect()} == whole

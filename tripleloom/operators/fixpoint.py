@@ -67,10 +67,13 @@ def _empty(spark: SparkSession, name: str, arity: int) -> DataFrame:
 
 
 class Engine:
-    def __init__(self, triples: DataFrame, rules: list[Rule], builtins=None, reference_facts: bool = False, max_iter: int = 200, relations: dict[str, DataFrame] | None = None):
+    def __init__(self, triples: DataFrame, rules: list[Rule], builtins=None, reference_facts: bool = False, max_iter: int = 200, relations: dict[str, DataFrame] | None = None, delta: DataFrame | None = None):
         self.spark = triples.sparkSession
         self.builtins = BUILTINS if builtins is None else builtins
         check(rules, self.builtins)
+        self.delta = delta
+        if delta is not None and (has_retraction(rules) or any(isinstance(a.target, Atom) and a.target.name != ERROR for r in rules for a in r.actions)):
+            raise ValueError("only programs of triples alone, without retraction, go on from a closure")
         self.facts = [] if reference_facts else [r for r in rules if r.body == And()]
         self.rules = [r for r in rules if r.body != And()]
         self.max_iter, self.scratch = max_iter, Scratch(self.spark, "closure")
@@ -109,9 +112,15 @@ class Engine:
         for name, df in self.start.items():
             full[name] = [self.scratch.table(df.distinct())]
         live = self._live({n: self._all(full, n) for n in full}, constants, objects)
-        self._add(full, self._list_rows(full, full, live))
+        if self.delta is not None:  # the start is closed already, but for these
+            fresh = self.scratch.table(self.delta.select(*TRIPLE).distinct().join(full["T"][0], TRIPLE, "left_anti"))
+            present, live = live, self._live({"T": fresh}, constants, objects)
+            self._add(full, {"T": fresh})
+        self._add(full, self._list_rows(full, full, live | present))
         for layer in strata(self.rules):
             new = {n: self._all(full, n) for n in full}
+            if self.delta is not None:
+                new["T"] = fresh
             while True:
                 present |= live
                 derived, into = self._round(layer, full, new, live, present)
@@ -276,7 +285,10 @@ class Engine:
 
 
 def closure(triples: DataFrame, rules: list[Rule], **options) -> Closure:
-    """All triples and relations that ``rules`` derive from ``triples`` (s, p, o in canonical form)."""
+    """All triples and relations that ``rules`` derive from ``triples`` (s, p, o in canonical form).
+
+    With ``delta``, ``triples`` are a closure of ``rules`` already, and only what the new triples add is worked out.
+    """
     return Engine(triples, rules, **options).run()
 
 

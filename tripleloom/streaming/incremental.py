@@ -1,7 +1,8 @@
 """A closure kept up to date by micro-batches (for programs without retraction).
 
-Each batch of new triples is added to the stored closure and only what it newly derives is
-appended, as one Parquet folder a batch. A batch that is run again after a failure writes
+Each batch of new triples goes on from the stored closure: rules meet its triples with all others,
+and what they newly derive is appended, as one Parquet folder a batch. (Programs with auxiliary
+relations, which are not stored, are closed as a whole.) A batch that is run again after a failure writes
 its folder again, so the closure has each triple once.
 """
 
@@ -10,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.fixpoint import closure
-from ..plans.ast import Rule
+from ..plans.ast import ERROR, Frame, Rule
+from ..plans.check import has_retraction
 
 SCHEMA = "s string, p string, o string"
 
@@ -34,9 +36,13 @@ class Maintained:
         return self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
 
     def update(self, batch: DataFrame, batch_id: int) -> None:
-        known = self.triples(batch_id)
-        whole = closure(known.unionByName(batch.select("s", "p", "o")), self.rules).triples
-        new = whole.join(known, ["s", "p", "o"], "left_anti")
+        known, more = self.triples(batch_id), batch.select("s", "p", "o")
+        alone = not has_retraction(self.rules) and all(isinstance(a.target, Frame) or a.target.name == ERROR for r in self.rules for a in r.actions)
+        if alone and batch_id and self._folders(batch_id):
+            done = closure(known, self.rules, delta=more)
+        else:
+            done = closure(known.unionByName(more), self.rules)
+        new = done.triples.join(known, ["s", "p", "o"], "left_anti")
         new.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id:012d}")
 
     def start(self, stream: DataFrame, checkpoint: str):
