@@ -164,6 +164,18 @@ def test_placement():
     assert Equal(Var("x"), Var("y")) == Equal(Var("x"), Var("y"))
 
 
+def test_placement_by_pragmas():
+    rules = programs.MINIMAL_RDFS
+    got = placement.advice(rules, placement.schema_pragmas(rules, programs.is_schema), sacrifice=True)
+    assert [x for w, x in got if w == "ABANDON"] == ["prp-spo1"] and sum(w == "REPLICATE" for w, _ in got) == 4
+    kept = programs.guarded(rules)
+    got = placement.advice(kept, placement.schema_pragmas(kept, programs.is_schema), sacrifice=True)
+    assert got and not any(w == "ABANDON" for w, _ in got)
+    with pytest.raises(placement.NoPlacement):
+        placement.Planner(rules).solve(budget=1)
+    assert {r.name for r in programs.parallel(programs.OWL_RL)} >= {"prp-dom", "cax-sco", "prp-inv1", "scm-sco"} and not {"prp-trp", "eq-trans", "cls-avf"} & {r.name for r in programs.PARALLEL_OWL}
+
+
 def test_long_lists_are_walked_to_their_end(spark):
     rdf, n = "http://www.w3.org/1999/02/22-rdf-syntax-ns#", 8
     rows = [(f"_:l{k}", f"<{rdf}first>", f"<a:{k}>") for k in range(n)]

@@ -1176,7 +1176,9 @@ def replicate_schema(spark, sf_dir):
 
 @query()
 def placement_advice(spark, sf_dir):
-    return spark.createDataFrame(placement.advice(programs.MINIMAL_RDFS), "what string, pattern string")
+    """Where the triples of minimal RDFS can be, the schema everywhere; a rule that cannot be kept is given up."""
+    rules = programs.MINIMAL_RDFS
+    return spark.createDataFrame(placement.advice(rules, placement.schema_pragmas(rules, programs.is_schema), sacrifice=True), "what string, pattern string")
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
