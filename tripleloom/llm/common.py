@@ -1,8 +1,8 @@
 """Shared plumbing of the training-data operators.
 
-* :class:`Scratch` cuts lineage with Parquet tables in the shared folder that the
-  cluster names in ``spark.checkpoint.dir`` (an executor that is lost costs a
-  re-read, never a recomputation of the whole job).
+* :class:`tripleloom.scratch.Scratch` cuts lineage with Parquet tables in the shared
+  folder that the cluster names in ``spark.checkpoint.dir`` (an executor that is lost
+  costs a re-read, never a recomputation of the whole job).
 * :func:`text_chunks` bounds what one Python worker holds: a record batch is cut
   into pieces of a few MB of text, whatever the row count.
 * :class:`Vocab` numbers the distinct words of a task, so that per-word work
@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 
 import numpy as np
@@ -21,9 +20,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..scratch import Scratch
+
 CHUNK_BYTES = 4 << 20
-#: Distinct words that a task keeps before it starts a new table.
-VOCAB_LIMIT = 400_000
+#: Distinct words, and characters in them, that a task keeps before it starts a new table.
+VOCAB_LIMIT, VOCAB_CHARS = 400_000, 16 << 20
+#: Bytes of words whose n-grams are made at once.
+SLICE_BYTES = 256 << 10
 
 
 def ship(spark: SparkSession) -> None:
@@ -43,36 +46,6 @@ def ship(spark: SparkSession) -> None:
     sc._tripleloom_shipped = True
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = spark.conf.get("spark.tripleloom.scratch", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="tripleloom-scratch-")
-        spark.conf.set("spark.tripleloom.scratch", where)
-    return where.rstrip("/")
-
-
-class Scratch:
-    """Tables of one job under the shared folder."""
-
-    def __init__(self, spark: SparkSession, job: str):
-        self.spark, self.base = spark, f"{shared_dir(spark)}/{job}-{uuid.uuid4().hex[:12]}"
-
-    def table(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-        path = f"{self.base}/{name}"
-        w = df.write.mode("overwrite").option("compression", "zstd")
-        (w.partitionBy(partition_by) if partition_by else w).parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
-        for n in names:
-            p = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{n}")
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -96,14 +69,31 @@ def text_chunks(batches, column: str = "text", limit: int = CHUNK_BYTES):
 class Vocab(dict):
     """word -> id, numbered in order of first sight."""
 
+    chars = 0
+
     def __missing__(self, w):
         i = self[w] = len(self)
+        self.chars += len(w)
         return i
 
+    @property
+    def full(self) -> bool:
+        return len(self) > VOCAB_LIMIT or self.chars > VOCAB_CHARS
+
     def ids(self, words) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
+def slices(words: list[bytes], limit: int = SLICE_BYTES):
+    """``words`` in lists of about ``limit`` bytes (one word at least)."""
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    at = 0
+    while at < len(words):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right")))
+        yield words[at:to]
+        at = to
+
+
 def doc_words(texts, split, vocab: Vocab):
     """(flat word ids, offsets): words of each text by ``split``; null counts as empty."""
     parts, off = [], np.zeros(len(texts) + 1, np.int64)

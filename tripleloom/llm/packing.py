@@ -11,7 +11,8 @@
    thousands of pieces they are a few in a thousand sequences.
 
 Defined cases: a null or empty text has the end id alone, one piece of length 1; repeated
-document ids are separate documents; pieces of equal length go in the order of
+document ids, null ones too, are separate documents; very long texts are cut into pieces like
+others; pieces of equal length go in the order of
 (hash, document id, start); an empty table gives no rows; extra columns are ignored.
 """
 
@@ -110,21 +111,23 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id:
         words = word_ids(tokenizer)
         for b in text_chunks(batches, "__text", 2 * CHUNK_BYTES):
             gc.disable()  # the word table has no cycles, and scanning it again and again costs more than all merges
-            stream, ends = words.streams(b.column("__text"))
-            docs_, start, size, crc, total, all_ids = [], [], [], [], [], []
-            for i, doc in enumerate(b.column("doc_id").to_pylist()):
-                mine = np.append(stream[ends[i] : ends[i + 1]], np.uint32(end_id)).astype("<u4")
-                n = len(mine)
-                for s in range(0, n, length):
-                    part = mine[s : s + length]
-                    docs_.append(doc)
-                    start.append(s)
-                    size.append(len(part))
-                    crc.append(zlib.crc32(part))
-                    total.append(n)
-                    if with_ids:
-                        all_ids.append(part.astype(np.int32))
-            gc.enable()
+            try:
+                stream, ends = words.streams(b.column("__text"))
+                docs_, start, size, crc, total, all_ids = [], [], [], [], [], []
+                for i, doc in enumerate(b.column("doc_id").to_pylist()):
+                    mine = np.append(stream[ends[i] : ends[i + 1]], np.uint32(end_id)).astype("<u4")
+                    n = len(mine)
+                    for s in range(0, n, length):
+                        part = mine[s : s + length]
+                        docs_.append(doc)
+                        start.append(s)
+                        size.append(len(part))
+                        crc.append(zlib.crc32(part))
+                        total.append(n)
+                        if with_ids:
+                            all_ids.append(part.astype(np.int32))
+            finally:
+                gc.enable()
             cols = [pa.array(x, pa.int64()) for x in (docs_, start, size, crc, total)] + [pa.array(all_ids, pa.list_(pa.int32()))] * with_ids
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids])
 

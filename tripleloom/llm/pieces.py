@@ -16,7 +16,9 @@ Characters outside the vocabulary become byte pieces. Decoding joins pieces, und
 prefix and decodes bytes, again once per distinct word.
 
 Defined cases: null counts as empty; an empty text has the end id alone and decodes to
-the empty string; extra columns are ignored.
+the empty string; very long texts and words are encoded in whole (a word's arrays grow with
+it); pairs of equal rank merge from the left, as the library does; repeated rows, null ids
+among them, give repeated results; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import VOCAB_LIMIT, Vocab, doc_words, ragged, ship, text_chunks
+from .common import Vocab, doc_words, ragged, ship, text_chunks
 
 SPACE = "▁"
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -194,7 +196,7 @@ def encode_documents(docs: DataFrame, model_file: str, text: str = "text", keep:
         flat, off, spelled, surface = [], [0], [], []  # by distinct word
         for b in text_chunks(batches, "__text"):
             texts = b.column(0).to_pylist()
-            if len(vocab) > VOCAB_LIMIT:
+            if vocab.full:
                 vocab, known, flat, spelled, surface = Vocab(), 0, [], [], []
             ids, at = doc_words(texts, Pieces.words, vocab)
             fresh = list(vocab)[known:]

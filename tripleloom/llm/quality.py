@@ -2,18 +2,23 @@
 
 Features of a text (x): the share of each distinct hashed word, one-hot bins of structure
 statistics (marks, capitals, digits, repeated neighbours, distinct words, word and line
-lengths), and one-hot bins of metadata (length in characters). The score is
+lengths, length in characters), and one-hot bins of metadata: the columns a caller names
+(``n_chars``, the length that the table states; a null has a bin of its own). The score is
 ``w0 + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j`` through the logistic function; the
 pairwise term is computed in linear time as
 ``1/2 sum_f ((sum v_if x_i)^2 - sum v_if^2 x_i^2)``.
 
 Fitted on the driver with Adam on a bounded sample of the labelled rows (``PER_CLASS`` of
-each class, smallest by a hash of the id), weighted back to the classes' shares of all
-labelled rows; the model's size is fixed by ``BITS`` and ``RANK``. Scoring is one pass.
+each class, smallest by a hash of the id, texts of up to ``SAMPLE_CHARS`` characters), weighted
+back to the classes' shares of all labelled rows; the model's size is fixed by ``BITS`` and
+``RANK``. Scoring is one pass over whole texts.
 
 Defined cases: null or empty texts have no word features and the lowest bins; rows without
 label or text teach nothing; with no training rows, or one class alone, the score is a
-constant; extra columns are ignored.
+constant; a document id with several labels counts once for each, rows that repeat an id and
+label teach by the smallest of their texts and are scored each; equal hashes in the sample's
+order go by id; very long texts are scored in whole; an empty table gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import VOCAB_LIMIT, Vocab, doc_words, segment_sum
+from .common import Vocab, doc_words, segment_sum
 from .toxicity import labelled_sample, score_texts
 
 BITS, RANK, BINS = 13, 4, 10
@@ -44,7 +49,9 @@ EDGES = {
     "characters": [16, 64, 150, 400, 1000, 2500, 6000, 15000, 40000],
 }
 STATS = list(EDGES)
-_FEATURES = (1 << BITS) + BINS * len(STATS)
+#: Metadata columns there is room for; their bins are those of "characters", and one for null.
+METADATA = 2
+_FEATURES = (1 << BITS) + BINS * len(STATS) + (BINS + 1) * METADATA
 
 
 def _word_facts(w: str):
@@ -78,8 +85,8 @@ class _Reader:
         self.vocab, self.known = Vocab(), 0
         self.facts, self.bucket = np.zeros((0, 6)), np.zeros(0, np.int64)
 
-    def __call__(self, texts):
-        if len(self.vocab) > VOCAB_LIMIT:
+    def __call__(self, texts, metadata=None):
+        if self.vocab.full:
             self.reset()
         ids, off = doc_words(texts, _SPLIT, self.vocab)
         fresh = list(self.vocab)[self.known :]
@@ -105,7 +112,10 @@ class _Reader:
         stats = np.stack([f[:, 0], f[:, 1], f[:, 2], f[:, 3], f[:, 4], repeat, distinct, f[:, 5], n / lines, chars], 1)
         bins = np.stack([np.searchsorted(EDGES[s], stats[:, k], side="right") for k, s in enumerate(STATS)], 1)
         sfeat = (1 << BITS) + np.arange(len(STATS)) * BINS + bins
-        return (np.concatenate([krow, np.repeat(np.arange(rows), len(STATS))]), np.concatenate([kfeat, sfeat.ravel()]), np.concatenate([count / safe[krow], np.ones(rows * len(STATS))]), rows)
+        if metadata is not None and metadata.shape[1]:
+            at = np.where(np.isnan(metadata), BINS, np.searchsorted(EDGES["characters"], np.nan_to_num(metadata), side="right"))
+            sfeat = np.concatenate([sfeat, (1 << BITS) + BINS * len(STATS) + np.arange(metadata.shape[1]) * (BINS + 1) + at], 1)
+        return (np.concatenate([krow, np.repeat(np.arange(rows), sfeat.shape[1])]), np.concatenate([kfeat, sfeat.ravel()]), np.concatenate([count / safe[krow], np.ones(sfeat.size)]), rows)
 
 
 def _logits(row, feat, x, rows, w0, w, v):
@@ -121,10 +131,12 @@ def _logits(row, feat, x, rows, w0, w, v):
 
 
 class Quality:
-    def __init__(self, seed: int = 3):
-        self.seed = seed
+    def __init__(self, seed: int = 3, metadata: tuple = ()):
+        if len(metadata) > METADATA:
+            raise ValueError(f"{len(metadata)} metadata columns; the limit is {METADATA}")
+        self.seed, self.metadata = seed, tuple(metadata)
 
-    def fit_rows(self, texts: list[str], labels, weights=None) -> "Quality":
+    def fit_rows(self, texts: list[str], labels, weights=None, metadata=None) -> "Quality":
         y = np.asarray(labels, float)
         rng = np.random.default_rng(self.seed)
         self.w0, self.w, self.v = 0.0, np.zeros(_FEATURES), np.zeros((_FEATURES, RANK))
@@ -133,7 +145,7 @@ class Quality:
             return self
         weight = np.ones(len(y)) if weights is None else np.asarray(weights, float)
         weight = weight / weight.sum()
-        row, feat, x, rows = _Reader()(texts)
+        row, feat, x, rows = _Reader()(texts, metadata)
         v, w, w0 = rng.normal(0, 0.05, (_FEATURES, RANK)), self.w, np.zeros(1)
         used = np.unique(feat)
         seen = np.zeros(_FEATURES, bool)
@@ -162,13 +174,13 @@ class Quality:
         return self
 
     def fit(self, docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", per_class: int = PER_CLASS) -> "Quality":
-        return self.fit_rows(*labelled_sample(docs, labels, text, label, per_class))
+        return self.fit_rows(*labelled_sample(docs, labels, text, label, per_class, self.metadata))
 
     def scorer(self):
         reader = _Reader()
 
-        def score(texts) -> np.ndarray:
-            row, feat, x, rows = reader(texts)
+        def score(texts, metadata=None) -> np.ndarray:
+            row, feat, x, rows = reader(texts, metadata)
             s, _ = _logits(row, feat, x, rows, self.w0, self.w, self.v)
             return 1 / (1 + np.exp(-np.clip(s, -40, 40)))
 
@@ -176,4 +188,4 @@ class Quality:
 
     def transform(self, docs: DataFrame, text: str = "text", keep: tuple = ("doc_id",)) -> DataFrame:
         """``keep`` columns and score."""
-        return score_texts(docs, self, text, keep)
+        return score_texts(docs, self, text, keep, self.metadata)
