@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import Scratch, ragged, ship, text_chunks
 from .minhash import mix
 
-WINDOW, GRAM, CELL, BLOCK = 200, 64, 16, 2048
+WINDOW, GRAM, CELL, BLOCK = 200, 64, 16, 512
 #: Offsets of a hot anchor's windows that are dealt together, at the first splitting and the last.
 SPLITS = (16, 1)
 SEGMENT = 1 << 20
@@ -377,6 +377,7 @@ def single_windows(rows: DataFrame, scratch: Scratch) -> DataFrame:
     out = alone
     # written: what is hot and what is not read the same rows
     items = scratch.table(_cut(mixed.select("key", "d", "q", "c", "k"), rows), "cut")
+    scratch.drop("regions")
     out = out.unionByName(_grouped(items.where(F.col("k") <= BLOCK)))
     hot = items.where(F.col("k") > BLOCK)
     for step in SPLITS:
