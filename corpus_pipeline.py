@@ -3,8 +3,12 @@
 Each stage calls one operator of :mod:`tripleloom.llm`, works on all rows that its
 predecessor kept, and returns the columns of ``documents`` (the last one the pieces of the
 packed sequences). Stages are written as Parquet and read again, so a lost executor costs
-one stage at most. Nulls, empty texts, ties, repeated rows and empty tables are as each
-operator states; columns beyond those of ``documents`` are dropped by the first stage.
+one stage at most.
+
+Defined cases: nulls, empty and very long texts, ties and repeated rows are as each operator
+states (a null text scores as an empty one, is unlike all others, becomes empty in the third
+stage and packs as its end id alone; a null id goes through all stages); an empty table gives
+no rows in any stage; columns beyond those of ``documents`` are dropped by the first stage.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tripleloom.llm.common import Scratch
-from tripleloom.llm.minhash import near_duplicates
+from tripleloom.llm.minhash import near_duplicate_rows
 from tripleloom.llm.packing import pack_documents
 from tripleloom.llm.pii import redact
 from tripleloom.llm.quality import Quality
@@ -25,7 +29,7 @@ QUALITY_THRESHOLD = 0.3
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the quality classifier, fitted on the labelled ones, rejects."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = Quality().fit(docs, labels).transform(docs, keep=COLUMNS)
+    scored = Quality(metadata=("n_chars",)).fit(docs, labels).transform(docs, keep=COLUMNS)
     return scored.where(F.col("score") >= QUALITY_THRESHOLD).select(*COLUMNS)
 
 
@@ -35,13 +39,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are compared by a number of their own, so that rows that repeat an id, or have none, are documents too;
     a row without an id is kept only of a group in which none has one.
     """
-    # written, so that a row has the same number in every job
-    rows = Scratch(spark, "near_dedup").table(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    groups = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), num=80, den=100)
-    named = groups.select(F.col("doc_id").alias("__row"), "component_id").join(rows.select("__row", "doc_id"), "__row")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row"))
-    kept = named.groupBy("component_id").agg(first.alias("first")).select(F.col("first.__row").alias("__row"))
-    return rows.join(kept, "__row", "left_semi").select(*COLUMNS)
+    rest = tuple(c for c in COLUMNS if c != "text")
+    return near_duplicate_rows(docs, keep=rest, num=80, den=100).where("first").select(*COLUMNS)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

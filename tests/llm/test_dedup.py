@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from tripleloom.llm import suffix
-from tripleloom.llm.minhash import CHUNKS, DISTANCE, SIZE, bucket_keys, near_duplicates
+from tripleloom.llm.minhash import CHUNKS, DISTANCE, SIZE, bucket_keys, close, distances, near_duplicate_rows, near_duplicates, signature, unpack
 from tripleloom.llm.suffix import remove_repeats, suffix_array
 
 
@@ -62,9 +62,20 @@ def test_near_duplicates_equal_brute_force(spark, num):
 
 def test_near_duplicates_edges(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
-    got = sorted((r["doc_id"] or -1, r["component_id"] or -1, r["kept"]) for r in near_duplicates(df).collect())
-    assert got == [(-1, -1, True), (2, 2, True), (4, 2, False), (4, 2, False)]
-    assert near_duplicates(df.where("false")).count() == 0
+    got = sorted((r["doc_id"] or -1, r["component_id"] or -1, r["kept"]) for r in near_duplicate_rows(df).collect())
+    assert got == [(-1, 2, False), (2, 2, True), (4, 2, False), (4, 2, False)]
+    assert near_duplicate_rows(df.where("false")).count() == 0
+
+
+def test_rows_that_repeat_an_id_or_have_none(spark):
+    long = " ".join(f"w{i % 5000}" for i in range(60000))
+    rows = [(7, "a b c d e f", "x"), (7, "g h i j k l", "x"), (7, "g h i j k l", "x"), (3, "g h i j k l", "x"), (None, "m n o p q", "x"), (None, "m n o p q", "x"), (None, None, "x"), (8, "", "x"), (9, long, "x"), (10, long + " end", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
+    got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0, r["kept"], r["first"]) for r in near_duplicate_rows(df).collect())
+    assert got == [
+        (0, 0, 0, True, True), (0, 1, 0, False, False), (0, 1, 0, True, True), (3, 2, 3, True, True), (7, 2, 3, False, False), (7, 2, 3, False, False), (7, 2, 7, True, True),
+        (8, 0, 8, True, True), (9, 5000, 9, True, True), (10, 5001, 9, False, False),
+    ]
 
 
 def test_pigeonhole_keeps_every_pair_under_the_distance():
@@ -78,6 +89,54 @@ def test_pigeonhole_keeps_every_pair_under_the_distance():
     assert (bucket_keys(a) == bucket_keys(b)).any(1).all()
 
 
+def test_sketches_never_differ_more_than_the_sets():
+    rng = np.random.default_rng(5)
+    for n in (1, 30, 400, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 1 << 63, max(1, n // 12)).astype(np.uint64)]))
+        x, y = unpack([signature(a)]), unpack([signature(b)])
+        apart = len(np.setxor1d(a, b))
+        both = len(np.intersect1d(a, b))
+        assert distances(x, y)[1][0] <= apart
+        for num in (80, 85):
+            if both * 100 >= num * (len(a) + len(b) - both):
+                assert close(x, y, np.array([len(a) + len(b)]), num, 100)[0] or distances(x, y)[0][0] > DISTANCE
+
+
+def test_a_group_of_texts_just_too_different_to_link(spark):
+    """Many candidates, few links: every pair shares about three quarters."""
+    rnd = random.Random(3)
+    base = [f"w{k}" for k in range(200)]
+    texts = []
+    for k in range(60):
+        words = list(base)
+        for at in rnd.sample(range(200), 6 + k % 3):
+            words[at] = f"x{k}_{at}"
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for num in (70, 80):
+        got = [r["component_id"] for r in near_duplicate_rows(df, num=num).orderBy("doc_id").collect()]
+        assert got == classes(texts, num)[0]
+
+
+def test_many_equal_rows_are_linear(spark):
+    """Copies of one text fold at once; all of them lose all of it, and what it shares with others goes there too."""
+    text = " ".join(f"t{k}" for k in range(150))
+    rows = [(1, text)] * 600 + [(None, text)] * 200 + [(2, text[100:400] + " and more of its own"), (3, "a text alone " * 30)]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all((r["n_removed"], r["n_spans"]) == (r["n_bytes"], 1) for r in got if r["doc_id"] in (1, None)) and len(got) == 802
+    assert next(r for r in got if r["doc_id"] == 2)["n_removed"] == 300
+
+
+def test_splitting_keeps_windows_at_their_offsets():
+    rnd = random.Random(2)
+    region = bytes(rnd.randrange(256) for _ in range(260))
+    for step in suffix.SPLITS:
+        keys, codes, first, left, parts = suffix.split(5, 60, region, step)
+        assert first[0] == 0 and sum(len(p) - suffix.WINDOW + 1 for p in parts) == 61
+        assert all(region[f : f + len(p)] == p and f + at == 60 for f, at, p in zip(first, left, parts)) and len(set(keys)) == len(keys)
+
+
 def test_suffix_array_equals_sorting():
     rnd = random.Random(4)
     for _ in range(500):

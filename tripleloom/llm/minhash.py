@@ -6,26 +6,34 @@ that differ) have, by pigeonhole, a chunk with at most ``ERRORS`` differing comp
 every choice of ``ERRORS`` components to leave out of a chunk gives a key, so all pairs
 under the distance share a key: guaranteed, whatever the data. At similarity 0.85 a pair
 is over the distance with probability about 1e-6, at 0.8 about 2e-4. Candidates are then
-held to a sharper limit over ``CHECK`` further minima (missed with probability 1e-5).
+held to an exact bound: with the signature goes a parity sketch of the whole set, ``SKETCH``
+bits, of which each shingle turns one. Two sketches differ in no more bits than the sets do
+in shingles, so a pair whose sketches differ in more than the similarity allows for sets of
+these sizes is no link, and no link is lost.
 
 Pairs are never expanded inside a bucket:
 
 1. Documents with the same shingle set (128-bit digest) fold into their smallest id.
-2. Every member of a bucket is paired with the bucket's smallest member alone, filtered by
-   signature distance, and confirmed on the full shingle sets; confirmed pairs are
-   contracted (one confirmation for each larger component and round).
-3. Buckets that still hold several components compare signatures across components, in
-   blocks of bounded size: the largest component is dealt over blocks, the others meet
-   every block. What passes the distance is confirmed in the same way.
+2. Each is paired with the smallest id of all its buckets, filtered by signature distance
+   and confirmed on the full shingle sets; confirmed pairs are contracted (one confirmation
+   for each larger component and round).
+3. In buckets that still hold several components, every member is paired with the bucket's
+   smallest, if of another component.
+4. Buckets that are still mixed compare signatures across components, in blocks of bounded
+   size: the largest component is dealt over blocks, the others meet every block. First each
+   component of a block is confirmed with its nearest other alone, round by round as long as
+   that joins many; then all pairs within the distance that still lie between components are.
 
 So a hot group of near copies costs its size times the number of keys, and the result is
 the same as that of all pairs. Links and components stay distributed; only counts reach
 the driver. Lineage is cut by tables in the shared folder.
 
-Defined cases: null and empty texts have an empty set, linked with nothing; texts of one
-to four words have one shingle, the whole sequence; a null id stays unlinked, with a null
-component, and is kept; rows that repeat an id are one document, linked where any of its
-texts is; an empty table gives no rows; extra columns are ignored.
+Defined cases (:func:`near_duplicate_rows`): null and empty texts have an empty set, linked
+with nothing; texts of one to four words have one shingle, the whole sequence; rows are
+compared by numbers of their own, so rows that repeat an id, or have none, are documents too;
+a component is named by its smallest id, null if no row of it has one; very long texts are
+read in whole, their minima in pieces of 1024 shingles; an empty table gives no rows; extra
+columns are ignored. There are no ties: equal sets are one, and ids order the rest.
 """
 
 from __future__ import annotations
@@ -36,18 +44,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import VOCAB_LIMIT, Scratch, Vocab, doc_words, ship, text_chunks
+from .common import Scratch, Vocab, doc_words, ship, text_chunks
 
 SHINGLE, CHUNKS, WIDTH, ERRORS, BITS = 5, 12, 5, 1, 16
 SIZE = CHUNKS * WIDTH
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
-#: Further minima, of 8 bits, that sharpen the distance of a candidate pair but make no keys.
-CHECK = 192
-BYTES = 2 * SIZE + CHECK
-#: Standard deviations that a pair at the wanted similarity may lie over its expected distance.
-SIGMAS = 4.2
+#: Bits of the parity sketch that bounds the difference of two sets from below.
+SKETCH = 2048
+BYTES = 2 * SIZE + SKETCH // 8
 #: Rows of one side of a block in step 3, and rows of a counted table up to which it is broadcast (16 bytes a row).
-BLOCK, SMALL = 512, 200_000
+BLOCK, SMALL = 2048, 200_000
 
 _M1, _M2, _P = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -64,7 +70,7 @@ def _coefficients(n: int):
     return mix(k * _P) | np.uint64(1), mix(k * _M1)
 
 
-_A, _B = (x.astype(np.uint32)[:, None] for x in _coefficients(SIZE + CHECK))
+_A, _B = (x.astype(np.uint32)[:, None] for x in _coefficients(SIZE))
 
 
 def words(text: str) -> list[bytes]:
@@ -81,7 +87,7 @@ class Shingler:
     def sets(self, texts) -> list[np.ndarray]:
         import xxhash
 
-        if len(self.vocab) > VOCAB_LIMIT:
+        if self.vocab.full:
             self.vocab, self.hash = Vocab(), np.zeros(0, np.uint64)
         ids, off = doc_words(texts, words, self.vocab)
         fresh = list(itertools.islice(self.vocab, len(self.hash), None))
@@ -109,31 +115,31 @@ class Shingler:
 
 
 def signature(s: np.ndarray) -> bytes:
-    """The b-bit minima of a set of hashes: SIZE of 16 bits, then CHECK of 8 bits."""
-    low = np.full(SIZE + CHECK, np.iinfo(np.uint32).max, np.uint32)
+    """The b-bit minima of a set of hashes: SIZE of 16 bits; then the parity sketch."""
+    low = np.full(SIZE, np.iinfo(np.uint32).max, np.uint32)
     u = (s >> np.uint64(32)).astype(np.uint32)[None, :]
     for at in range(0, u.shape[1], 1024):
         low = np.minimum(low, (_A * u[:, at : at + 1024] + _B).min(1))
     low = mix(low.astype(np.uint64) + _P)
-    return low[:SIZE].astype(np.uint16).tobytes() + low[SIZE:].astype(np.uint8).tobytes()
+    odd = np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return low.astype(np.uint16).tobytes() + np.packbits(odd.astype(np.uint8)).tobytes()
 
 
 def unpack(sigs) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, SIZE) of 16 bits and (rows, CHECK) of 8 bits."""
+    """(rows, SIZE) of 16 bits and sketches of 64 bits a word."""
     raw = np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, BYTES)
-    return np.ascontiguousarray(raw[:, : 2 * SIZE]).view(np.uint16), raw[:, 2 * SIZE :]
+    return np.ascontiguousarray(raw[:, : 2 * SIZE]).view(np.uint16), np.ascontiguousarray(raw[:, 2 * SIZE :]).view(np.uint64)
 
 
-def close(x, y, limit: int) -> np.ndarray:
-    """Rows of unpacked signatures within the join's distance and the sharper ``limit`` over all components."""
-    d = (x[0] != y[0]).sum(1)
-    return (d <= DISTANCE) & (d + (x[1] != y[1]).sum(1) <= limit)
+def distances(x, y) -> tuple[np.ndarray, np.ndarray]:
+    """Between rows of unpacked signatures: components that differ, and bits of the sketches that do."""
+    return (x[0] != y[0]).sum(1), np.bitwise_count(x[1] ^ y[1]).sum(1, dtype=np.int64)
 
 
-def distance_limit(num: int, den: int) -> int:
-    """Components in which a pair at similarity num/den may differ, ``SIGMAS`` deviations over the expected number."""
-    n, p = SIZE + CHECK, 1 - num / den
-    return int(n * p + SIGMAS * (n * p * (1 - p)) ** 0.5) + 1
+def close(x, y, sizes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Rows of unpacked signatures within the join's distance whose sketches allow the similarity num/den for sets of ``sizes`` in all."""
+    d, bits = distances(x, y)
+    return (d <= DISTANCE) & (bits * (den + num) <= sizes * (den - num))
 
 
 def first_shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -175,7 +181,7 @@ def signatures(docs: DataFrame, text: str, width: int) -> DataFrame:
 
 
 def _keyed(reps: DataFrame) -> DataFrame:
-    """key, slot (the key's number), id, root for every key of every signature."""
+    """key, slot (the key's number) and id for every key of every signature."""
 
     def run(batches):
         for b in batches:
@@ -184,9 +190,9 @@ def _keyed(reps: DataFrame) -> DataFrame:
                 k = bucket_keys(unpack(part.column("sig").to_pylist())[0])
                 wide = lambda c: pa.array(np.repeat(part.column(c).to_numpy(zero_copy_only=False), k.shape[1]))
                 slot = pa.array(np.tile(np.arange(k.shape[1], dtype=np.int16), len(k)))
-                yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), slot, wide("id"), wide("root")], names=["key", "slot", "id", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), slot, wide("id")], names=["key", "slot", "id"])
 
-    return reps.select("id", "root", "sig").mapInArrow(run, "key long, slot short, id long, root long")
+    return reps.select("id", "sig").mapInArrow(run, "key long, slot short, id long")
 
 
 def _near(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
@@ -195,16 +201,15 @@ def _near(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     both = both.where(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
 
-    limit = distance_limit(num, den)
-
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 4000):
                 part = b.slice(at, 4000)
-                ok = close(unpack(part.column("sig_a").to_pylist()), unpack(part.column("sig_b").to_pylist()), limit)
+                sizes = part.column("n_a").to_numpy() + part.column("n_b").to_numpy()
+                ok = close(unpack(part.column("sig_a").to_pylist()), unpack(part.column("sig_b").to_pylist()), sizes, num, den)
                 yield part.select(["a", "b"]).filter(pa.array(ok))
 
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, text: str, width: int, num: int, den: int) -> DataFrame:
@@ -264,6 +269,7 @@ class _Links:
     def __init__(self, spark, scratch: Scratch, confirm):
         self.spark, self.scratch, self.confirm, self.k = spark, scratch, confirm, 0
         self.root: DataFrame | None = None
+        self.failed: list[DataFrame] = []  # pairs that were confirmed alone, and were not
 
     def rooted(self, pairs: DataFrame) -> DataFrame:
         """Pairs between different components, with lo and hi, the smaller and the larger root."""
@@ -274,20 +280,24 @@ class _Links:
         x = x.withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")}).where("ra <> rb")
         return x.select("a", "b", F.least("ra", "rb").alias("lo"), F.greatest("ra", "rb").alias("hi"))
 
-    def resolve(self, pairs: DataFrame, ready: bool = False) -> None:
-        """Confirm and contract until no pair is left between components.
+    def resolve(self, pairs: DataFrame, ready: bool = False) -> int:
+        """Confirm and contract until no pair is left between components; returns how many components were joined to others.
 
         First the pair of each larger component with its smallest neighbour; then, mostly
         few, all that are left between components, which need no more texts after that.
         ``ready`` pairs have lo and hi and lie between components.
         """
-        s, sure, tried = self.scratch, False, False
+        s, sure, tried, joined = self.scratch, False, False, 0
         while True:
             self.k += 1
             k = self.k
-            left, ready = s.table(pairs if ready else self.rooted(pairs), f"left-{k}"), False
+            left = pairs if ready else self.rooted(pairs)
+            if ready:
+                for f in self.failed:
+                    left = left.join(_small(f), ["a", "b"], "left_anti")
+            left, ready = s.table(left, f"left-{k}"), False
             if left.isEmpty():
-                return
+                return joined
             if tried and not sure:
                 left, sure = s.table(left.join(self.confirm(left.select("a", "b")), ["a", "b"], "left_semi"), f"sure-{k}"), True
             pick = left.groupBy("hi").agg(F.min(F.struct("lo", "a", "b")).alias("p")).select("hi", "p.lo", "p.a", "p.b")
@@ -296,8 +306,11 @@ class _Links:
                 tried = True
                 pick = s.table(pick, f"pick-{k}")
                 pairs = pairs.join(_small(pick.select("a", "b")), ["a", "b"], "left_anti")
-                pick = pick.join(self.confirm(pick.select("a", "b")), ["a", "b"], "left_semi")
+                yes = s.table(self.confirm(pick.select("a", "b")), f"yes-{k}")
+                self.failed.append(s.table(pick.select("a", "b").join(yes, ["a", "b"], "left_anti"), f"no-{k}"))
+                pick = pick.join(yes, ["a", "b"], "left_semi")
             hooked = _jump(pick.select(F.col("hi").alias("id"), F.col("lo").alias("root")), s, f"hook-{k}")
+            joined += hooked.count()
             if self.root is None:
                 self.root = hooked
             else:
@@ -312,17 +325,21 @@ class _Links:
         return ids.join(_small(self.root), "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
-def _across(reps: DataFrame, scratch: Scratch, limit: int) -> DataFrame | None:
-    """Pairs (a, b) of different components (lo, hi) that share a bucket and are within the distance; None if no bucket is mixed."""
-    keyed = _keyed(reps)
-    mixed = keyed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    mixed = scratch.table(mixed, "mixed-keys")
-    if mixed.isEmpty():
-        return None
-    rows = scratch.table(keyed.join(_small(mixed), "key", "left_semi"), "mixed")
+def _mixed(rows: DataFrame, links: _Links, scratch: Scratch, tag: str) -> DataFrame:
+    """The rows (key, slot, id) of buckets with several components, with root, and the smallest member's id and root."""
+    rooted = scratch.table(links.named(rows.select("key", "slot", "id")), f"{tag}-rooted")
+    keys = rooted.groupBy("key").agg(F.min(F.struct("id", "root")).alias("least"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    keys = scratch.table(keys.where("lo <> hi").select("key", F.col("least.id").alias("centre"), F.col("least.root").alias("centre_root")), f"{tag}-keys")
+    rows = scratch.table(rooted.join(_small(keys), "key"), f"{tag}-rows")
+    scratch.drop(f"{tag}-rooted")
+    return rows
+
+
+def _across(rows: DataFrame, reps: DataFrame, scratch: Scratch, num: int, den: int, nearest: bool, tag: str) -> DataFrame:
+    """Pairs (a, b) of different components (lo, hi) in mixed buckets and within the distance; ``nearest``: one for each component of a block."""
     by = rows.groupBy("key", "root").agg(F.count("*").alias("c"))
     size = by.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("big"), F.max("c").alias("n_big"), (F.sum("c") - F.max("c")).alias("n_small"))
-    rows = rows.join(_small(scratch.table(size, "mixed-sizes")), "key")
+    rows = rows.select("key", "slot", "id", "root").join(_small(scratch.table(size, f"{tag}-sizes")), "key")
     h = lambda n: F.pmod(F.hash("id"), F.ceil(F.col(n) / F.lit(BLOCK)).cast("int"))
     last = lambda n: F.ceil(F.col(n) / F.lit(BLOCK)).cast("int") - 1
     of_big = F.col("root") == F.col("big")
@@ -332,7 +349,7 @@ def _across(reps: DataFrame, scratch: Scratch, limit: int) -> DataFrame | None:
     small = rows.where(~of_big & (F.col("n_small") > 1)).withColumn("o", h("n_small"))
     one = small.select(*cols, F.col("o").alias("x"), F.explode(F.sequence(F.col("o"), last("n_small"))).alias("y"), F.lit(0).alias("side"))
     two = small.select(*cols, F.explode(F.sequence(F.lit(0), F.col("o"))).alias("x"), F.col("o").alias("y"), F.lit(1).alias("side"))
-    dealt = big.unionByName(meet).unionByName(one).unionByName(two).join(reps.select("id", "sig"), "id")
+    dealt = big.unionByName(meet).unionByName(one).unionByName(two).join(reps.select("id", "n", "sig"), "id")
     dealt = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side")
 
     def run(batches):
@@ -344,38 +361,54 @@ def _across(reps: DataFrame, scratch: Scratch, limit: int) -> DataFrame | None:
             for at, to in zip(edge, [*edge[1:], len(k)]):
                 run_key = tuple(k[at].tolist())
                 if run_key != now and held:
-                    yield from _block(held, limit)
+                    yield from _block(held, num, den, nearest)
                     held = []
                 now = run_key
                 held.append(t.slice(at, to - at))
         if held:
-            yield from _block(held, limit)
+            yield from _block(held, num, den, nearest)
 
-    return dealt.select("key", "x", "y", "side", "slot", "id", "root", "sig").mapInArrow(run, "a long, b long, lo long, hi long").distinct()
+    return dealt.select("key", "x", "y", "side", "slot", "id", "root", "n", "sig").mapInArrow(run, "a long, b long, lo long, hi long").distinct()
 
 
-def _block(held, limit: int):
+def _block(held, num: int, den: int, nearest: bool):
     t = pa.concat_tables(held)
-    side = t.column("side").to_numpy()
+    side, n = t.column("side").to_numpy(), t.column("n").to_numpy()
     ids, root = t.column("id").to_numpy(), t.column("root").to_numpy()
     keys, check = unpack(t.column("sig").to_pylist())
     slot = t.column("slot")[0].as_py()
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     if len(left) > len(right):
         left, right = right, left
+    _, of = np.unique(root, return_inverse=True)
+    best = np.full(of.max() + 1, np.iinfo(np.int64).max)  # by component: distance, row, row
     for i in left:
         r = right[root[right] != root[i]]
-        r = r[close((keys[r], check[r]), (keys[i], check[i]), limit)]
+        r = r[(np.minimum(n[r], n[i]) * den >= np.maximum(n[r], n[i]) * num)]
+        r = r[close((keys[r], check[r]), (keys[i], check[i]), n[r] + n[i], num, den)]
         if len(r):
             r = r[first_shared(keys[r], keys[i][None, :]) == slot]  # each pair once, from the first bucket it shares
-        if len(r):
-            a, b = np.minimum(ids[i], ids[r]), np.maximum(ids[i], ids[r])
-            lo, hi = np.minimum(root[i], root[r]), np.maximum(root[i], root[r])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(lo), pa.array(hi)], names=["a", "b", "lo", "hi"])
+        if not len(r):
+            continue
+        if nearest:
+            # by the share of the sets that differs, at least
+            v = (np.bitwise_count(check[r] ^ check[i]).sum(1, dtype=np.int64) * 10_000 // (n[r] + n[i])) << 48 | int(i) << 24 | r
+            np.minimum.at(best, of[r], v)
+            best[of[i]] = min(best[of[i]], v.min())
+        else:
+            yield _pairs(ids, root, np.full(len(r), i), r)
+    best = np.unique(best[best < np.iinfo(np.int64).max])
+    if len(best):
+        yield _pairs(ids, root, best >> 24 & 0xFFFFFF, best & 0xFFFFFF)
+
+
+def _pairs(ids, root, i, r) -> pa.RecordBatch:
+    cols = [np.minimum(ids[i], ids[r]), np.maximum(ids[i], ids[r]), np.minimum(root[i], root[r]), np.maximum(root[i], root[r])]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["a", "b", "lo", "hi"])
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", num: int = 80, den: int = 100, width: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs``.
+    """doc_id, n_shingles, component_id, kept for every row of ``docs``, whose ids tell rows apart.
 
     Documents are linked where ``den * |A & B| >= num * |A | B|`` for their sets of
     ``width``-word shingles; a component is named by its smallest id.
@@ -386,17 +419,47 @@ def near_duplicates(docs: DataFrame, text: str = "text", num: int = 80, den: int
     sigs = scratch.table(signatures(docs, text, width), "signatures")
     full = sigs.where("n > 0 and doc_id is not null")
     reps = scratch.table(full.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("id"), F.any_value("sig").alias("sig")), "sets")
-    reps_now = reps.select("id", "n", "sig", F.col("id").alias("root")).dropDuplicates(["id", "sig"])
+    reps_now = reps.select("id", "n", "sig").dropDuplicates(["id", "sig"])
     keyed = _keyed(reps_now)
     centre = keyed.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("key", "a")
-    star = keyed.join(centre, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    shared = scratch.table(keyed.join(centre, "key"), "shared")  # the rows of buckets with two members or more
     links = _Links(spark, scratch, lambda p: _confirm(p, docs, text, width, num, den))
+    first = shared.where("id <> a").groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
+    links.resolve(scratch.table(_near(first, reps_now, num, den), "first"))
+    rows = _mixed(shared, links, scratch, "star")
+    star = rows.where("root <> centre_root").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     links.resolve(scratch.table(_near(star, reps_now, num, den), "star"))
-    rooted = scratch.table(links.named(reps_now.drop("root")), "rooted")
-    across = _across(rooted, scratch, distance_limit(num, den))
-    if across is not None:
-        links.resolve(across, ready=True)
+    nearest, k = True, 0
+    while True:
+        k += 1
+        rows = _mixed(rows, links, scratch, f"mixed-{k}")
+        if rows.isEmpty():
+            break
+        joined = links.resolve(_across(rows, reps_now, scratch, num, den, nearest, f"mixed-{k}"), ready=True)
+        if not nearest:
+            break
+        nearest = joined > BLOCK // 4  # a choice of plan: few joins left are as well found with all pairs
     named = links.named(reps.select("h1", "h2", "n", "id")).select("h1", "h2", "n", F.col("root").alias("component"))
     out = sigs.join(named, ["h1", "h2", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def near_duplicate_rows(docs: DataFrame, text: str = "text", keep: tuple = ("doc_id",), **options) -> DataFrame:
+    """``keep`` columns, text, n_shingles, component_id, kept and first for every row of ``docs``, whatever their ids.
+
+    ``kept`` holds for the rows whose id names their component, ``first`` for one of them (or, where no row of a
+    component has an id, for one row). ``options`` are those of :func:`near_duplicates`.
+    """
+    scratch = Scratch(docs.sparkSession, "near_rows")
+    # written, so that a row has the same number in every job
+    rows = scratch.table(docs.select(*keep, F.col(text).alias("__text"), F.monotonically_increasing_id().alias("__row")), "rows")
+    groups = near_duplicates(rows.select(F.col("__row").alias("doc_id"), F.col("__text").alias("text")), **options)
+    groups = groups.select(F.col("doc_id").alias("__row"), "n_shingles", F.col("component_id").alias("__root"))
+    named = scratch.table(rows.select("doc_id", "__row").join(groups, "__row"), "named")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row"))
+    by = scratch.table(named.groupBy("__root").agg(first.alias("m")).select("__root", F.col("m.doc_id").alias("component_id"), F.col("m.__row").alias("__first")), "components")
+    out = named.drop("doc_id").join(by, "__root")
+    out = out.select("__row", "n_shingles", "component_id", (F.col("__row") == F.col("__first")).alias("first"))
+    out = rows.join(out, "__row")
+    return out.select(*keep, F.col("__text").alias(text), "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("first")).alias("kept"), "first")
