@@ -94,7 +94,7 @@ def test_constants(lex, dt, out):
     assert rif_constant(lex, dt) == out
 
 
-@pytest.mark.parametrize("text", ["p(?y) :- And(?x[rdf:type->?x])", "If And(p(?x)) Then Do(Retract(p(?x)))", "p(?x) :- And(p(?x) p(?x ?x))", "p(?x) :- And(Not(p(?x)))"])
+@pytest.mark.parametrize("text", ["p(?y) :- And(?x[rdf:type->?x])", "If And(p(?x)) Then Do(Modify(p(?x)))", "p(?x) :- And(p(?x) p(?x ?x))", "p(?x) :- And(Not(p(?x)))"])
 def test_checks_refuse(text):
     with pytest.raises(RuleError):
         check(parse(text).rules, BUILTINS)
@@ -139,6 +139,12 @@ def test_retraction_and_valid(spark):
     assert done.valid().count() == 1
 
 
+def test_atoms_can_be_retracted(spark):
+    rules = parse('If And(?x[<a:p>->?y]) Then Do(Assert(seen(?x ?y)) Retract(?x[<a:p>->?y]))\nIf And(seen(?x ?y) ?y[<a:gone>->"1"]) Then Do(Retract(seen(?x ?y)))').rules
+    done = closure(graph(spark, [("<a:1>", "<a:p>", "<a:2>"), ("<a:3>", "<a:p>", "<a:4>"), ("<a:2>", "<a:gone>", '"1"')]), rules)
+    assert [tuple(r) for r in done.relations["seen"].collect()] == [("<a:3>", "<a:4>")] and done.triples.count() == 1
+
+
 def test_meta_modelling(spark):
     """A property below rdfs:subPropertyOf itself."""
     sub = "<http://www.w3.org/2000/01/rdf-schema#subPropertyOf>"

@@ -266,6 +266,8 @@ class Engine:
                     cols = _columns(name, self.arity[name])
                     made = head(body, a.target).distinct()
                     have = now.get(name)
+                    if verb == "Retract" and have is None:
+                        continue
                     if verb == "Retract":
                         gone = self.scratch.table(made.join(have, cols, "left_semi"))
                         n = gone.count()

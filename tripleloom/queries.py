@@ -1030,6 +1030,20 @@ def iri_urify(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", F.length(iris.urify(F.col("text"))).cast("long").alias("n"))
 
 
+@query("SELECT doc_id, text AS u16, text AS u32, text AS flipped, text AS u8, TRUE AS good, FALSE AS cut FROM documents WHERE length(text) > 0")
+def utf_roundtrip(spark, sf_dir):
+    """Texts in other encodings with byte order marks, read by the mark; validity of them, and of what a lost byte leaves."""
+    x = F.col("text")
+    marked = lambda m, b: F.concat(F.unhex(F.lit(m)), b)
+    big, wide = F.encode(x, "UTF-16BE"), F.encode(x, "UTF-32")
+    cut = F.substring(big, F.lit(1), F.octet_length(big) - 1)
+    return _read(spark, sf_dir, "documents").where(F.length(x) > 0).select(
+        "doc_id", uni.decode_marked(marked("FEFF", big)).alias("u16"), uni.decode_marked(marked("FFFE0000", uni.flip(wide, 4))).alias("u32"),
+        uni.decode_marked(uni.flip(marked("FEFF", big), 2)).alias("flipped"), uni.decode_marked(marked("EFBBBF", F.encode(x, "UTF-8"))).alias("u8"),
+        (uni.is_valid(big, "UTF-16BE") & uni.is_valid(uni.flip(big, 2), "UTF-16LE") & uni.is_valid(wide, "UTF-32BE")).alias("good"), uni.is_valid(cut, "UTF-16BE").alias("cut"),
+    )
+
+
 @query("SELECT lang, CAST(count(*) AS BIGINT) AS n FROM documents WHERE lower(lang) = 'de' OR starts_with(lower(lang), 'de-') GROUP BY lang")
 def lang_range_basic(spark, sf_dir):
     return _read(spark, sf_dir, "documents").where(tags.matches_basic(F.col("lang"), "de")).groupBy("lang").agg(F.count("*").alias("n"))
