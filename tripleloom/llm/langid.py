@@ -6,30 +6,38 @@ probabilities of ``2**bits`` rows and one column a language, whose size does not
 depend on the corpus, and is broadcast. Scoring is sparse: a text's score is the sum
 of its n-grams' rows, computed once per distinct word of a task.
 
-Defined cases: a null text or one without a letter is ``und`` with score 0; rows with a
-null language or null text teach nothing; with no training rows every text is ``und``;
-ties go to the language that sorts first; extra columns are ignored.
+Defined cases: letters are the characters of the Unicode letter categories; a null or empty
+text or one without a letter is ``und`` with score 0; rows with a null language or null
+text teach nothing; with no training rows every text is ``und``; ties go to the language that
+sorts first; repeated rows teach and are answered each; a run of over 4000 letters counts as
+several words, whole texts of any length are read, in bounded slices of words; an empty
+table gives no rows; more than ``MAX_LANGUAGES`` languages are an error; extra columns are
+ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import VOCAB_LIMIT, Vocab, doc_words, ngram_buckets, out_batch, segment_sum, ship, text_chunks
+from .common import Vocab, doc_words, ngram_buckets, out_batch, segment_sum, ship, slices, text_chunks
 
 ORDERS, BITS, ALPHA = (1, 2, 3, 4), 15, 0.5
 #: Languages a model may have; more is an error, as the matrix grows with them.
 MAX_LANGUAGES = 512
-_LETTER = re.compile(r"[^\W\d_]")
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[^\W\d_]{1,4000}")
 
 
 def _words(t: str):
-    return _WORD.findall(t.lower())
+    """Runs of letters, lower-cased; ``\\w`` has numbers besides (fractions, superscripts), which part words."""
+    ws = _WORD.findall(t.lower())
+    if "".join(ws).isalpha():
+        return ws
+    return ["".join(g) for w in ws for ok, g in itertools.groupby(w, str.isalpha) if ok]
 
 
 class LangId:
@@ -60,7 +68,7 @@ class LangId:
                     add = np.bincount(ids[mine], minlength=len(vocab))
                     add[: len(words_n)] += words_n
                     seen[name] = (docs_n + langs.count(name), add)
-                if len(vocab) > VOCAB_LIMIT:
+                if vocab.full:
                     yield from flush()
                     vocab, seen = Vocab(), {}
             yield from flush()
@@ -98,23 +106,23 @@ class LangId:
 
         def score(batches):
             names, log_prob, prior = model.value
-            vocab, table, known = Vocab(), np.zeros((0, max(1, len(names)))), 0
+            vocab, table, known = Vocab(), np.zeros((0, max(1, len(names))), np.float32), 0
             for b in text_chunks(batches, "__text"):
                 texts = b.column(0).to_pylist()
                 if names:
-                    if len(vocab) > VOCAB_LIMIT:
+                    if vocab.full:
                         vocab, table, known = Vocab(), table[:0], 0
                     ids, off = doc_words(texts, _words, vocab)
                     fresh = [w.encode() for w in list(vocab)[known:]]
-                    if fresh:
-                        flat, at = ngram_buckets(fresh, orders, bits)
-                        table = np.concatenate([table, segment_sum(log_prob[flat], at)])
-                        known = len(vocab)
+                    for part in slices(fresh):
+                        flat, at = ngram_buckets(part, orders, bits)
+                        table = np.concatenate([table, segment_sum(log_prob[flat], at).astype(np.float32)])
+                    known = len(vocab)
                     s = segment_sum(table[ids], off) + prior
                     best = s.argmax(1)
                     top = s[np.arange(len(s)), best]
                     p = 1 / np.exp(s - top[:, None]).sum(1)
-                    letter = [bool(t and _LETTER.search(t)) for t in texts]
+                    letter = np.diff(off) > 0
                     pred = [names[k] if ok else "und" for k, ok in zip(best.tolist(), letter)]
                     p = np.where(letter, np.clip(p, 0, 1), 0.0)
                 else:
@@ -127,12 +135,19 @@ class LangId:
 def _counted(vocab, seen, orders, bits, schema):
     if not seen:
         return
-    flat, at = ngram_buckets([w.encode() for w in vocab], orders, bits)
-    per = np.diff(at)
-    for name, (docs_n, words_n) in seen.items():
-        full = np.zeros(len(vocab), np.int64)
-        full[: len(words_n)] = words_n
-        sums = np.bincount(flat, weights=np.repeat(full, per), minlength=1 << bits).astype(np.int64)
-        hit = np.flatnonzero(sums)
-        bucket, n = np.concatenate([[-1], hit]), np.concatenate([[docs_n], sums[hit]])
+    sums = {name: np.zeros(1 << bits, np.int64) for name in seen}
+    at = 0
+    for part in slices([w.encode() for w in vocab]):  # bounded: the n-grams of a slice at a time
+        flat, off = ngram_buckets(part, orders, bits)
+        per = np.diff(off)
+        for name, (_, words_n) in seen.items():
+            mine = np.zeros(len(part), np.int64)
+            have = words_n[at : at + len(part)]
+            mine[: len(have)] = have
+            if mine.any():
+                sums[name] += np.bincount(flat, weights=np.repeat(mine, per), minlength=1 << bits).astype(np.int64)
+        at += len(part)
+    for name, (docs_n, _) in seen.items():
+        hit = np.flatnonzero(sums[name])
+        bucket, n = np.concatenate([[-1], hit]), np.concatenate([[docs_n], sums[name][hit]])
         yield out_batch(schema, [name] * len(n), bucket.astype(np.int32), n)
