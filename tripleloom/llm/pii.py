@@ -3,10 +3,11 @@
 Base spans (email, ip, card, phone) follow fixed patterns and checks and always stay.
 Further generators with high recall propose spans that may overlap each other and the base
 ones: spelled-out mail addresses, phone numbers without a plus, cards with odd
-separators, IPv6 addresses. Format and context features of each candidate go through
-boosted trees (depth two, logistic loss), compiled to CASE expressions; a threshold for
-each kind, calibrated on held-out examples, selects what is added. Selected candidates
-that overlap a base span are dropped, and of overlapping ones the first stays.
+separators, IPv6 addresses, and opaque strings that may be keys, tokens or passwords (kind
+``secret``). Format and context features of each candidate go through boosted trees (depth
+three, logistic loss), compiled to CASE expressions; a threshold for each kind, calibrated
+on held-out examples, selects what is added. A candidate within a base span adds nothing
+and goes; of chosen candidates that overlap, the best-scored stays (of equal ones the first).
 
 The trees are fitted on the driver to a fixed, generated set of examples (``EXAMPLES`` of
 each form, in four languages), whose features come from the same Column expressions. Data
@@ -18,8 +19,9 @@ in the patterns are possessive or anchored at the start of a run, which changes
 and keeps long runs of digits or letters linear and off the regex engine's stack.
 
 Defined cases: null counts as empty; empty texts have no spans and the digest of the
-empty string; rows are independent, so repeated rows give repeated results; extra columns
-are ignored unless kept.
+empty string; texts of any length are read in whole; rows are independent, so repeated rows,
+null ids among them, give repeated results; an empty table gives no rows; extra columns are
+ignored unless kept.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import random
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: kind -> pattern; a match cannot start inside a run that the pattern's first class would take whole, unless a match has just ended there.
 BASE = {
@@ -46,18 +48,21 @@ GENERATORS = {
     "spelled": ("email", rf"(?<![A-Za-z0-9._-])[A-Za-z0-9][A-Za-z0-9._-]{{0,63}}+{_AT}[A-Za-z0-9][A-Za-z0-9-]{{0,62}}(?:{_DOT}[A-Za-z][A-Za-z0-9-]{{1,24}}){{1,4}}"),
     "national": ("phone", r"(?<![0-9A-Za-z+.-])(?:\([0-9]{2,5}\)|[0-9]{2,5})[ ./-][0-9]{2,4}(?:[ ./-][0-9]{2,4}){1,3}(?![0-9A-Za-z])"),
     "separated": ("card", r"(?<![0-9])[0-9]{4}[._/][0-9]{4}[._/][0-9]{4}[._/][0-9]{2,4}(?![0-9])"),
+    "opaque": ("secret", r"(?<![A-Za-z0-9_+/=.-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{12,512}+(?![A-Za-z0-9_+/=-])"),
     "ipv6": ("ip", r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Za-z:])"),
 }
-_SPELLED_MAY = r"(?i)\bat\b|@"
+#: Cheap tests that every text with a match of a generator passes.
+_WORTH = {"spelled": r"(?i)\bat\b|@", "national": "[0-9]{2}[)]?[ ./-][0-9]{2}", "separated": "[0-9]{4}[._/][0-9]{4}", "opaque": "[0-9]"}
 #: Words before a span that speak for personal data, by kind.
 CUES = {
     "email": r"(?i)(e-?mail|mail|contact|write|kontakt|schreib|correo|courriel|adresse)",
     "phone": r"(?i)(phone|tel|call|mobile|fax|telefon|anruf|rufen|appel|llama|movil|portable)",
     "card": r"(?i)(card|visa|master|credit|karte|carte|tarjeta|payment)",
     "ip": r"(?i)(\bip|address|server|host|client|login|serveur|adresse)",
+    "secret": r"(?i)(token|secret|key|passw|pwd|bearer|credential|auth|clave|kennwort|schl.ssel|contrase|mot de passe|jeton)",
 }
-AGAINST = r"(?i)(version|isbn|issn|order|invoice|build|release|date|article|page|section|datum|fecha|chapter|doi)"
-EXAMPLES, TREES, RATE, PRECISION = 60, 24, 0.4, 0.97
+AGAINST = r"(?i)(version|isbn|issn|order|invoice|build|release|date|article|page|section|datum|fecha|chapter|doi|commit|revision|sha|md5|checksum|digest|hash|etag|uuid|file|image|url)"
+EXAMPLES, TREES, DEPTH, RATE, PRECISION = 60, 40, 3, 0.4, 0.97
 CONTEXT = 28
 
 
@@ -116,7 +121,7 @@ def _empty():
 def base_spans(text: Column) -> Column:
     """The base spans of a text by start, then kind."""
     each = []
-    for kind in KINDS:
+    for kind in BASE:
         may = F.contains(text, F.lit(_MAY[kind])) if _MAY[kind] else F.lit(True)
         each.append(F.when(may, spans(text, kind, BASE[kind], lambda m, k=kind: _valid(k, m))).otherwise(_empty()))
     return F.array_sort(F.concat(*each))
@@ -126,12 +131,12 @@ def candidates(text: Column) -> Column:
     """What the generators propose, base patterns aside."""
     each = []
     for name, (kind, pattern) in GENERATORS.items():
-        may = F.regexp_like(text, F.lit(_SPELLED_MAY)) if name == "spelled" else F.contains(text, F.lit(":")) if name == "ipv6" else F.regexp_like(text, F.lit("[0-9]{2}[)]?[ ._/-][0-9]{2}"))
+        may = F.contains(text, F.lit(":")) if name == "ipv6" else F.regexp_like(text, F.lit(_WORTH[name]))
         each.append(F.when(may, spans(text, kind, pattern)).otherwise(_empty()))
     return F.array_sort(F.concat(*each))
 
 
-FEATURES = ("kind", "length", "digits", "groups", "marks", "letters", "spaces", "luhn", "cue", "against", "letter_before", "ends_sentence", "spelled", "year", "last_group")
+FEATURES = ("kind", "length", "digits", "groups", "marks", "letters", "spaces", "luhn", "cue", "against", "letter_before", "ends_sentence", "spelled", "year", "last_group", "hex", "two_cases", "assigned", "longest_word")
 
 
 def features(text: Column, x: Column) -> Column:
@@ -160,6 +165,10 @@ def features(text: Column, x: Column) -> Column:
         "spelled": flag(F.regexp_like(m, F.lit(r"[\[(](at|dot)[\])]"))),
         "year": flag(F.regexp_like(m, F.lit(r"(^|[^0-9])(19|20)[0-9]{2}([^0-9]|$)"))),
         "last_group": F.length(F.regexp_extract(m, "([0-9]*)$", 1)).cast("double"),
+        "hex": flag(F.regexp_like(m, F.lit("^([0-9a-f]+|[0-9A-F]+)$"))),
+        "two_cases": flag(F.regexp_like(m, F.lit("[a-z]")) & F.regexp_like(m, F.lit("[A-Z]"))),
+        "assigned": flag(F.regexp_like(before, F.lit("[=:] *[\"']?$"))),
+        "longest_word": F.coalesce(F.array_max(F.transform(F.regexp_extract_all(m, F.lit("[a-z]+|[A-Z]+"), F.lit(0)), F.length)), F.lit(0)).cast("double"),
     }
     return F.struct(*[values[f].alias(f) for f in FEATURES])
 
@@ -187,6 +196,24 @@ def examples(seed: int = 1) -> list[tuple[str, int]]:
     def hex4():
         return "".join(r.choice("0123456789abcdef") for _ in range(r.randint(1, 4)))
 
+    def secret():
+        kind, n = r.randrange(4), r.randint(20, 44)
+        if kind == 0:
+            x = "".join(r.choice("0123456789abcdef") for _ in range(r.choice([24, 32, 40, 48, 64])))
+        elif kind == 1:
+            x = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+        elif kind == 2:
+            x = "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789_-") for _ in range(n))
+        else:
+            x = r.choice(["sk_live_", "AKIA", "ghp_", "pk-"]) + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+        x = x + r.choice("0123456789")
+        return x.upper() if r.random() < 0.2 else x
+
+    words = ["house", "image", "report", "final", "version", "page", "article", "guide", "summer", "bericht", "maison", "tabla", "and", "the", "of", "to"]
+    slug = lambda: r.choice("-_").join([r.choice(words) for _ in range(r.randint(2, 5))] + [d(r.randint(1, 4))])
+    hold = ["token = \"", "api_key: ", "secret = '", "password=", "Authorization: Bearer ", "TOKEN = \"", "access key ", "clave: ", "Kennwort: ", "jeton = ", "auth_token=", "private key: "]
+    loose = ["commit ", "sha256: ", "md5 ", "checksum = ", "revision ", "etag: \"", "uuid ", "build ", "file ", "hash: "]
+
     for _ in range(EXAMPLES):
         for lead, y in ((r.choice(cue["email"]), 1), (r.choice(plain), 1)):
             out.append((f"{lead}{name()} {r.choice(['(at)', '[at]'])} {host()} {r.choice(['(dot)', '[dot]'])} {top()} ok", y))
@@ -204,13 +231,22 @@ def examples(seed: int = 1) -> list[tuple[str, int]]:
         for lead, y in ((r.choice(cue["card"]), 1), (r.choice(bad), 0), (r.choice(plain), 0)):
             s = r.choice("._/")
             out.append((f"{lead}{s.join([d(4), d(4), d(4), d(4)])} end", y))
+        for _ in range(3):
+            out.append((f"{r.choice(plain)}{r.choice(hold)}{secret()}{r.choice(['', chr(34), ' ok', '.'])}", 1))
+            out.append((f"{r.choice(plain)}{r.choice(loose)}{secret()} ok", 0))
+            out.append((f"{r.choice(plain + hold)}{slug()} later", 0))
+        out.append((f"{r.choice(plain)}{d(r.randint(12, 20))} units", 0))
+        out.append((f"{r.choice(plain)}{r.choice(hold)}{d(4)}-{d(2)}-{d(2)}", 0))
+        out.append((f"{r.choice(plain)}{d(4)}-{d(2)}-{d(2)}-{d(2)}-{d(2)} later", 0))
+        out.append((f"{r.choice(plain)}{r.choice(['A', 'BX', 'ref'])}{d(3)}-{d(4)}-{d(5)} later", 0))
+        out.append((f"{r.choice(plain)}{''.join(r.choice(words) for _ in range(r.randint(3, 5)))}{d(1)} later", 0))
         out.append((f"{r.choice(cue['ip'])}{':'.join(hex4() for _ in range(8))} up", 1))
         out.append((f"{r.choice(bad)}{':'.join(d(2) for _ in range(8))} x", 0))
     return out
 
 
 def _fit_tree(x, g, h):
-    """Depth-two regression tree on gradients: nested (feature, cut, left, right) or a leaf value."""
+    """Regression tree of ``DEPTH`` on gradients: nested (feature, cut, left, right) or a leaf value."""
 
     def leaf(mask):
         return float(g[mask].sum() / (h[mask].sum() + 1.0))
@@ -218,7 +254,7 @@ def _fit_tree(x, g, h):
     def split(mask):
         best, total = None, g[mask].sum() ** 2 / (h[mask].sum() + 1.0)
         for f in range(x.shape[1]):
-            for cut in np.unique(x[mask, f])[:-1]:
+            for cut in np.unique(np.quantile(x[mask, f], np.linspace(0, 1, 17), method="lower"))[:-1]:
                 left = mask & (x[:, f] <= cut)
                 right = mask & ~left
                 gain = g[left].sum() ** 2 / (h[left].sum() + 1.0) + g[right].sum() ** 2 / (h[right].sum() + 1.0) - total
@@ -232,7 +268,7 @@ def _fit_tree(x, g, h):
             return leaf(mask)
         return (s[1], s[2], grow(s[3], depth - 1), grow(s[4], depth - 1))
 
-    return grow(np.ones(len(g), bool), 2)
+    return grow(np.ones(len(g), bool), DEPTH)
 
 
 def _run_tree(t, x):
@@ -254,14 +290,15 @@ class Boosted:
             t = _fit_tree(x[fit], (y - p)[fit], (p * (1 - p))[fit])
             self.trees.append(t)
             score += RATE * _run_tree(t, x)
-        # calibrated on the third that was held out: the lowest score above which precision holds
+        # calibrated on the third that was held out: the lowest score of a true one at which precision holds, all of that score
+        # or more counted; the threshold lies halfway to what comes below
         self.threshold = []
         for k in range(len(KINDS)):
             mine = ~fit & (x[:, 0] == k)
-            order = np.argsort(-score[mine])
-            s, hit = score[mine][order], y[mine][order]
-            good = np.flatnonzero(np.cumsum(hit) / np.arange(1, len(hit) + 1) >= PRECISION)
-            self.threshold.append(float(s[good[-1]]) - 1e-9 if len(good) else float("inf"))
+            s, hit = score[mine], y[mine] > 0
+            good = [c for c in np.unique(s[hit]) if hit[s >= c].mean() >= PRECISION]
+            below = s[s < good[0]] if good else s
+            self.threshold.append(float("inf") if not good else float(good[0] + below.max()) / 2 if len(below) else float(good[0]) - 1.0)
 
     def column(self, f: Column) -> Column:
         def expr(t):
@@ -272,11 +309,12 @@ class Boosted:
             out = out + expr(t)
         return out
 
-    def keep(self, f: Column) -> Column:
+    def margin(self, f: Column) -> Column:
+        """How far a candidate's score lies above the threshold of its kind."""
         need = F.lit(float("inf"))
         for k, t in enumerate(self.threshold):
             need = F.when(f["kind"] == float(k), F.lit(t)).otherwise(need)
-        return self.column(f) >= need
+        return self.column(f) - need
 
 
 _fitted: Boosted | None = None
@@ -312,17 +350,17 @@ def find(docs: DataFrame, text: str = "text", keep: tuple = ("doc_id",)) -> Data
     out = docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__body"))
     out = out.withColumn("base", base_spans(t))
     out = out.withColumn("cand", candidates(t))
-    free = F.filter("cand", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    out = out.withColumn("cand", F.when(F.size("cand") > 0, free).otherwise(F.col("cand")))
-    judged = F.transform("cand", lambda x: F.struct(x.alias("x"), features(t, x).alias("f")))
-    chosen = F.transform(F.filter(judged, lambda c: trees.keep(c["f"])), lambda c: c["x"])
+    more = F.filter("cand", lambda x: ~F.exists("base", lambda b: (b["s"] <= x["s"]) & (x["e"] <= b["e"])))
+    out = out.withColumn("cand", F.when(F.size("cand") > 0, more).otherwise(F.col("cand")))
+    # two steps, so that the trees refer to the features instead of holding them
+    judged = F.transform(F.transform("cand", lambda x: F.struct(x.alias("x"), features(t, x).alias("f"))), lambda c: F.struct((-trees.margin(c["f"])).alias("short"), c["x"].alias("x")))
+    chosen = F.transform(F.array_sort(F.filter(judged, lambda c: c["short"] <= 0)), lambda c: c["x"])
 
-    def step(acc, x):
-        clear = (F.size(acc) == 0) | (F.element_at(acc, -1)["e"] <= x["s"])
-        return F.when(F.coalesce(clear, F.lit(True)), F.concat(acc, F.array(x))).otherwise(acc)
+    def step(acc, x):  # the best-scored first
+        return F.when(F.exists(acc, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])), acc).otherwise(F.concat(acc, F.array(x)))
 
-    first = F.aggregate(F.array_sort(chosen), _empty(), step)
-    out = out.withColumn("added", F.when(F.size("cand") > 0, first).otherwise(_empty()))
+    best = F.aggregate(chosen, _empty(), step)
+    out = out.withColumn("added", F.when(F.size("cand") > 0, best).otherwise(_empty()))
     return out.select(*keep, F.col("__body").alias("body"), "base", F.array_sort(F.concat("base", "added")).alias("spans"))
 
 
@@ -335,7 +373,7 @@ def written(spans_: Column) -> Column:
 def report(found: DataFrame, keep: tuple = ("doc_id",)) -> DataFrame:
     """Counts and digest of the base spans, and all spans written out."""
     count = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
-    return found.select(*keep, *[count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)], F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+    return found.select(*keep, *[count(k).alias(f"n_{name}") for k, name in enumerate(KINDS) if name in BASE], F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
