@@ -1,21 +1,23 @@
 """Exact top-k by inner product: a dual-tree search over cover trees.
 
-Candidates are dealt by their nearest of a few pivots, and cells beyond ``BLOCK`` rows are
-split, so that a block is near one place and bounded however common a vector is. Queries
-are dealt the same way in blocks of their own. Every query block meets every candidate
-block, each pair in a task of bounded memory: both sides are indexed by a cover tree, and a
-pair of nodes (centres a and b, covering radii r and s) is skipped if
-``a.b + r|b| + s|a| + r s``, the most any pair of their points can reach, is below the
-worst k-th score among the node's queries. That score starts from a bounded sample of
-candidates (its k-th best is a lower bound) and rises with what the search finds. Equal
-vectors in a block are one point with its ``k + 1`` smallest ids, as no query can want
-more. The blocks' results are merged by the k best of each query.
-
-Defined cases: vectors that are null, hold null or non-finite components, or have no id,
-take no part; nor do vectors of a length other than the commonest (the larger of two as
-common); a query never returns its own id, of which repeated rows count as one; fewer
-candidates than k are all returned; ties go to the smaller id; an empty table gives no
-rows; extra columns are ignored.
+Vectors are dealt to the nearest of at most ``PIVOTS`` pivots. On the small table of cells, a
+pair of a query cell and a candidate cell is dropped if ``a.b + r|b| + s|a| + r s`` (pivots a
+and b, covering radii r and s, the most any pair of their points can reach) is below the
+worst k-th score among the cell's queries; nothing is shipped for it. That score starts from
+a bounded sample of candidates: its k-th best is a lower bound. Cells beyond ``BLOCK`` rows are
+split, so that a block is near one place and bounded however common a vector is.
+
+What is left meets in tasks of a candidate block and a group of up to ``GROUP`` query blocks
+of a cell: the candidates are indexed once, the query blocks stream past, each indexed by a
+tree of its own, and pairs of nodes are skipped by the same rule, with k-th scores that rise
+with what the search finds. Equal vectors in a block are one point with its ``k + 1`` smallest
+ids, as no query can want more. The blocks' results are merged by the k best of each query.
+
+Defined cases: vectors that are null or empty, hold null or non-finite components, or have no
+id, take no part; vectors of different lengths meet over the shorter (more than ``MAX_DIM``
+components are an error); a query never returns its own id; rows that repeat an id are one
+candidate, or query, with the best of its scores; fewer candidates than k are all returned;
+ties go to the smaller id; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import Scratch, ship
 
-BLOCK, QUERY_BLOCK, LEAF, PIVOTS, SAMPLE, SHRINK = 8192, 1024, 96, 64, 4096, 1.4
+BLOCK, QUERY_BLOCK, GROUP, LEAF, PIVOTS, SAMPLE, SHRINK, MAX_DIM = 8192, 1024, 64, 96, 1024, 4096, 1.4, 1 << 14
 
 
 class CoverTree:
@@ -73,24 +75,30 @@ class CoverTree:
         return len(self.nodes) - 1
 
 
-def search(q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int):
-    """(query row, id, score) of the k best of ``x`` for each query, those at or above ``floor`` only."""
-    if not len(q) or not len(x):
+class Points:
+    """Candidates of a block, equal vectors folded, indexed once for any number of query blocks."""
+
+    def __init__(self, x: np.ndarray, x_ids: np.ndarray):
+        order = np.lexsort([x_ids, *x.T[::-1]])
+        x, self.ids = x[order], x_ids[order]
+        new = np.concatenate([[True], (x[1:] != x[:-1]).any(1)])
+        first = np.flatnonzero(new)
+        self.most = float(np.abs(x).max(initial=0))
+        self.tree = CoverTree(x[first])
+        self.x = x[first][self.tree.order]
+        self.first, self.count = first[self.tree.order], np.diff(np.concatenate([first, [len(x)]]))[self.tree.order]
+
+
+def search(q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, points: Points, k: int):
+    """(query row, id, score) of the k best of ``points`` for each query, those at or above ``floor`` only."""
+    if not len(q):
         return (np.zeros(0, np.int64),) * 3
-    # equal vectors: one point with its k + 1 smallest ids
-    order = np.lexsort([x_ids, *x.T[::-1]])
-    x, x_ids = x[order], x_ids[order]
-    new = np.concatenate([[True], (x[1:] != x[:-1]).any(1)])
-    first = np.flatnonzero(new)
-    count = np.diff(np.concatenate([first, [len(x)]]))
-    points = x[first]
-    exact = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * x.shape[1] < 2**52
-    tq, tx = CoverTree(q), CoverTree(points)
-    qs, xs = q[tq.order], points[tx.order]
-    if exact:
+    tq, tx = CoverTree(q), points.tree
+    qs, xs, x_ids, x_first = q[tq.order], points.x, points.ids, points.first
+    if float(np.abs(q).max(initial=0)) * points.most * q.shape[1] < 2**52:  # products are exact in doubles
         qs, xs = qs.astype(np.float64), xs.astype(np.float64)
+    x_count = np.minimum(points.count, k + 1)
     own, floor = q_ids[tq.order], floor[tq.order].astype(np.float64)
-    x_first, x_count = first[tx.order], np.minimum(count[tx.order], k + 1)
     best: list[list[tuple]] = [[] for _ in range(len(q))]
     kth = floor.copy()
 
@@ -118,7 +126,10 @@ def search(q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, x: np.ndarray, x
                     at = x_first[b[3] + c]
                     v = int(s[r, c])
                     mine.extend([(-v, y) for y in x_ids[at : at + x_count[b[3] + c]].tolist() if y != own[row]])
-                mine[:] = sorted(set(mine))[:k]
+                seen: dict[int, int] = {}
+                for v, y in sorted(mine):  # an id once, with its best score
+                    seen.setdefault(y, v)
+                mine[:] = [(v, y) for y, v in seen.items()][:k]
                 if len(mine) == k:
                     kth[row] = max(kth[row], -mine[-1][0])
             continue
@@ -137,9 +148,18 @@ def quantised(rows: DataFrame, vector: str = "embedding", scale: float = 64.0) -
     return rows
 
 
-def _matrix(column) -> np.ndarray:
+def _matrix(column, dim: int) -> np.ndarray:
+    """Rows of ``dim`` components, shorter ones filled with zeros."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(column), -1) if len(column) else np.zeros((0, 1), np.int64)
+    if not len(column):
+        return np.zeros((0, dim), np.int64)
+    flat, off = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), column.offsets.to_numpy()
+    n = np.diff(off)
+    if (n == dim).all():
+        return flat.reshape(len(column), dim)
+    out = np.zeros((len(column), dim), np.int64)
+    out[np.arange(dim)[None, :] < n[:, None]] = flat
+    return out
 
 
 def _pivots(sample: np.ndarray, n: int) -> np.ndarray:
@@ -157,18 +177,19 @@ def top_k(rows: DataFrame, queries: Column, k: int = 20, vector: str = "embeddin
     spark = rows.sparkSession
     ship(spark)
     scratch = Scratch(spark, "topk")
-    vecs = quantised(rows, vector, scale)
+    # repeated rows are one candidate: the floor and the groups of equal vectors count ids
+    vecs = scratch.table(quantised(rows, vector, scale).distinct(), "vectors")
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    sizes = vecs.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), F.desc("n")).limit(1).collect()
-    if not sizes:
+    dim, total = vecs.agg(F.max(F.size("v")), F.count("*")).first()
+    if not total:
         return empty
-    dim, total = int(sizes[0]["n"]), int(sizes[0]["c"])
-    # repeated rows are one candidate: the floor and the groups of equal vectors count ids
-    vecs = vecs.where(F.size("v") == dim).distinct()
-    sample = vecs.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()  # bounded: SAMPLE rows
-    points, point_ids = _matrix(sample.column("v")), sample.column("vec_id").to_numpy()
+    if dim > MAX_DIM:
+        raise ValueError(f"a vector of {dim} components; the limit is {MAX_DIM}")
+    sample = vecs.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).toArrow()  # bounded: SAMPLE rows
+    point_ids, first = np.unique(sample.column("vec_id").to_numpy(), return_index=True)
+    points = _matrix(sample.column("v"), dim)[first].astype(np.float64)
     pivots = _pivots(points, max(1, min(PIVOTS, total // BLOCK)))
-    shared = spark.sparkContext.broadcast((pivots, points.astype(np.float64), point_ids))
+    shared = spark.sparkContext.broadcast((pivots, points, point_ids))
 
     def deal(batches):
         piv, pts, ids = shared.value
@@ -176,8 +197,9 @@ def top_k(rows: DataFrame, queries: Column, k: int = 20, vector: str = "embeddin
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                x = _matrix(part.column("v")).astype(np.float64)
+                x = _matrix(part.column("v"), dim).astype(np.float64)
                 cell = (norm[None, :] - 2 * x @ piv.T).argmin(1)
+                far = np.sqrt(((x - piv[cell]) ** 2).sum(1))
                 floor = np.full(len(x), -(2.0**62))
                 ask = part.column("ask").to_numpy(zero_copy_only=False)
                 mine = part.column("vec_id").to_numpy()
@@ -186,28 +208,79 @@ def top_k(rows: DataFrame, queries: Column, k: int = 20, vector: str = "embeddin
                     s[mine[ask][:, None] == ids[None, :]] = -np.inf
                     low = np.partition(s, -k, axis=1)[:, -k]
                     floor[ask] = np.where(np.isfinite(low), low, -(2.0**62))
-                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("v"), part.column("ask"), pa.array(cell.astype(np.int32)), pa.array(floor)], names=["vec_id", "v", "ask", "cell", "floor"])
+                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("v"), part.column("ask"), pa.array(cell.astype(np.int32)), pa.array(far), pa.array(floor)], names=["vec_id", "v", "ask", "cell", "far", "floor"])
 
-    dealt = vecs.withColumn("ask", F.coalesce(queries, F.lit(False))).mapInArrow(deal, "vec_id long, v array<long>, ask boolean, cell int, floor double")
+    dealt = vecs.withColumn("ask", F.coalesce(queries, F.lit(False))).mapInArrow(deal, "vec_id long, v array<long>, ask boolean, cell int, far double, floor double")
     dealt = scratch.table(dealt, "dealt")
-    cells = dealt.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("parts"), F.ceil(F.count_if("ask") / F.lit(QUERY_BLOCK)).cast("int").alias("q_parts"))
-    cells = cells.withColumn("first", F.sum("parts").over(Window.orderBy("cell")) - F.col("parts")).withColumn("q_first", F.sum("q_parts").over(Window.orderBy("cell")) - F.col("q_parts"))
-    table = cells.collect()  # bounded: a row for each of at most PIVOTS cells
-    blocks, q_blocks = sum(r["parts"] for r in table), sum(r["q_parts"] for r in table)
-    if not q_blocks:
+    asked = F.col("ask")
+    cells = dealt.groupBy("cell").agg(
+        F.count("*").alias("n"), F.max("far").alias("far"),
+        F.count_if(asked).alias("q_n"), F.max(F.when(asked, F.col("far"))).alias("q_far"), F.min(F.when(asked, F.col("floor"))).alias("floor"),
+    )
+    table = cells.orderBy("cell").collect()  # bounded: a row for each of at most PIVOTS cells
+    met = _meeting(table, pivots)
+    if not met:
         return empty
-    layout = F.broadcast(spark.createDataFrame([tuple(r) for r in table], "cell int, parts int, q_parts int, first long, q_first long"))
-    placed = dealt.join(layout, "cell")
-    # the query set against all rows, in blocks
-    c_side = placed.select(F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"), (F.col("first") + F.pmod(F.hash("vec_id"), F.col("parts"))).cast("int").alias("cb"), "vec_id", "v")
-    q_side = placed.where("ask").select((F.col("q_first") + F.pmod(F.hash("vec_id", F.lit(1)), F.col("q_parts"))).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("cb"), F.col("vec_id").alias("q_id"), F.col("v").alias("q"), F.col("floor").alias("q_floor"))
-
-    def solve(left, right):
-        q, x = _matrix(left.column("q")), _matrix(right.column("v"))
-        q_ids = left.column("q_id").to_numpy()
-        r, ids, score = search(q, q_ids, left.column("q_floor").to_numpy(), x, right.column("vec_id").to_numpy(), k)
-        return pa.table([pa.array(q_ids[r] if len(r) else np.zeros(0, np.int64)), pa.array(ids), pa.array(score)], names=["query_id", "vec_id", "score"])
-
-    found = q_side.groupBy("qb", "cb").cogroup(c_side.groupBy("qb", "cb")).applyInArrow(solve, "query_id long, vec_id long, score long")
+    parts = {r["cell"]: -(-r["n"] // BLOCK) for r in table}
+    q_parts = {r["cell"]: -(-r["q_n"] // QUERY_BLOCK) for r in table}
+    # bounded: at most PIVOTS rows of at most PIVOTS pairs
+    by_query = F.broadcast(spark.createDataFrame([(q, q_parts[q], [(c, parts[c]) for a, c in met if a == q]) for q in sorted({a for a, _ in met})], "cell int, own int, other array<struct<cell:int, parts:int>>"))
+    by_candidate = F.broadcast(spark.createDataFrame([(c, parts[c], [(q, -(-q_parts[q] // GROUP)) for q, b in met if b == c]) for c in sorted({b for _, b in met})], "cell int, own int, other array<struct<cell:int, parts:int>>"))
+    place = lambda seed: F.pmod(F.xxhash64("vec_id", "v", F.lit(seed)), F.col("own")).cast("int")
+    every = lambda df: df.withColumn("o", F.explode("other")).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("o.parts") - 1)))
+    # the query set against all rows, in blocks; candidates stand before queries in each task
+    c_side = every(dealt.join(by_candidate, "cell").withColumn("block", place(0)))
+    c_side = c_side.select("cell", "block", F.col("o.cell").alias("q_cell"), F.col("at").alias("q_group"), F.lit(-1).alias("q_block"), "vec_id", "v", F.lit(0.0).alias("floor"))
+    q_side = every(dealt.where("ask").join(by_query, "cell").withColumn("block", place(1)))
+    q_side = q_side.select(F.col("o.cell").alias("cell"), F.col("at").alias("block"), F.col("cell").alias("q_cell"), F.floor(F.col("block") / GROUP).cast("int").alias("q_group"), F.col("block").alias("q_block"), "vec_id", "v", "floor")
+    task = ["cell", "block", "q_cell", "q_group"]
+    both = c_side.unionByName(q_side).repartition(*task).sortWithinPartitions(*task, "q_block")
+
+    def solve(batches):
+        now, points, held = None, None, []
+
+        def run():
+            nonlocal points
+            t = pa.Table.from_batches(held)
+            x, ids = _matrix(t.column("v"), dim), t.column("vec_id").to_numpy()
+            if now[-1] < 0:
+                points = Points(x, ids)
+            elif points is not None:
+                r, found, score = search(x, ids, t.column("floor").to_numpy(), points, k)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(found), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = np.stack([b.column(c).to_numpy() for c in (*task, "q_block")], 1)
+            edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)])).tolist()
+            for at, to in zip(edge, [*edge[1:], len(key)]):
+                mine = tuple(key[at].tolist())
+                if mine != now:
+                    if held:
+                        yield from run()
+                    if now is not None and mine[:-1] != now[:-1]:
+                        points = None
+                    now, held = mine, []
+                held.append(b.slice(at, to - at))
+        if held:
+            yield from run()
+
+    found = both.mapInArrow(solve, "query_id long, vec_id long, score long").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+
+
+def _meeting(table, pivots: np.ndarray) -> list[tuple[int, int]]:
+    """(query cell, candidate cell) pairs that may hold a score the query cell's worst k-th score does not rule out."""
+    asked = [r for r in table if r["q_n"]]
+    if not asked:
+        return []
+    q, c = np.array([r["cell"] for r in asked]), np.array([r["cell"] for r in table])
+    a, b = pivots[q], pivots[c]
+    na, nb = np.sqrt((a**2).sum(1)), np.sqrt((b**2).sum(1))
+    r, s = np.array([x["q_far"] for x in asked]), np.array([x["far"] for x in table])
+    most = a @ b.T + r[:, None] * nb[None, :] + na[:, None] * s[None, :] + r[:, None] * s[None, :]
+    most = most * (1 + 1e-12) + 1e-3 + 1e-9 * (na + r)[:, None] * (nb + s)[None, :]
+    i, j = np.nonzero(most >= np.array([x["floor"] for x in asked])[:, None])
+    return list(zip(q[i].tolist(), c[j].tolist()))
