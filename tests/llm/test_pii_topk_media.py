@@ -3,13 +3,15 @@
 import hashlib
 import io
 import re
+import struct
 import wave
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tripleloom.llm import media, pii
-from tripleloom.llm.topk import CoverTree, search, top_k
+from tripleloom.llm import media, pii, topk
+from tripleloom.llm.topk import CoverTree, Points, search, top_k
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
@@ -63,7 +65,7 @@ def test_search_equals_brute_force():
     rng = np.random.default_rng(1)
     for n, d in ((300, 3), (60, 8), (5, 2)):
         x = rng.integers(-4, 5, (n, d))
-        rows, ids, score = search(x[::7], np.arange(n)[::7], np.full(len(x[::7]), -(2.0**62)), x, np.arange(n), 20)
+        rows, ids, score = search(x[::7], np.arange(n)[::7], np.full(len(x[::7]), -(2.0**62)), Points(x, np.arange(n)), 20)
         got: dict = {}
         for r, i, s in zip(rows, ids, score):
             got.setdefault(int(r) * 7, []).append((-int(s), int(i)))
@@ -76,7 +78,7 @@ def test_search_equals_brute_force():
 def test_top_k_over_a_frame(spark):
     rng = np.random.default_rng(2)
     vecs = {i: rng.normal(size=6).astype(np.float32).tolist() for i in range(120)} | {i: [0.5] * 6 for i in range(120, 160)}
-    bad = [(1000, None), (1020, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (1040, [float("nan")] * 6), (1060, [1.0, 2.0])]
+    bad = [(1000, None), (1020, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (1040, [float("nan")] * 6), (1060, []), (None, [1.0] * 6)]
     df = spark.createDataFrame([(i, v, 1.0) for i, v in [*vecs.items(), *bad]], "vec_id long, embedding array<float>, score double")
     got: dict = {}
     for r in top_k(df, F.col("vec_id") % 20 == 0, k=20).orderBy("query_id", "rank").collect():
@@ -85,6 +87,39 @@ def test_top_k_over_a_frame(spark):
     assert top_k(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_in_many_cells_and_lengths(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 20)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(topk, "GROUP", 2)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(0, 30, (5, 4))
+    vecs = {i: (centres[i % 5] + rng.normal(0, 0.2, 4)).tolist()[: 4 if i % 9 else 2] for i in range(400)}
+    df = spark.createDataFrame([(i, v) for i, v in vecs.items()], "vec_id long, embedding array<double>")
+    full = {i: np.floor(64 * np.array(v + [0.0] * (4 - len(v)))).astype(int) for i, v in vecs.items()}
+    got: dict = {}
+    for r in top_k(df, F.col("vec_id") % 20 == 0, k=7).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((-r["score"], r["vec_id"]))
+    assert got == brute(full, 7, 20)
+    cells = [{"cell": c, "q_n": 1, "q_far": 1.0, "far": 1.0, "floor": 50.0} for c in range(2)]
+    assert topk._meeting(cells, np.array([[10.0, 0.0], [0.0, 10.0]])) == [(0, 0), (1, 1)]
+
+
+def test_top_k_of_an_id_with_many_vectors(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=3).tolist()) for i in range(60)] + [(20, rng.normal(size=3).tolist()) for _ in range(30)] + [(7, rng.normal(size=3).tolist()) for _ in range(30)]
+    x = [(i, np.floor(64 * np.array(v)).astype(int)) for i, v in rows]
+    got: dict = {}
+    for r in top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=5).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((-r["score"], r["vec_id"]))
+    for q in (0, 20, 40):
+        best: dict = {}
+        for i, v in x:
+            if i != q:
+                best[i] = max([best.get(i, -(10**9)), *(int(v @ w) for j, w in x if j == q)])
+        assert got[q] == sorted((-s, i) for i, s in best.items())[:5]
+
+
 def test_top_k_of_repeated_rows(spark):
     rng = np.random.default_rng(6)
     vecs = {i: rng.normal(size=6).astype(np.float32).tolist() for i in range(100)} | {i: [0.5] * 6 for i in range(100, 130)}
@@ -142,6 +177,44 @@ def test_partner_behind_smaller_recordings(spark):
     assert got[101]["match_id"] == 100 and got[101]["offset"] == 20
 
 
+@pytest.mark.parametrize("shared", [10, 25])
+def test_partners_among_songs_that_share_an_opening(spark, shared):
+    """Recall against judging every pair: who has a match, and which is the best."""
+    rng = np.random.default_rng(7)
+    opening, rows, want = rng.integers(0, 24, shared), [], {}
+    for k in range(20):
+        song = tone(np.concatenate([opening, rng.integers(0, 24, 40 - shared)]))
+        cut = song[media.HOP * int(rng.integers(0, 30)) :]
+        rows += [(k, as_wave(song)), (100 + k, as_wave(cut + rng.normal(0, 0.02, len(cut))))]
+        want[100 + k] = k
+    got = {r["id"]: r["match_id"] for r in media.match(spark.createDataFrame(rows, "page_id long, html binary"), "page_id", "html").collect()}
+    codes = {i: media.fingerprint(x) for i, x in rows}
+    judged = {i: [(a[2], j) for j in codes if j < i and (a := media.align(codes[j], codes[i])) and a[2] <= media.MAX_ERROR and a[1] >= media.MIN_OVERLAP] for i in codes}
+    assert all((got[i] is None) == (not found) for i, found in judged.items())
+    assert sum(got[i] == (min(found)[1] if found else None) for i, found in judged.items()) >= 0.8 * len(judged)
+    assert all(got[i] == k for i, k in want.items())
+
+
+def test_wave_codings_decode_alike():
+    x = (np.sin(np.arange(4000) / 9) * 0.7).astype(np.float64)
+    def wav(coding, bits, body):
+        head = struct.pack("<HHIIHH", coding, 1, 8000, 8000 * bits // 8, bits // 8, bits)
+        return b"RIFF" + struct.pack("<I", 36 + len(body)) + b"WAVEfmt " + struct.pack("<I", 16) + head + b"data" + struct.pack("<I", len(body)) + body
+    wide = (x * 2**31).astype("<i4")
+    forms = {8: wav(1, 8, (x * 127 + 128).astype(np.uint8).tobytes()), 16: wav(1, 16, (x * 32767).astype("<i2").tobytes()), 24: wav(1, 24, wide.view(np.uint8).reshape(-1, 4)[:, 1:].tobytes()), 32: wav(1, 32, wide.tobytes()), 33: wav(3, 32, x.astype("<f4").tobytes())}
+    for bits, raw in forms.items():
+        got, rate = media.decode(raw)
+        assert rate == 8000 and len(got) == len(x) and np.abs(got - x).max() < (0.02 if bits == 8 else 1e-3)
+    assert len(media.decode(wav(85, 0, b"abc"))[0]) == 0 and media.decode(b"RIFFxxxxWAVE")[0].size == 0
+
+
+def test_media_edges(spark):
+    df = spark.createDataFrame([(None, b"\x80" * 9000, 1), (1, b"\x80" * 9000, 1), (1, b"\x80" * 9000, 1)], "page_id long, html binary, offset int")
+    got = sorted(((r["id"] or 0), r["match_id"], r["bit_error"]) for r in media.match(df, "page_id", "html").collect())
+    assert got == [(0, None, None), (1, None, None), (1, None, None)]
+    assert media.match(df.where("false"), "page_id", "html").count() == 0
+
+
 def test_every_place_of_an_integer_votes():
     a, b = np.concatenate([np.arange(1, 31), np.zeros(20)]).astype(np.uint32), np.zeros(20, np.uint32)
     assert media.align(a, b) == (30, 20, 0.0)
