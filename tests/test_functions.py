@@ -105,3 +105,19 @@ def test_dictionary(spark, tmp_path):
     recs = d.select(dictionary.dictionary_record("id", "term").alias("b")).collect()
     (tmp_path / "x.dct").write_bytes(b"".join(bytes(r["b"]) for r in recs))
     assert {r["term"]: r["id"] for r in dictionary.read_dictionary(spark, str(tmp_path / "x.dct")).collect()} == rows
+
+
+def test_anonymous_nodes_get_labels(spark):
+    df = spark.createDataFrame([("[]", "<a:p>", "[]"), ("_:Qx", "<a:p>", "[]")], "s string, p string, o string")
+    lines = [r[0] for r in df.select(ntriples.serialize(F.col("s"), F.col("p"), F.col("o"))).collect()]
+    labels = [w for x in lines for w in x.split() if w.startswith("_:Q")]
+    assert len(labels) == len(set(labels)) == 3 and "_:XQx" in lines[1]
+
+
+def test_byte_orders(spark):
+    df = spark.createDataFrame([(bytearray("a\U0001F600\u00e9".encode(e)), e) for e in ("utf-16-le", "utf-16-be", "utf-32-le", "utf-32-be")], "b binary, e string")
+    for r in df.select("e", *[uni.is_valid(F.col("b"), n).alias(n) for n in ("UTF-16LE", "UTF-16BE", "UTF-32LE", "UTF-32BE")]).collect():
+        assert r[r["e"].upper().replace("-LE", "LE").replace("-BE", "BE")]
+    bad = spark.createDataFrame([(bytearray(x),) for x in (b"\x00\xd8", b"\x00\xd8a\x00", b"\x00\xdc")], "b binary")
+    assert not any(r[0] for r in bad.select(uni.is_valid(F.col("b"), "UTF-16LE")).collect())
+    assert bad.select(uni.mark(F.lit(bytearray(b"\xff\xfea\x00"))).alias("m")).first()["m"] == "UTF-16LE"

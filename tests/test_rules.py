@@ -5,7 +5,7 @@ import random
 import pytest
 
 from tripleloom.operators.fixpoint import NoFixpoint, closure
-from tripleloom.plans import placement, programs
+from tripleloom.plans import ast, placement, programs
 from tripleloom.plans.ast import And, Atom, Const, Equal, Frame, Not, Var, conjuncts, is_ground
 from tripleloom.plans.check import check, strata
 from tripleloom.plans.compile import BUILTINS
@@ -100,6 +100,16 @@ def test_checks_refuse(text):
         check(parse(text).rules, BUILTINS)
 
 
+def test_syntax_trees():
+    c = parse_condition('And(?x[<a:p>->?y <a:q>->"1"] And(?y = ?x Or(Not(Not(?x = <a:1>)))) ?y = ?x Exists ?b ?a (?a[<a:p>->?b]))')
+    flat = ast.normalize(c)
+    assert str(flat) == 'And(?x[<a:p>->?y <a:q>->"1"] ?x = <a:1> ?x = ?y Exists ?a ?b (?a[<a:p>->?b]))' and ast.normalize(flat) == flat
+    f = conjuncts(c)[0]
+    assert str(ast.without_slot(f, Const("<a:p>"))) == '?x[<a:q>->"1"]' and ast.part(f, 2) == Var("y") and ast.arity(f) == 5
+    assert not ast.contains_function(c) and ast.contains_function(Equal(Var("x"), ast.External("func:f", (Var("y"),))))
+    assert sorted([Equal(Var("x"), Var("y")), Var("b"), Var("a"), Const("<a>")], key=ast.order_key)[:2] == [Var("a"), Var("b")]
+
+
 def test_strata_put_list_walks_first():
     layers = strata(programs.rules("""
 a: up(?x) <= low(?x)

@@ -190,3 +190,66 @@ def is_ground(x) -> bool:
 
 def arity(x) -> int:
     return len(x.args) if isinstance(x, (Atom, External)) else 2 * len(x.slots) + 1 if isinstance(x, Frame) else 2
+
+
+def children(x) -> tuple:
+    """The direct parts of a term, formula, action or rule."""
+    if isinstance(x, ListTerm):
+        return x.items
+    if isinstance(x, Frame):
+        return (x.subject, *(y for slot in x.slots for y in slot))
+    if isinstance(x, (Atom, External)):
+        return x.args
+    if isinstance(x, (Equal, Member)):
+        return (x.left, x.right)
+    if isinstance(x, (And, Or)):
+        return x.parts
+    if isinstance(x, (Not, Exists)):
+        return (x.body,)
+    if isinstance(x, Action):
+        return (x.target,)
+    return (x.body, *x.actions) if isinstance(x, Rule) else ()
+
+
+def part(x, k: int):
+    """The k-th direct part, from 0."""
+    return children(x)[k]
+
+
+def contains_function(x) -> bool:
+    """Whether an external function stands where a term does (not as a formula of its own)."""
+    if isinstance(x, (And, Or, Not, Exists, Action, Rule)):
+        return any(map(contains_function, children(x)))
+    return any(isinstance(y, External) or contains_function(y) for y in children(x))
+
+
+def without_slot(frame: Frame, predicate) -> Frame:
+    """A frame without the slots of a predicate."""
+    return Frame(frame.subject, tuple(s for s in frame.slots if s[0] != predicate))
+
+
+def order_key(x) -> tuple:
+    """A total order of syntax trees: by kind, then by text."""
+    kinds = (Var, Const, ListTerm, Frame, Atom, Equal, Member, External, Not, And, Or, Exists, Action, Rule)
+    return (kinds.index(type(x)), str(x))
+
+
+def normalize(x):
+    """The same condition in one shape: nested conjunctions and disjunctions made flat, of one part made that part, without
+    repeats, parts in order; slots of a frame in order; the smaller side of an equality first; no double negation."""
+    if isinstance(x, (And, Or)):
+        parts = []
+        for p in map(normalize, x.parts):
+            parts += p.parts if type(p) is type(x) else [p]
+        parts = sorted(dict.fromkeys(parts), key=order_key)
+        return parts[0] if len(parts) == 1 else type(x)(tuple(parts))
+    if isinstance(x, Not):
+        inner = normalize(x.body)
+        return inner.body if isinstance(inner, Not) else Not(inner)
+    if isinstance(x, Exists):
+        return Exists(tuple(sorted(x.names)), normalize(x.body))
+    if isinstance(x, Equal):
+        return Equal(*sorted((x.left, x.right), key=order_key))
+    if isinstance(x, Frame):
+        return Frame(x.subject, tuple(sorted(dict.fromkeys(x.slots), key=lambda s: (order_key(s[0]), order_key(s[1])))))
+    return Rule(normalize(x.body), x.actions, x.name) if isinstance(x, Rule) else x

@@ -56,12 +56,16 @@ def read(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
 
 
 def serialize(s: Column, p: Column, o: Column) -> Column:
-    """One line: blank labels made alphanumeric, characters beyond ASCII escaped, ``>`` in IRIs as ``%3E``."""
+    """One line: blank labels made alphanumeric, characters beyond ASCII escaped, ``>`` in IRIs as ``%3E``.
+
+    An anonymous node is another one wherever it stands; it gets a label of its own, which starts with ``Q`` (other labels do not).
+    """
 
     def shown(t):
         label = F.concat(F.lit("_:"), terms.sanitize_label(F.substring(t, 3, 1 << 30)))
         iri = F.concat(F.lit("<"), F.replace(F.substring(t, F.lit(2), F.length(t) - 2), F.lit(">"), F.lit("%3E")), F.lit(">"))
-        return terms.escape_unicode(F.when(t.startswith("_:"), label).when(t.startswith("<"), iri).otherwise(t))
+        fresh = F.concat(F.lit("_:Q"), F.replace(F.expr("uuid()"), F.lit("-"), F.lit("")))
+        return terms.escape_unicode(F.when(t == "[]", fresh).when(t.startswith("_:"), label).when(t.startswith("<"), iri).otherwise(t))
 
     return F.concat_ws(" ", shown(s), shown(p), shown(o), F.lit("."))
 
