@@ -54,6 +54,8 @@ SKETCH = 2048
 BYTES = 2 * SIZE + SKETCH // 8
 #: Rows of one side of a block in step 3, and rows of a counted table up to which it is broadcast (16 bytes a row).
 BLOCK, SMALL = 2048, 200_000
+#: Pairs a member of a mixed bucket may have before nearest components are joined first; a choice of plan, the links are the same.
+LINEAR = 64
 
 _M1, _M2, _P = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -215,11 +217,17 @@ def _near(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
 def _confirm(pairs: DataFrame, docs: DataFrame, text: str, width: int, num: int, den: int) -> DataFrame:
     """Pairs (a, b) whose full shingle sets are similar enough.
 
-    Each text of a ``b`` is moved twice and that of an ``a`` once; a frequent ``a`` is a
-    skewed join, which Spark splits, and its set is made once for a run of partners.
+    Where the pairs are few (counted), their ids cut the texts before any is moved. Each text of
+    a ``b`` is then moved twice and that of an ``a`` once; a frequent ``a`` is a skewed join,
+    which Spark splits, and its set is made once for a run of partners.
     """
+    few = pairs.count() <= SMALL
     texts = docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
+
+    def side(x):
+        out = texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
+        return out.join(F.broadcast(pairs.select(x).distinct()), x, "left_semi") if few else out
+
     both = pairs.join(side("b"), "b").join(side("a"), "a")
 
     def run(batches):
@@ -335,21 +343,34 @@ def _mixed(rows: DataFrame, links: _Links, scratch: Scratch, tag: str) -> DataFr
     return rows
 
 
-def _across(rows: DataFrame, reps: DataFrame, scratch: Scratch, num: int, den: int, nearest: bool, tag: str) -> DataFrame:
-    """Pairs (a, b) of different components (lo, hi) in mixed buckets and within the distance; ``nearest``: one for each component of a block."""
+def _sizes(rows: DataFrame, scratch: Scratch, tag: str) -> tuple[DataFrame, bool]:
+    """(rows with their bucket's largest component, its members and the others; whether the buckets have over ``LINEAR`` pairs between components a member)."""
     by = rows.groupBy("key", "root").agg(F.count("*").alias("c"))
     size = by.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("big"), F.max("c").alias("n_big"), (F.sum("c") - F.max("c")).alias("n_small"))
-    rows = rows.select("key", "slot", "id", "root").join(_small(scratch.table(size, f"{tag}-sizes")), "key")
+    size = scratch.table(size, f"{tag}-sizes")
+    most = F.sum(F.col("n_big") * F.col("n_small") + F.col("n_small") * F.col("n_small") / 2)
+    many = bool(size.agg(F.coalesce(most > LINEAR * F.sum(F.col("n_big") + F.col("n_small")), F.lit(False))).first()[0])
+    return scratch.table(rows.select("key", "slot", "id", "root").join(_small(size), "key"), f"{tag}-sized"), many
+
+
+def _across(rows: DataFrame, reps: DataFrame, num: int, den: int, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of different components (lo, hi) in mixed buckets and within the distance; ``nearest``: one for each component of a block.
+
+    A bucket of up to ``BLOCK`` members is one block, each member in it once.
+    """
+    cols = ["key", "slot", "id", "root"]
+    fits = F.col("n_big") + F.col("n_small") <= BLOCK
+    whole = rows.where(fits).select(*cols, F.lit(0).alias("x"), F.lit(-2).alias("y"), F.lit(2).alias("side"))
+    rows = rows.where(~fits)
     h = lambda n: F.pmod(F.hash("id"), F.ceil(F.col(n) / F.lit(BLOCK)).cast("int"))
     last = lambda n: F.ceil(F.col(n) / F.lit(BLOCK)).cast("int") - 1
     of_big = F.col("root") == F.col("big")
-    cols = ["key", "slot", "id", "root"]
     big = rows.where(of_big).select(*cols, h("n_big").alias("x"), F.lit(-1).alias("y"), F.lit(0).alias("side"))
     meet = rows.where(~of_big).select(*cols, F.explode(F.sequence(F.lit(0), last("n_big"))).alias("x"), F.lit(-1).alias("y"), F.lit(1).alias("side"))
     small = rows.where(~of_big & (F.col("n_small") > 1)).withColumn("o", h("n_small"))
     one = small.select(*cols, F.col("o").alias("x"), F.explode(F.sequence(F.col("o"), last("n_small"))).alias("y"), F.lit(0).alias("side"))
     two = small.select(*cols, F.explode(F.sequence(F.lit(0), F.col("o"))).alias("x"), F.col("o").alias("y"), F.lit(1).alias("side"))
-    dealt = big.unionByName(meet).unionByName(one).unionByName(two).join(reps.select("id", "n", "sig"), "id")
+    dealt = whole.unionByName(big).unionByName(meet).unionByName(one).unionByName(two).join(reps.select("id", "n", "sig"), "id")
     dealt = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side")
 
     def run(batches):
@@ -377,13 +398,15 @@ def _block(held, num: int, den: int, nearest: bool):
     ids, root = t.column("id").to_numpy(), t.column("root").to_numpy()
     keys, check = unpack(t.column("sig").to_pylist())
     slot = t.column("slot")[0].as_py()
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    _, of, count = np.unique(root, return_inverse=True, return_counts=True)
+    once = side[0] == 2  # all against all: those of the largest component with none of their own
+    big = of == count.argmax() if once else np.zeros(len(root), bool)
+    left, right = (np.flatnonzero(~big), np.arange(len(root))) if once else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
     if len(left) > len(right):
         left, right = right, left
-    _, of = np.unique(root, return_inverse=True)
     best = np.full(of.max() + 1, np.iinfo(np.int64).max)  # by component: distance, row, row
     for i in left:
-        r = right[root[right] != root[i]]
+        r = right[(root[right] != root[i]) & (big[right] | (right > i) | (not once))]
         r = r[(np.minimum(n[r], n[i]) * den >= np.maximum(n[r], n[i]) * num)]
         r = r[close((keys[r], check[r]), (keys[i], check[i]), n[r] + n[i], num, den)]
         if len(r):
@@ -419,7 +442,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", num: int = 80, den: int
     sigs = scratch.table(signatures(docs, text, width), "signatures")
     full = sigs.where("n > 0 and doc_id is not null")
     reps = scratch.table(full.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("id"), F.any_value("sig").alias("sig")), "sets")
-    reps_now = reps.select("id", "n", "sig").dropDuplicates(["id", "sig"])
+    reps_now = reps.select("id", "n", "sig")
     keyed = _keyed(reps_now)
     centre = keyed.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("key", "a")
     shared = scratch.table(keyed.join(centre, "key"), "shared")  # the rows of buckets with two members or more
@@ -435,7 +458,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", num: int = 80, den: int
         rows = _mixed(rows, links, scratch, f"mixed-{k}")
         if rows.isEmpty():
             break
-        joined = links.resolve(_across(rows, reps_now, scratch, num, den, nearest, f"mixed-{k}"), ready=True)
+        sized, many = _sizes(rows, scratch, f"mixed-{k}")
+        nearest = nearest and many
+        joined = links.resolve(_across(sized, reps_now, num, den, nearest), ready=True)
         if not nearest:
             break
         nearest = joined > BLOCK // 4  # a choice of plan: few joins left are as well found with all pairs
