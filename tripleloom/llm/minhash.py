@@ -17,12 +17,11 @@ Pairs are never expanded inside a bucket:
 2. Each is paired with the smallest id of all its buckets, filtered by signature distance
    and confirmed on the full shingle sets; confirmed pairs are contracted (one confirmation
    for each larger component and round).
-3. In buckets that still hold several components, every member is paired with the bucket's
-   smallest, if of another component.
-4. Buckets that are still mixed compare signatures across components, in blocks of bounded
-   size: the largest component is dealt over blocks, the others meet every block. First each
-   component of a block is confirmed with its nearest other alone, round by round as long as
-   that joins many; then all pairs within the distance that still lie between components are.
+3. Buckets that still hold several components compare signatures across components, in
+   blocks of bounded size: of a large bucket the largest component is dealt over blocks, and the
+   others meet every block. Where that makes many pairs a member, each component of a block is
+   first confirmed with its nearest other alone, round by round as long as that joins many;
+   then all pairs within the distance that still lie between components are confirmed.
 
 So a hot group of near copies costs its size times the number of keys, and the result is
 the same as that of all pairs. Links and components stay distributed; only counts reach
@@ -333,24 +332,18 @@ class _Links:
         return ids.join(_small(self.root), "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
-def _mixed(rows: DataFrame, links: _Links, scratch: Scratch, tag: str) -> DataFrame:
-    """The rows (key, slot, id) of buckets with several components, with root, and the smallest member's id and root."""
+def _mixed(rows: DataFrame, links: _Links, scratch: Scratch, tag: str) -> tuple[DataFrame, bool]:
+    """(the rows (key, slot, id) of buckets with several components, with root, and the largest component, its members and
+    the others; whether the buckets have over ``LINEAR`` pairs between components a member)."""
     rooted = scratch.table(links.named(rows.select("key", "slot", "id")), f"{tag}-rooted")
-    keys = rooted.groupBy("key").agg(F.min(F.struct("id", "root")).alias("least"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    keys = scratch.table(keys.where("lo <> hi").select("key", F.col("least.id").alias("centre"), F.col("least.root").alias("centre_root")), f"{tag}-keys")
-    rows = scratch.table(rooted.join(_small(keys), "key"), f"{tag}-rows")
-    scratch.drop(f"{tag}-rooted")
-    return rows
-
-
-def _sizes(rows: DataFrame, scratch: Scratch, tag: str) -> tuple[DataFrame, bool]:
-    """(rows with their bucket's largest component, its members and the others; whether the buckets have over ``LINEAR`` pairs between components a member)."""
-    by = rows.groupBy("key", "root").agg(F.count("*").alias("c"))
+    by = rooted.groupBy("key", "root").agg(F.count("*").alias("c"))
     size = by.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("big"), F.max("c").alias("n_big"), (F.sum("c") - F.max("c")).alias("n_small"))
-    size = scratch.table(size, f"{tag}-sizes")
+    size = scratch.table(size.where("n_small > 0"), f"{tag}-sizes")
     most = F.sum(F.col("n_big") * F.col("n_small") + F.col("n_small") * F.col("n_small") / 2)
     many = bool(size.agg(F.coalesce(most > LINEAR * F.sum(F.col("n_big") + F.col("n_small")), F.lit(False))).first()[0])
-    return scratch.table(rows.select("key", "slot", "id", "root").join(_small(size), "key"), f"{tag}-sized"), many
+    rows = scratch.table(rooted.join(_small(size), "key"), f"{tag}-rows")
+    scratch.drop(f"{tag}-rooted")
+    return rows, many
 
 
 def _across(rows: DataFrame, reps: DataFrame, num: int, den: int, nearest: bool) -> DataFrame:
@@ -449,18 +442,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", num: int = 80, den: int
     links = _Links(spark, scratch, lambda p: _confirm(p, docs, text, width, num, den))
     first = shared.where("id <> a").groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
     links.resolve(scratch.table(_near(first, reps_now, num, den), "first"))
-    rows = _mixed(shared, links, scratch, "star")
-    star = rows.where("root <> centre_root").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    links.resolve(scratch.table(_near(star, reps_now, num, den), "star"))
-    nearest, k = True, 0
+    rows, nearest, k = shared, True, 0
     while True:
         k += 1
-        rows = _mixed(rows, links, scratch, f"mixed-{k}")
+        rows, many = _mixed(rows, links, scratch, f"mixed-{k}")
         if rows.isEmpty():
             break
-        sized, many = _sizes(rows, scratch, f"mixed-{k}")
         nearest = nearest and many
-        joined = links.resolve(_across(sized, reps_now, num, den, nearest), ready=True)
+        joined = links.resolve(_across(rows, reps_now, num, den, nearest), ready=True)
         if not nearest:
             break
         nearest = joined > BLOCK // 4  # a choice of plan: few joins left are as well found with all pairs
