@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import itertools
 import re
 import struct
 import wave
@@ -195,6 +196,60 @@ def test_partners_among_songs_that_share_an_opening(spark, shared):
     assert all(got[i] == k for i, k in want.items())
 
 
+def links_of(rows):
+    """id: (linked fingerprints, component) by judging every pair of different fingerprints."""
+    first, codes = {}, {}
+    for i, raw in rows:
+        c = media.fingerprint(raw)
+        if i is not None and len(c):
+            first[c.tobytes()] = min(i, first.get(c.tobytes(), i))
+            codes[c.tobytes()] = c
+    order = sorted(first, key=first.get)
+    links, root = {k: 0 for k in order}, {k: k for k in order}
+    for y, x in itertools.combinations(order, 2):
+        a = media.align(codes[y], codes[x])
+        if a and a[2] <= media.MAX_ERROR and a[1] >= media.MIN_OVERLAP:
+            links[x] += 1
+            links[y] += 1
+            old, new = root[x], root[y]
+            root = {k: new if r == old else r for k, r in root.items()}
+    least = {k: min(first[j] for j in order if root[j] == root[k]) for k in order}
+    keys = [(i, media.fingerprint(raw).tobytes()) for i, raw in rows]
+    return sorted((i, links.get(k, 0), least.get(k, i)) if i is not None else (-1, 0, None) for i, k in keys)
+
+
+@pytest.mark.parametrize("block", [media.BLOCK, 3])
+def test_every_link_of_a_recording_counts(spark, monkeypatch, block):
+    """Songs that share an opening, cuts, copies and short ones: links and classes as by judging every pair."""
+    monkeypatch.setattr(media, "BLOCK", block)
+    rng = np.random.default_rng(11)
+    opening, rows = rng.integers(0, 24, 12), []
+    for k in range(8):
+        song = tone(np.concatenate([opening, rng.integers(0, 24, int(rng.integers(4, 20)))]))
+        for c in range(3):
+            cut = song[media.HOP * int(rng.integers(0, 20)) :]
+            rows.append((10 * k + c, as_wave(cut + rng.normal(0, 0.02, len(cut)))))
+    rows += [(300, rows[4][1]), (301, rows[4][1]), (302, None), (None, rows[0][1]), (303, as_wave(tone([3], seconds=0.7))), (304, as_wave(tone([5] * 5))), (305, as_wave(tone([5] * 9)))]
+    rows += [(10, as_wave(tone(rng.integers(0, 24, 20)))), (306, rows[-1][1])]  # an id of two recordings
+    df = spark.createDataFrame(rows, "page_id long, html binary")
+    got = sorted((-1 if r["id"] is None else r["id"], r["n_links"], r["component_id"]) for r in media.match(df, "page_id", "html").collect())
+    assert got == links_of(rows)
+    assert max(n for _, n, _ in got) > 2
+
+
+def test_many_alignments_at_once_equal_single_ones():
+    rng = np.random.default_rng(6)
+    codes = [rng.choice([0, 0, 1, 2, *range(3, 20), 2**32 - 1], n).astype(np.uint32) for n in (1, 4, 5, 16, 17, 63, 70, 300, 1500)]
+    wide = np.full((len(codes), 1500), -1, np.int64)
+    for r, c in enumerate(codes):
+        wide[r, : len(c)] = c
+    for mine in codes:
+        k, over, wrong = media.align_many(wide, np.array([len(c) for c in codes]), mine.astype(np.int64))
+        for r, c in enumerate(codes):
+            if one := media.align(c, mine):
+                assert one == (k[r], over[r], wrong[r] / (32 * over[r]))
+
+
 def test_wave_codings_decode_alike():
     x = (np.sin(np.arange(4000) / 9) * 0.7).astype(np.float64)
     def wav(coding, bits, body):
