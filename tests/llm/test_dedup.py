@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from tripleloom.llm import suffix
+from tripleloom.llm import minhash, suffix
 from tripleloom.llm.minhash import CHUNKS, DISTANCE, SIZE, bucket_keys, close, distances, near_duplicate_rows, near_duplicates, signature, unpack
 from tripleloom.llm.suffix import remove_repeats, suffix_array
 
@@ -119,6 +119,29 @@ def test_a_group_of_texts_just_too_different_to_link(spark):
         assert got == classes(texts, num)[0]
 
 
+@pytest.mark.parametrize("few", [0, 4])
+def test_later_rounds_deal_only_rows_with_candidates(spark, monkeypatch, few):
+    """Texts that share buckets but lie beyond the bound are dealt once; results are those of brute force with and without rounds."""
+    monkeypatch.setattr(minhash, "LINEAR", 0)
+    monkeypatch.setattr(minhash, "FEW", few)
+    dealt, across = [], minhash._across
+    monkeypatch.setattr(minhash, "_across", lambda rows, *a: (dealt.append((rows.count(), a[-1])), across(rows, *a))[1])
+    rnd = random.Random(4)
+    base = [f"w{k}" for k in range(200)]
+    far = []
+    for k in range(40):
+        words = list(base)
+        for at in rnd.sample(range(200), 14):
+            words[at] = f"x{k}_{at}"
+        far.append(" ".join(words))
+    for texts in (far, far + some_texts()):
+        dealt.clear()
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = [r["component_id"] for r in near_duplicate_rows(df, num=80).orderBy("doc_id").collect()]
+        assert got == classes(texts, 80)[0]
+        assert dealt[0][1] and sum(n for n, _ in dealt[1:]) < dealt[0][0] / 2
+
+
 def test_many_equal_rows_are_linear(spark):
     """Copies of one text fold at once; all of them lose all of it, and what it shares with others goes there too."""
     text = " ".join(f"t{k}" for k in range(150))

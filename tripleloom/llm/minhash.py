@@ -19,9 +19,11 @@ Pairs are never expanded inside a bucket:
    for each larger component and round).
 3. Buckets that still hold several components compare signatures across components, in
    blocks of bounded size: of a large bucket the largest component is dealt over blocks, and the
-   others meet every block. Where that makes many pairs a member, each component of a block is
-   first confirmed with its nearest other alone, round by round as long as that joins many;
-   then all pairs within the distance that still lie between components are confirmed.
+   others meet every block. Where that makes many pairs a member, each component of a block of over
+   ``FEW`` pairs within the distance a member is first confirmed with its nearest other alone, round by round
+   as long as that joins many; then all pairs within the distance that still lie between components are
+   confirmed. A later round deals only members that had a partner within the distance in such a block:
+   others have none in any round, as signatures stay and components only merge.
 
 So a hot group of near copies costs its size times the number of keys, and the result is
 the same as that of all pairs. Links and components stay distributed; only counts reach
@@ -55,6 +57,8 @@ BYTES = 2 * SIZE + SKETCH // 8
 BLOCK, SMALL = 2048, 200_000
 #: Pairs a member of a mixed bucket may have before nearest components are joined first; a choice of plan, the links are the same.
 LINEAR = 64
+#: Pairs within the distance a member up to which a block hands all of them on at once; likewise a choice of plan.
+FEW = 4
 
 _M1, _M2, _P = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -347,8 +351,9 @@ def _mixed(rows: DataFrame, links: _Links, scratch: Scratch, tag: str) -> tuple[
 
 
 def _across(rows: DataFrame, reps: DataFrame, num: int, den: int, nearest: bool) -> DataFrame:
-    """Pairs (a, b) of different components (lo, hi) in mixed buckets and within the distance; ``nearest``: one for each component of a block.
+    """Pairs (a, b) of different components (lo, hi) in mixed buckets and within the distance.
 
+    ``nearest``: of blocks with over ``FEW`` pairs a member one for each component, and the members (key, slot, id) that have pairs.
     A bucket of up to ``BLOCK`` members is one block, each member in it once.
     """
     cols = ["key", "slot", "id", "root"]
@@ -366,6 +371,8 @@ def _across(rows: DataFrame, reps: DataFrame, num: int, den: int, nearest: bool)
     dealt = whole.unionByName(big).unionByName(meet).unionByName(one).unionByName(two).join(reps.select("id", "n", "sig"), "id")
     dealt = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side")
 
+    few = FEW if nearest else None
+
     def run(batches):
         held, now = [], None
         for b in batches:
@@ -375,17 +382,17 @@ def _across(rows: DataFrame, reps: DataFrame, num: int, den: int, nearest: bool)
             for at, to in zip(edge, [*edge[1:], len(k)]):
                 run_key = tuple(k[at].tolist())
                 if run_key != now and held:
-                    yield from _block(held, num, den, nearest)
+                    yield from _block(held, num, den, few)
                     held = []
                 now = run_key
                 held.append(t.slice(at, to - at))
         if held:
-            yield from _block(held, num, den, nearest)
+            yield from _block(held, num, den, few)
 
-    return dealt.select("key", "x", "y", "side", "slot", "id", "root", "n", "sig").mapInArrow(run, "a long, b long, lo long, hi long").distinct()
+    return dealt.select("key", "x", "y", "side", "slot", "id", "root", "n", "sig").mapInArrow(run, "a long, b long, lo long, hi long, key long, slot short, id long").distinct()
 
 
-def _block(held, num: int, den: int, nearest: bool):
+def _block(held, num: int, den: int, few: int | None):
     t = pa.concat_tables(held)
     side, n = t.column("side").to_numpy(), t.column("n").to_numpy()
     ids, root = t.column("id").to_numpy(), t.column("root").to_numpy()
@@ -398,6 +405,7 @@ def _block(held, num: int, den: int, nearest: bool):
     if len(left) > len(right):
         left, right = right, left
     best = np.full(of.max() + 1, np.iinfo(np.int64).max)  # by component: distance, row, row
+    live, kept, pairs = np.zeros(len(root), bool), [], 0
     for i in left:
         r = right[(root[right] != root[i]) & (big[right] | (right > i) | (not once))]
         r = r[(np.minimum(n[r], n[i]) * den >= np.maximum(n[r], n[i]) * num)]
@@ -406,21 +414,40 @@ def _block(held, num: int, den: int, nearest: bool):
             r = r[first_shared(keys[r], keys[i][None, :]) == slot]  # each pair once, from the first bucket it shares
         if not len(r):
             continue
-        if nearest:
-            # by the share of the sets that differs, at least
-            v = (np.bitwise_count(check[r] ^ check[i]).sum(1, dtype=np.int64) * 10_000 // (n[r] + n[i])) << 48 | int(i) << 24 | r
-            np.minimum.at(best, of[r], v)
-            best[of[i]] = min(best[of[i]], v.min())
-        else:
+        if few is None:
             yield _pairs(ids, root, np.full(len(r), i), r)
+            continue
+        pairs += len(r)
+        live[i] = live[r] = True
+        if pairs <= few * len(root):
+            kept.append((np.full(len(r), i), r))
+        # by the share of the sets that differs, at least
+        v = (np.bitwise_count(check[r] ^ check[i]).sum(1, dtype=np.int64) * 10_000 // (n[r] + n[i])) << 48 | int(i) << 24 | r
+        np.minimum.at(best, of[r], v)
+        best[of[i]] = min(best[of[i]], v.min())
+    if not pairs:
+        return
+    if pairs <= few * len(root):
+        yield _pairs(ids, root, *(np.concatenate(x) for x in zip(*kept)))
+        return
     best = np.unique(best[best < np.iinfo(np.int64).max])
-    if len(best):
-        yield _pairs(ids, root, best >> 24 & 0xFFFFFF, best & 0xFFFFFF)
+    yield _pairs(ids, root, best >> 24 & 0xFFFFFF, best & 0xFFFFFF)
+    yield _found(slice(4, 7), [np.full(live.sum(), t.column("key")[0].as_py()), np.full(live.sum(), slot), ids[live]])
 
 
 def _pairs(ids, root, i, r) -> pa.RecordBatch:
     cols = [np.minimum(ids[i], ids[r]), np.maximum(ids[i], ids[r]), np.minimum(root[i], root[r]), np.maximum(root[i], root[r])]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["a", "b", "lo", "hi"])
+    return _found(slice(4), cols)
+
+
+_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("key", pa.int64()), ("slot", pa.int16()), ("id", pa.int64())])
+
+
+def _found(which: slice, columns) -> pa.RecordBatch:
+    """A batch of :func:`_across` with these columns, the others null."""
+    full = dict(zip(_FOUND.names[which], columns))
+    size = len(columns[0])
+    return pa.RecordBatch.from_arrays([pa.array(full[f.name], f.type) if f.name in full else pa.nulls(size, f.type) for f in _FOUND], schema=_FOUND)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", num: int = 80, den: int = 100, width: int = SHINGLE) -> DataFrame:
@@ -449,9 +476,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", num: int = 80, den: int
         if rows.isEmpty():
             break
         nearest = nearest and many
-        joined = links.resolve(_across(rows, reps_now, num, den, nearest), ready=True)
+        found = _across(rows, reps_now, num, den, nearest)
+        found = scratch.table(found, f"found-{k}") if nearest else found
+        joined = links.resolve(found.where("a is not null").select("a", "b", "lo", "hi"), ready=True)
         if not nearest:
             break
+        rows = found.where("a is null").select("key", "slot", "id")  # all other pairs are settled
         nearest = joined > BLOCK // 4  # a choice of plan: few joins left are as well found with all pairs
     named = links.named(reps.select("h1", "h2", "n", "id")).select("h1", "h2", "n", F.col("root").alias("component"))
     out = sigs.join(named, ["h1", "h2", "n"], "left")
