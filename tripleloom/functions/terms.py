@@ -14,6 +14,11 @@ KIND_NAMES = {BNODE: "bnode", IRI: "iri", SIMPLE: "simple", LANG: "lang", TYPED:
 _LITERAL = r'^"((?:[^"\\]|\\.)*+)"(?:@([A-Za-z0-9-]+)|\^\^<([^>]*)>)?$'
 
 
+def let(x: Column, f) -> Column:
+    """``f`` of ``x``, which is worked out once however often ``f`` names it (a column of an expression is copied at each name)."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def kind(t: Column) -> Column:
     """1 blank node, 2 IRI, 3 simple, 4 language-tagged, 5 typed literal; null if it is no term."""
     return (
@@ -115,6 +120,10 @@ def unescape(s: Column) -> Column:
 
 def escape_unicode(s: Column) -> Column:
     """Every character beyond ASCII as ``\\uXXXX`` or ``\\UXXXXXXXX`` in upper case."""
+    return let(s, _escape_unicode)
+
+
+def _escape_unicode(s: Column) -> Column:
     def shown(c):
         code = F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("long")
         return F.when(code < 0x10000, F.concat(F.lit("\\u"), F.lpad(F.hex(code), 4, "0"))).otherwise(F.concat(F.lit("\\U"), F.lpad(F.hex(code), 8, "0")))

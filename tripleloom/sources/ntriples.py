@@ -18,13 +18,21 @@ def _is_iri(x: Column) -> Column:
 
 
 def parse(line: Column) -> Column:
-    """Struct s, p, o, error of a line; error is null for a triple."""
-    s, p, o = (F.regexp_extract(line, _LINE, k) for k in (1, 2, 3))
+    """Struct s, p, o, error of a line; error is null for a triple. The line and each of its terms are worked out once."""
+    return terms.let(line, lambda l: terms.let(F.struct(*[F.regexp_extract(l, _LINE, k).alias(c) for k, c in enumerate("spo", 1)]), lambda t: terms.let(_error(l, t), lambda e: _parsed(t, e))))
+
+
+def _parsed(t: Column, error: Column) -> Column:
+    return F.struct(*[F.when(error.isNull(), canonical(t[c])).alias(c) for c in "spo"], error.alias("error"))
+
+
+def _error(line: Column, t: Column) -> Column:
+    s, p, o = t["s"], t["p"], t["o"]
     iri = r"<([A-Za-z][A-Za-z0-9+.-]*:[^<>\s]*)>$"
     wrong = lambda x: x.startswith("<") & ~_is_iri(F.regexp_extract(x, "^" + iri, 1))
     kind = F.regexp_extract(o, r"\^\^" + iri, 1)
     tag = F.regexp_extract(o, r'"@([A-Za-z0-9-]+)$', 1)
-    error = (
+    return (
         F.when(~F.is_valid_utf8(line), "invalid UTF-8")
         .when(line.rlike(_BAD_POINT), "invalid code point")
         .when(~line.rlike(_LINE), "not a triple")
@@ -35,8 +43,6 @@ def parse(line: Column) -> Column:
         .when(wrong(s) | wrong(p) | wrong(o) | (o.rlike(r'"\^\^<[^>]*>$') & ~_is_iri(kind)), "malformed IRI")
         .when((tag != "") & ~tags.is_valid(tag), "malformed language tag")
     )
-    good = lambda x: F.when(error.isNull(), canonical(x))
-    return F.struct(good(s).alias("s"), good(p).alias("p"), good(o).alias("o"), error.alias("error"))
 
 
 def canonical(t: Column) -> Column:
@@ -50,7 +56,7 @@ def canonical(t: Column) -> Column:
 def read(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
     """(triples s, p, o; errors line, error) of line-split files. Blank lines are skipped."""
     lines = spark.read.text(path).where(F.trim("value") != "")
-    parsed = lines.select("value", parse(F.col("value")).alias("t"))
+    parsed = lines.select("value", F.explode(F.array(parse(F.col("value")))).alias("t"))  # a filter is not moved before it, which would parse twice
     good = parsed.where("t.error is null").select("t.s", "t.p", "t.o")
     return good, parsed.where("t.error is not null").select(F.col("value").alias("line"), "t.error")
 
@@ -62,6 +68,9 @@ def serialize(s: Column, p: Column, o: Column) -> Column:
     """
 
     def shown(t):
+        return terms.let(t, known)
+
+    def known(t):
         label = F.concat(F.lit("_:"), terms.sanitize_label(F.substring(t, 3, 1 << 30)))
         iri = F.concat(F.lit("<"), F.replace(F.substring(t, F.lit(2), F.length(t) - 2), F.lit(">"), F.lit("%3E")), F.lit(">"))
         fresh = F.concat(F.lit("_:Q"), F.replace(F.expr("uuid()"), F.lit("-"), F.lit("")))
