@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tripleloom.operators import lists
+from tripleloom.scratch import Scratch
 from tripleloom.sources import ntriples
 
 SF = "/root/testdata/sf0.001"
@@ -20,3 +22,25 @@ def test_a_line_is_worked_out_once(spark):
     rows = x.select(ntriples.parse(line).alias("t")).select("t.*").collect()
     assert [r["error"] for r in rows] == [None, None]
     assert rows[0]["s"].startswith("_:Q") and rows[0]["o"] == '"é\\\\u00E9"@de' and rows[1]["s"] == "_:ZaZ5Fb" and rows[1]["o"] == "<http://e/%3Eé>"
+
+
+def test_pairs_of_a_key_are_not_dealt(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lists, "BLOCK", 3, raising=False)
+    rows = [(k, "ab"[k % 2], "t") for k in range(20)] + [(k, "c", str(k)) for k in range(20, 25)] + [(30, None, "t"), (31, "a", "t")]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_type string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    df = entry.queries()["owl_haskey"](spark, str(tmp_path))
+    same = {(a[0], b[0]) for a in rows for b in rows if a[0] != b[0] and None not in a and a[1:] == b[1:]}
+    assert sorted((int(r["s"][12:-1]), int(r["o"][12:-1])) for r in df.collect()) == sorted(same)
+    made = plan(df).split("Generate")[0]
+    assert "Aggregate" not in made and "Join" not in made  # nothing is done to the pairs once unfolded
+
+
+def test_a_pair_of_several_keys_comes_once(spark):
+    owl, rdf = "http://www.w3.org/2002/07/owl#", "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
+    rows = [("<c:1>", f"<{owl}hasKey>", "_:k"), ("<c:2>", f"<{owl}hasKey>", "_:k"), ("_:k", f"<{rdf}first>", "<p:1>"), ("_:k", f"<{rdf}rest>", f"<{rdf}nil>")]
+    kind = {"<i:1>": "12", "<i:2>": "12", "<i:3>": "1", "<i:4>": "2"}
+    values = {"<i:1>": "xy", "<i:2>": "xyz", "<i:3>": "x", "<i:4>": "xz"}
+    rows += [(i, f"<{rdf}type>", f"<c:{c}>") for i in kind for c in kind[i]] + [(i, "<p:1>", f'"{v}"') for i in values for v in values[i]]
+    g = spark.createDataFrame(rows, "s string, p string, o string")
+    got = sorted(tuple(r) for r in lists.same_items(g, Scratch(spark, "t")).collect())
+    assert got == sorted((a, b) for a in kind for b in kind if a != b and set(kind[a]) & set(kind[b]) and set(values[a]) & set(values[b]))
