@@ -21,7 +21,7 @@ def read(spark: SparkSession, path: str, fmt: str, dictionary_path: str | None =
     if fmt == "encoded":
         return dictionary.decode(spark.read.parquet(f"{path}/triples"), spark.read.parquet(dictionary_path or f"{path}/dictionary"))
     if fmt == "der":
-        return dictionary.decode(dictionary.read_der(spark, f"{path}/triples"), dictionary.read_dictionary(spark, dictionary_path or f"{path}/dictionary"))
+        return dictionary.decode(dictionary.read_der(spark, f"{path}/triples"), Scratch(spark, "convert").table(dictionary.read_dictionary(spark, dictionary_path or f"{path}/dictionary")))
     raise ValueError(f"unknown format {fmt}")
 
 
@@ -30,7 +30,7 @@ def write(triples: DataFrame, path: str, fmt: str, compression: str | None = Non
     which must have them all, and none is written."""
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt}")
-    one = lambda df: df.coalesce(1) if single else df
+    one = lambda df: df.repartition(1) if single else df  # noqa: E731  what makes the rows is not done by that one task
     if fmt == "nt":
         return ntriples.write(one(triples), path, compression)
     if fmt == "parquet":
