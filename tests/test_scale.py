@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from tripleloom.operators import lists
 from tripleloom.scratch import Scratch
-from tripleloom.sources import ntriples
+from tripleloom.sources import convert, dictionary, ntriples
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,3 +44,25 @@ def test_a_pair_of_several_keys_comes_once(spark):
     g = spark.createDataFrame(rows, "s string, p string, o string")
     got = sorted(tuple(r) for r in lists.same_items(g, Scratch(spark, "t")).collect())
     assert got == sorted((a, b) for a in kind for b in kind if a != b and set(kind[a]) & set(kind[b]) and set(values[a]) & set(values[b]))
+
+
+def test_a_frequent_term_is_not_one_task(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(dictionary, "HOT", 50, raising=False)
+    monkeypatch.setattr(dictionary, "FILE_BYTES", 1000, raising=False)
+    rows = [(f"<i:{k}>", "<p:1>" if k % 9 else "<p:2>", f'"{k % 3}"' if k % 5 else f"<i:{k + 1}>") for k in range(1000)]
+    g = spark.createDataFrame(rows, "s string, p string, o string")
+    ids, d = dictionary.encode(g)
+    terms = sorted({x for r in rows for x in r})
+    assert sorted(tuple(r) for r in d.collect()) == list(enumerate(terms, 1))
+    at = {t: k for k, t in enumerate(terms, 1)}
+    assert sorted(tuple(r) for r in ids.collect()) == sorted(tuple(at[x] for x in r) for r in rows)
+    back = dictionary.decode(ids, d)
+    assert sorted(tuple(r) for r in back.collect()) == sorted(rows)
+    assert "SortMergeJoin" not in back._jdf.queryExecution().executedPlan().toString()
+    dealt = dictionary._exchanged(g, d, "term", "id").rdd.glom().map(len).collect()
+    assert max(dealt) < 500, dealt
+    convert.write(g, f"file://{tmp_path}/w", "der", single=True)
+    assert len(list((tmp_path / "w/triples").glob("*.der"))) == 1
+    assert sorted(tuple(r) for r in convert.read(spark, f"file://{tmp_path}/w", "der").collect()) == sorted(rows)
+    many = spark.range(30_000).coalesce(1).select(F.col("id").cast("string").cast("binary").alias("r"))
+    assert dictionary.write_records(many, f"file://{tmp_path}/r", ".dct", 1000) == 30_000 and len(list((tmp_path / "r").glob("*.dct"))) > 2
